@@ -29,6 +29,23 @@ select d.doc_id, len(d.w) n_words, coalesce(c.n_hit, 0) n_hit, coalesce(m.n_item
 from docs d left join covered c using (doc_id) left join named m using (doc_id)
 """
 
+OP5 = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+written as (
+  select *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+    + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + length('<turn >') + length('</turn>') + 2 as n
+  from rows)
+select conv_id, count(*) n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(n)::bigint formatted_chars
+from written group by conv_id
+"""
+
 OP9 = f"""
 with docs as (select doc_id, source, coalesce(text, '') text, coalesce({WORDS.format("text")}, []) w from documents),
 grams as (select doc_id, p, w[p : p + 2] g from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) p from docs)),
@@ -56,4 +73,4 @@ select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_R
 from base
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op9_quality_rules": OP9}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op9_quality_rules": OP9}
