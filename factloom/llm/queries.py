@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, mixing, quality, sharding, token_counts, toxicity, url_filters
+from factloom.llm import chat, decontaminate, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filters
 from factloom.llm.common import table
 from factloom.llm.sql import ORACLE_SQL
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -55,4 +59,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_benchmark_decontamination, op4_mix_sources, op5_chat_formatting, op7_sharding, op8_toxicity, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_benchmark_decontamination, op4_mix_sources, op5_chat_formatting, op7_sharding, op8_toxicity, op9_quality_rules, op10_token_counts)}
