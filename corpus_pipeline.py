@@ -1,8 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each on what the one before kept."""
+"""The corpus pipeline: five operators in a row over ``documents``.
 
-STAGES: list = []
+Each stage gets what the one before kept, reread from Parquet, and returns the
+columns of ``documents``; the last returns them with each row's shard and slot.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factloom.llm import decontaminate, mixing, ngram_join, quality, sharding
+from factloom.llm.common import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines above their host's limit."""
+    return quality.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a test item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, as often as it takes them."""
+    return mixing.mixture(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and their slot in it."""
+    return sharding.reshard(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "size", "shard", "slot")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("sharding", shards),
+]
+
+#: The cube method's draws can't be told in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written to the shared folder and reread."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="factloom-")
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if number == len(STAGES) - 1:
+            return out
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{number}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, mixing, ngram_join, quality, sharding, token_counts, toxicity, url_filters
+from factloom.llm import chat, decontaminate, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity, url_filters
 from factloom.llm.common import table
 from factloom.llm.sql import ORACLE_SQL
 
@@ -43,6 +43,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(chat.thread(rows.union(planted))))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_benchmark_decontamination, op4_mix_sources, op5_chat_formatting, op7_sharding, op8_toxicity, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_benchmark_decontamination, op4_mix_sources, op5_chat_formatting, op6_substring_dedup, op7_sharding, op8_toxicity, op9_quality_rules, op10_token_counts)}

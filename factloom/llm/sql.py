@@ -66,6 +66,19 @@ select conv_id, count(*) n_turns,
 from written group by conv_id
 """
 
+OP6 = f"""
+with docs as (select doc_id, coalesce({WORDS.format("text")}, []) w from documents),
+grams as (select doc_id, p, array_to_string(w[p : p + 34], ' ') g from (select *, unnest(range(1, greatest(len(w) - 33, 1))) p from docs)),
+again as (select doc_id, p from (select *, count(*) over (partition by g) n from grams) where n > 1),
+covered as (select distinct doc_id, unnest(range(p, p + 35)) q from again),
+words as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) q from docs),
+kept as (
+  select doc_id, string_agg(word, ' ' order by q) kept, count(*) n
+  from words w anti join covered c on w.doc_id = c.doc_id and w.q = c.q group by 1)
+select d.doc_id, len(w) n_words, len(w) - coalesce(k.n, 0) n_removed, sha256(coalesce(k.kept, '')) kept_sha256
+from docs d left join kept k using (doc_id)
+"""
+
 OP9 = f"""
 with docs as (select doc_id, source, coalesce(text, '') text, coalesce({WORDS.format("text")}, []) w from documents),
 grams as (select doc_id, p, w[p : p + 2] g from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) p from docs)),
@@ -93,4 +106,4 @@ select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_R
 from base
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1, "op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op9_quality_rules": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1, "op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op6_substring_dedup": OP6, "op9_quality_rules": OP9}
