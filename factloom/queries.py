@@ -1,5 +1,809 @@
-"""Registered queries over the driver's tables, each with equivalent SQL."""
+"""Registered queries over the driver's tables, each with equivalent SQL.
+
+Claims are made from ``orders``, evidence from ``events``, pages and documents
+are taken as they are; a small view of each is defined once, in SQL that both
+engines read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import claims as C
+from factloom.functions import dates as D
+from factloom.functions import lexicon as L
+from factloom.functions import quantities as Q
+from factloom.operators import evaluation as V
+from factloom.operators import evidence as E
+from factloom.operators import features as T
+from factloom.operators import passages as P
+from factloom.operators import relevance as R
+from factloom.operators import search as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 FLAGSHIP = "claim_verdicts"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- views in both dialects ------------------------------------------------
+
+PRICE = "cast(cast(floor(o_totalprice) as bigint) as varchar(20))"
+TEMPLATES = (
+    "'The United States is going to ban Google across all its cities'",
+    f"concat('Breaking: Apple bought Tesla for $', {PRICE}, ' million')",
+    f"concat('Is it true that unemployment fell to ', {PRICE}, ' percent in 2023?')",
+    "'Water freezes at 0 C at sea level.'",
+    "'A triangle has four sides!!'",
+    "'The prime minister of India resigned this morning - The Daily News'",
+    f"concat('Officials said the government will spend ', {PRICE}, ' dollars by 2030 #news @desk')",
+    "'Who won the election?'",
+    "'Pizza is the best food'",
+    "'unemployment rate'",
+    "'El gobierno de la ciudad que no paga los impuestos'",
+    "'asdkjhq wrtplk zxcvbnm qwrtpsd fghjkl'",
+    "'Apple announced it will move all manufacturing to India by 2027; Microsoft denied the report yesterday'",
+    "'NASA did not cancel the asteroid mission, experts confirmed today'",
+    "'https://example.com/story/1'",
+    f"concat('The bank raised rates by ', cast(o_orderkey % 9 as varchar(20)), '% last month because of inflation')",
+    "'The name of united states is being changed to india by 2050.'",
+    "'Twitter was renamed to X Corp in 2023'",
+    "'Police arrested the mayor of London on Tuesday. The mayor denied all of the charges. Voters were told nothing'",
+    "'Scientists believe that coffee might reduce deaths by 10 percent'",
+    "'Facebook launched a new policy and closed 12 offices in March'",
+    "'  Reportedly, the law was approved, can anyone confirm this?  '",
+    "'The senate passed the bill but the president vetoed it'",
+    "'Amazon and Microsoft agreed to merge next year, sources say'",
+    f"concat('Exports rose to $', {PRICE}, ' billion, more than in 2019')",
+)
+CLAIM = "case o_orderkey % 25 " + " ".join(f"when {i} then {t}" for i, t in enumerate(TEMPLATES)) + " end"
+CLAIMS_SQL = f"select o_orderkey as claim_id, {CLAIM} as claim from orders"
+
+
+def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as claim_id", f"{CLAIM} as claim")
+
+
+#: Evidence: a row for each event; scores, source and availability from its columns.
+EVIDENCE = (
+    "user_id as claim_id", "event_id as ord", "(event_id * 37 % 100) / 100.0e0 as support", "(event_id * 53 % 100) / 100.0e0 as contradiction", "event_id % 11 <> 0 as nli_available",
+    "case event_id % 7 when 0 then 'https://www.reuters.com/a' when 1 then 'http://news.example.com/b' when 2 then 'https://en.wikipedia.org/wiki/C' when 3 then 'https://data.census.gov/d' when 4 then 'https://www.bbc.co.uk/e' "
+    "when 5 then 'https://politifact.com/f' else 'https://blog.example.org:8080/g' end as url",
+    "case event_id % 5 when 0 then 'www.reuters.com' else '' end as publisher", "case event_id % 7 when 0 then 0.8e0 when 1 then 0.0e0 when 2 then 0.5e0 when 3 then 1.0e0 when 4 then 0.8e0 when 5 then 0.95e0 else 0.0e0 end as source_weight",
+    "ts as published",
+)
+EVIDENCE_SQL = f"select {', '.join(EVIDENCE)} from events"
+STANCE_SQL = (
+    "case when {s} > {t} and {c} > {t} then case when {s} >= {c} * {d} then 'supports' when {c} >= {s} * {d} then 'contradicts' else 'unclear' end "
+    "when {s} > {t} then 'supports' when {c} > {t} then 'contradicts' else 'unclear' end"
+)
+STANCE = STANCE_SQL.format(s="support", c="contradiction", t="0.35e0", d="1.6e0")
+JUDGED_SQL = f"select *, case when nli_available then {STANCE} else 'unclear' end as stance from ({EVIDENCE_SQL})"
+
+
+def evidence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr(*EVIDENCE)
+    return rows.withColumn("stance", F.when(F.col("nli_available"), E.document_stance(F.col("support"), F.col("contradiction"))).otherwise("unclear"))
+
+
+# ---- claims ----------------------------------------------------------------
+
+
+def rx(text: str, pattern: str, flags: str = "i") -> str:
+    return f"regexp_matches({text}, {sql_text((f'(?{flags})' if flags else '') + pattern)})"
+
+
+def found(text: str, pattern: str, group: int = 0, flags: str = "i") -> str:
+    return f"regexp_extract_all({text}, {sql_text((f'(?{flags})' if flags else '') + pattern)}, {group})"
+
+
+def swapped(text: str, pattern: str, new: str, flags: str = "i") -> str:
+    return f"regexp_replace({text}, {sql_text((f'(?{flags})' if flags else '') + pattern)}, {sql_text(new)}, 'g')"
+
+
+def listed(values) -> str:
+    return "[" + ", ".join(sql_text(v) for v in values) + "]"
+
+
+TOKENS = "regexp_extract_all(t, '[A-Za-z0-9'']+')"
+LOWER_TOKENS = f"list_transform({TOKENS}, lambda x: lower(x))"
+OPINION_SQL = f"({rx('t', L.OPINION)} or regexp_matches(regexp_replace(t, {sql_text('(?i)' + L.BEST + L.BEST_MEASURED)}, '', 'g'), {sql_text('(?i)' + L.BEST)}))"
+SALIENT = f"case when {rx('t', L.HIGH_IMPACT)} and ({rx('t', L.SCOPE)} or len({TOKENS}) <= 20) then 'high' else 'normal' end"
+VERB = (
+    f"({rx('t', L.COPULA)} or list_has_any({LOWER_TOKENS}, {listed(L.IRREGULAR_VERBS)}) or len(list_filter({LOWER_TOKENS}, lambda x: length(x) > 3 and regexp_full_match(x, '[a-z0-9_]+(?:s|ed|ing)'))) > 0)"
+)
+PLAIN = f"list_filter({TOKENS}, lambda x: regexp_full_match(x, '[A-Za-z]+'))"
+WORDLIKE = f"list_filter({PLAIN}, lambda x: length(x) <= 2 or (regexp_matches(lower(x), '[aeiouy]') and not regexp_matches(lower(x), '[bcdfghjklmnpqrstvwxz]{{5,}}')))".replace("{{", "{").replace("}}", "}")
+ENGLISH_SQL = f"(list_has_any({LOWER_TOKENS}, {listed(L.ENGLISH)}) or len(list_intersect(list_distinct({LOWER_TOKENS}), {listed(L.FOREIGN)})) < 2)"
+KIND_RULES = (
+    ("regexp_full_match(t, '\\s*https?://\\S+\\s*')", "not_a_claim", "link, not a claim"), ("t like '%?'", "not_a_claim", "question"), (f"not {ENGLISH_SQL}", "not_a_claim", "unsupported language"),
+    (f"len({TOKENS}) < 4", "not_a_claim", "incomplete claim"), (f"len({PLAIN}) > 0 and len({WORDLIKE}) < 0.6 * len({PLAIN})", "not_a_claim", "unrecognized text"), (f"not {VERB}", "not_a_claim", "not an assertion"),
+    (OPINION_SQL, "opinion", "subjective"), (f"{rx('t', L.FUTURE)} and not {rx('t', L.ANNOUNCEMENT)}", "prospective", "claim about a future event"),
+)
+
+
+def cases(i: int, last: str) -> str:
+    return "case " + " ".join(f"when {rule[0]} then {sql_text(rule[i])}" for rule in KIND_RULES) + f" else {sql_text(last)} end"
+
+
+TRIAGE_SQL = f"""
+with c as (select claim_id, trim(claim) t from ({CLAIMS_SQL})),
+k as (select *, {cases(1, "checkable")} kind, {cases(2, "factual claim")} claim_type from c)
+select claim_id, kind, claim_type, kind in ('prospective', 'checkable') search_worthwhile,
+  case when kind in ('prospective', 'checkable') then {SALIENT} else 'normal' end salience,
+  kind in ('prospective', 'checkable') and {rx("t", L.NEGATION)} negated
+from k
+"""
+
+
+@register(TRIAGE_SQL)
+def claim_triage(spark, sf_dir):
+    return claims_view(spark, sf_dir).select("claim_id", C.triage(F.col("claim")).alias("x")).select("claim_id", "x.*")
+
+
+def normalise_sql() -> str:
+    steps, t = [], f"trim(coalesce(claim, ''))"
+    for pattern, new in ((L.URL, " "), (r"(?:^|\s)#\w+", " "), (r"(?:^|\s)@\w+", " "), (r"\s*\bvia\s+@?\w+\s*$", "")):
+        t = swapped(t, pattern, new)
+    steps.append(f"trim({swapped(t, chr(92) + 's+', ' ')})")
+    frame = f"^\\s*(?:{'|'.join(L.FRAMES)})\\s*[:,]?\\s+"
+    tail = f"\\s*[,;:–—-]?\\s*(?:{'|'.join(L.TAILS)})\\s*[?.!]*\\s*$"
+    for _ in range(3):
+        steps.append(f"trim({swapped(swapped(swapped('t', f'^{chr(92)}s*{L.LABEL}{chr(92)}s*[:{chr(92)}-–—]{chr(92)}s*', ''), frame, ''), tail, '')})")
+    steps.append(f"trim({swapped('t', L.ATTRIBUTION_TAIL, '', '')})")
+    steps.append("trim(regexp_replace(regexp_replace(regexp_replace(t, '!!+', '!', 'g'), '\\?\\?+', '?', 'g'), '\\.\\.+', '.', 'g'))")
+    steps.append("regexp_replace(regexp_replace(t, '^[ ,;:–—-]+', ''), '[ ,;:–—-]+$', '')")
+    steps.append(f"case when t like '%?' and not {rx('t', f'^(?:{L.QUESTION_WORDS}){chr(92)}b')} then trim(t[1 : length(t) - 1]) else t end")
+    inner = f"select claim_id, claim, {steps[0]} t from ({CLAIMS_SQL})"
+    for s in steps[1:]:
+        inner = f"select claim_id, claim, {s} t from ({inner})"
+    label = f"lower(regexp_extract(trim(claim), {sql_text('(?i)^' + chr(92) + 's*(' + L.LABEL + ')' + chr(92) + 's*[:' + chr(92) + '-–—]')}, 1))"
+    return f"select claim_id, coalesce(nullif(t, ''), trim(claim)) normalised, {label} label, {label} in ({listed(L.RECENCY_LABELS)[1:-1]}) recent_label from ({inner})"
+
+
+@register(normalise_sql())
+def claim_normalised(spark, sf_dir):
+    c = F.col("claim")
+    return claims_view(spark, sf_dir).select("claim_id", C.normalize_claim(c).alias("normalised"), C.leading_label(c).alias("label"), C.signals_recency(c).alias("recent_label"))
+
+
+SPLIT_SQL = f"""
+with c as (select claim_id, trim(regexp_replace(claim, '\\s+', ' ', 'g')) t from ({CLAIMS_SQL})),
+p as (select claim_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+|;\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' -•')), lambda x: x <> '') parts from c),
+k as (select claim_id, case when len(list_filter(parts, lambda x: len(string_split(x, ' ')) < 4)) > 0 then [t] else parts end parts from p)
+select claim_id, unnest(range(1, len(parts) + 1))::int part, unnest(parts) claim_part from k
+"""
+
+
+@register(SPLIT_SQL)
+def claim_parts(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).select("claim_id", F.posexplode(C.extract_claims(F.col("claim"))).alias("i", "claim_part"))
+    return rows.select("claim_id", (F.col("i") + 1).alias("part"), "claim_part")
+
+
+def first_match(rules, otherwise: str, flags: str) -> str:
+    return "case " + " ".join(f"when regexp_matches(t, {sql_text(flags + p)}) then {sql_text(n)}" for n, p in rules) + f" else {sql_text(otherwise)} end"
+
+
+ENTITY_SQL = (
+    f"list_filter(list_transform({found('t', chr(92) + 'b([A-Z][a-z]*(?:' + chr(92) + 's+[A-Z][a-z]*)*)' + chr(92) + 'b', 1, '')}, lambda e: trim(regexp_replace(e, '^(?:The|A|An)\\s+', ''))), "
+    f"lambda e: e <> '' and not list_contains({listed(L.NON_ENTITIES)}, e) and not (not contains(e, ' ') and regexp_matches(lower(e), '(?:ing|ed)$') and length(e) > 4))"
+)
+KNOWN_SQL = "list_filter([" + ", ".join(f"case when {rx('t', chr(92) + 'b(?:' + p.replace(' ', chr(92) + 's+') + ')' + chr(92) + 'b')} then {sql_text(n)} end" for p, n in L.KNOWN_ENTITIES) + "], lambda e: e is not null)"
+UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+DECOMPOSED_SQL = f"""
+with c as (select claim_id, claim t from ({CLAIMS_SQL})),
+a as (select *, {ENTITY_SQL} named, {KNOWN_SQL} known,
+    list_concat({", ".join(found("t", p, 1) for p in L.TEMPORAL)}) times,
+    list_concat({", ".join(found("t", p) for p in L.NUMBERS)}) nums,
+    list_filter({found("lower(t)", chr(92) + "b([a-z]+)" + chr(92) + "b", 1, "")}, lambda x: length(x) > 2 and not list_contains({listed(L.NOUN_STOPWORDS)}, x)) nouns,
+    {first_match(L.CLAIM_TYPES, "factual", "")} claim_type
+  from c),
+b as (select *, list_concat(named, list_filter(known, lambda e: not list_contains(list_transform(named, lambda n: lower(n)), lower(e)))) ents from a)
+select claim_id, claim_type, array_to_string({UNIQUE.format("ents")}, '|') entities, array_to_string(list_sort(list_distinct(nouns)), '|') words,
+  array_to_string({UNIQUE.format("nums")}, '|') numbers, array_to_string(times, '|') temporal,
+  case when {rx("t", L.TENSE_FUTURE)} then 'future' when {rx("t", L.TENSE_PAST)} then 'past' else 'present' end tense,
+  case when claim_type in ('numerical', 'comparative') then case when {rx("t", L.RISING)} then 'positive' when {rx("t", L.FALLING)} then 'negative' end end sentiment,
+  array_to_string({found("t", L.CONFIDENCE, 1)}, '|') confidence, {first_match(L.MODALITIES, "factual", "(?i)")} modality,
+  {rx("t", L.DECOMPOSED_NEGATION)} negation, nullif(lower(regexp_extract(t, {sql_text("(?i)" + L.ATTRIBUTION)})), '') attribution
+from b
+"""
+
+
+@register(DECOMPOSED_SQL)
+def claim_decomposition(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).select("claim_id", C.decompose(F.col("claim")).alias("d"))
+    joined = lambda c: F.array_join(f"d.{c}", "|").alias(c)
+    return rows.select("claim_id", "d.claim_type", joined("entities"), joined("words"), joined("numbers"), joined("temporal"), "d.tense", "d.sentiment", joined("confidence"), "d.modality", "d.negation", "d.attribution")
+
+
+COPULA_PAIR = r"\b(is|was|are|were)\s+(?:being\s+)?(\w+(?:\s+\w+)?)\b"
+PREDICATE_SQL = f"""
+with c as (select claim_id, claim t from ({CLAIMS_SQL})),
+a as (select *, flatten(list_transform(list_zip({found("t", COPULA_PAIR, 1)}, {found("t", COPULA_PAIR, 2)}), lambda z: [z[1], z[2]])) pairs from c),
+b as (select claim_id, list_filter(list_concat(pairs, {found("t", chr(92) + "b(" + chr(92) + "w+ing)" + chr(92) + "b(?:" + chr(92) + "s+" + chr(92) + "w+)?" + chr(92) + "b", 1)},
+    {found("t", chr(92) + "b(?:will|can|may|should)" + chr(92) + "s+(" + chr(92) + "w+)" + chr(92) + "b", 1)}, {found("t", L.ACTION_VERBS)}), lambda p: not list_contains({listed(L.STOP_PREDICATES)}, lower(p))) p from a)
+select claim_id, array_to_string({UNIQUE.format("p")}, '|') predicates from b
+"""
+
+
+@register(PREDICATE_SQL)
+def claim_predicates(spark, sf_dir):
+    return claims_view(spark, sf_dir).select("claim_id", F.array_join(C.predicates(F.col("claim")), "|").alias("predicates"))
+
+
+def event_test(text: str, forms) -> str:
+    return f"regexp_matches({text}, {sql_text('(?:^|[^a-z])(?:' + '|'.join(forms) + ')(?:$|[^a-z])')})"
+
+
+EVENT_LIST = "list_filter([" + ", ".join(f"case when {event_test('lower(claim)', forms)} then {sql_text(e)} end" for e, forms in L.EVENT_SURFACES.items()) + "], lambda e: e is not null)"
+OPPOSITE_CASE = "case e " + " ".join(f"when {sql_text(x)} then {sql_text(y)}" for a, b in L.OPPOSITES for x, y in ((a, b), (b, a))) + " end"
+EVENTS_SQL = f"select claim_id, array_to_string(ev, '|') events, array_to_string(list_filter(list_transform(ev, lambda e: {OPPOSITE_CASE}), lambda e: e is not null), '|') opposite_events from (select claim_id, {EVENT_LIST} ev from ({CLAIMS_SQL}))"
+
+
+@register(EVENTS_SQL)
+def claim_events(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).select("claim_id", C.events(F.col("claim")).alias("ev"))
+    return rows.select("claim_id", F.array_join("ev", "|").alias("events"), F.array_join(C.opposites(F.col("ev")), "|").alias("opposite_events"))
+
+
+MARKER_SQL = "case " + " ".join(f"when {event_test('lower(claim)', [m])} then {sql_text(m)}" for m in L.RECENT_MARKERS) + " end"
+TIME_SQL = f"""
+with c as (select *, {MARKER_SQL} m, case claim_id % 4 when 0 then 'recent' when 1 then 'Historical ' when 2 then 'other' end asked_raw from ({CLAIMS_SQL})),
+a as (select *, case when lower(trim(asked_raw)) in ('recent', 'historical') then lower(trim(asked_raw)) else 'auto' end asked,
+    lower(regexp_extract(trim(claim), {sql_text("(?i)^(" + L.LABEL + ")" + chr(92) + "s*[:" + chr(92) + "-–—]")}, 1)) label from c),
+b as (select *, asked = 'auto' and m is null and label in ({listed(L.RECENCY_LABELS)[1:-1]}) by_label from a),
+d as (select *, case when asked = 'recent' then 'recent' when asked = 'historical' then 'none' when by_label or m is not null then 'recent'
+    when {rx("claim", r"\b(19|20)\d{2}\b")} or {rx("claim", rf"\b({L.MONTHS})\b")} then 'dated' else 'none' end anchor,
+    case when asked <> 'auto' then '' when by_label then label else coalesce(m, '') end marker from b)
+select claim_id, anchor, marker, asked requested, by_label from_label, case when anchor = 'recent' then 'recent' else 'historical' end as "mode",
+  case when anchor = 'recent' then {L.RECENT_WINDOW_DAYS} end window_days,
+  case when asked <> 'auto' then 'you selected ' || case when anchor = 'recent' then 'recent' else 'historical' end || ' coverage'
+    when by_label then 'it was submitted as "' || upper(marker) || '"' when marker <> '' then 'the claim says "' || marker || '"'
+    when anchor = 'dated' then 'the claim names a specific date' else 'the claim is not anchored to a particular time' end reason
+from d
+"""
+
+
+@register(TIME_SQL)
+def claim_time(spark, sf_dir):
+    rows = claims_view(spark, sf_dir)
+    asked = F.expr("case claim_id % 4 when 0 then 'recent' when 1 then 'Historical ' when 2 then 'other' end")
+    return rows.select("claim_id", C.resolve_mode(F.col("claim"), asked, F.col("claim")).alias("x")).select("claim_id", "x.*")
+
+
+FACT_CASES = " ".join(f"when {rx('t', p)} then '{v}:{k}'" for v, rules in (("true", L.TRUE_FACTS), ("false", L.FALSE_FACTS)) for p, k in rules)
+FACTS_SQL = f"""
+with c as (select claim_id, regexp_replace(lower(trim(regexp_replace(claim, '\\s+', ' ', 'g'))), '[.!?]+$', '') t from ({CLAIMS_SQL})),
+f as (select claim_id, case when not {rx("t", L.QUALIFIED)} then case {FACT_CASES}
+    when {rx("t", L.SUBJECTIVE)} or regexp_matches(regexp_replace(t, {sql_text("(?i)" + L.BEST + L.BEST_MEASURED)}, '', 'g'), {sql_text("(?i)" + L.BEST)}) then 'not objectively verifiable:subjective' end end v from c)
+select claim_id, split_part(v, ':', 1) verdict, split_part(v, ':', 2) claim_type, case when v like 'not %' then 'high' else 'very high' end confidence from f where v is not null
+"""
+
+
+@register(FACTS_SQL)
+def claim_facts(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).select("claim_id", C.known_fact(F.col("claim"), with_arithmetic=False).alias("x"))
+    return rows.filter("x is not null").select("claim_id", "x.*")
+
+
+@register()
+def claim_quantities(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).select("claim_id", F.explode(Q.quantities(F.col("claim"))).alias("q"))
+    return rows.select("claim_id", "q.value", "q.kind", F.array_join("q.attribute", " ").alias("attribute"), F.col("q.text").alias("quantity"))
+
+
+@register()
+def claim_surface_forms(spark, sf_dir):
+    return claims_view(spark, sf_dir).select("claim_id", F.array_join(C.surface_forms(F.col("claim")), "|").alias("forms"))
+
+
+@register()
+def claim_queries(spark, sf_dir):
+    return S.generate_queries(claims_view(spark, sf_dir))
+
+
+# ---- sources and evidence --------------------------------------------------
+
+HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
+PUBLISHER_ROWS = "case event_id % 6 when 0 then 'https://news.google.com/rss/1' when 1 then 'https://www.google.com/x' when 2 then 'https://www.reuters.com/fact-check/y' when 3 then 'http://abc.gov.uk/z' when 4 then 'https://WWW.Nature.com:443/q' else 'ftp://x.factcheck.afp.com' end as url"
+PUBLISHER_NAMES = "case event_id % 5 when 0 then 'BBC  News' when 1 then 'The Daily Planet!' when 2 then 'fullfact.org' when 3 then '' else 'Associated Press' end as source"
+
+
+def domain_regex(domains) -> str:
+    return "^(.*\\.)?(" + "|".join(d.replace(".", "\\.") for d in domains) + ")$"
+
+
+TIER_SQL = f"""
+with r as (select event_id, {PUBLISHER_ROWS}, {PUBLISHER_NAMES} from events),
+n as (select *, {HOST.format("url")} host, lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) name from r),
+m as (select *, case when host in ({listed(L.AGGREGATORS)[1:-1]}) and name <> '' then coalesce(case name {" ".join(f"when {sql_text(k)} then {sql_text(v)}" for k, v in L.PUBLISHERS.items())} end,
+    case when contains(name, '.') and not contains(name, ' ') then name end, nullif(trim(regexp_replace(name, '[^a-z0-9]+', '-', 'g'), '-'), '') || '.publisher', host) else host end publisher from n),
+t as (select *, case when regexp_matches(publisher, {sql_text(domain_regex(L.PRIMARY))}) then 'primary' when regexp_matches(publisher, {sql_text(domain_regex(L.FACT_CHECK))}) then 'fact-check'
+    when publisher = 'reuters.com' and url like '%://%/fact-check%' then 'fact-check' when regexp_matches(publisher, {sql_text(domain_regex(L.REPORTING))}) then 'reporting'
+    when regexp_matches(publisher, {sql_text(domain_regex(L.REFERENCE))}) then 'reference' else 'unclassified' end tier from m)
+select event_id, publisher, tier, case tier when 'primary' then 1.0e0 when 'fact-check' then 0.95e0 when 'reporting' then 0.8e0 when 'reference' then 0.5e0 else 0.0e0 end weight from t
+"""
+
+
+@register(TIER_SQL)
+def source_tiers(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", PUBLISHER_ROWS, PUBLISHER_NAMES)
+    return rows.select("event_id", E.publisher_host(F.col("url"), F.col("source")).alias("publisher"), E.source_tier(F.col("url"), F.col("source")).alias("t")).select("event_id", "publisher", "t.tier", "t.weight")
+
+
+PUBLISHER_SQL = f"regexp_replace(coalesce(nullif(publisher, ''), {HOST.format('url')}), '^www\\.', '')"
+CLAIM_STANCE_SQL = f"""
+with j as (select *, greatest(source_weight, 0.1e0) w, {PUBLISHER_SQL} host from ({JUDGED_SQL})),
+a as (
+  select claim_id, sum(support * w) filter (nli_available and stance = 'supports') pm, sum(w) filter (nli_available and stance = 'supports') pw,
+    sum(contradiction * w) filter (nli_available and stance = 'contradicts') cm, sum(w) filter (nli_available and stance = 'contradicts') cw, count(*) filter (nli_available) evidence_count,
+    count(*) filter (nli_available and stance = 'supports') supporting_count, count(*) filter (nli_available and stance = 'contradicts') contradicting_count,
+    count(*) filter (nli_available and stance not in ('supports', 'contradicts')) neutral_count,
+    count(distinct host) filter (nli_available and stance = 'supports') independent_supporting, count(distinct host) filter (nli_available and stance = 'contradicts') independent_contradicting
+  from j group by 1),
+b as (select *, coalesce(pm / pw, 0e0) s, coalesce(cm / cw, 0e0) c from a)
+select claim_id, round(s, 4) support, round(c, 4) contradiction, round(s - c, 4) net,
+  case when supporting_count > 0 and s > 0.35 and contradicting_count > 0 and c > 0.35 then case when pm >= 2 * cm then 'supported' when cm >= 2 * pm then 'contradicted' else 'mixed' end
+    when supporting_count > 0 and s > 0.35 then 'supported' when contradicting_count > 0 and c > 0.35 then 'contradicted' else 'insufficient_evidence' end status,
+  evidence_count > 0 nli_available, evidence_count, supporting_count, contradicting_count, neutral_count, independent_supporting, independent_contradicting
+from b
+"""
+
+
+@register(CLAIM_STANCE_SQL)
+def claim_stances(spark, sf_dir):
+    rows = evidence_view(spark, sf_dir)
+    return E.claim_stance(rows, rows)
+
+
+DIAGNOSTICS = (
+    "user_id as claim_id", "case event_id % 6 when 0 then 'gnews' when 1 then 'guardian' when 2 then 'newsapi' when 3 then 'google_news' when 4 then 'wikipedia' else 'duckduckgo' end as provider",
+    "case when user_id % 3 = 0 then case event_id % 2 when 0 then 'success' else 'no_results' end when user_id % 3 = 1 then case event_id % 4 when 0 then 'failed' when 1 then 'timeout' when 2 then 'disabled' else 'success' end "
+    "else case event_id % 3 when 0 then 'failed' when 1 then 'no_results' else 'timeout' end end as status", "event_id % 4 as results",
+)
+RETRIEVAL_SQL = f"""
+with d as (select {", ".join(DIAGNOSTICS)} from events),
+a as (select claim_id, bool_and(status in ('success', 'no_results') or status = 'disabled') all_ok, bool_or(status = 'success') any_ok, bool_or(status in ('success', 'no_results')) any_answer,
+    count(distinct provider) filter (status in ('success', 'no_results')) providers_answered, case when claim_id % 7 = 0 then 0 else 5 end candidates, claim_id % 5 relevant from d group by claim_id)
+select claim_id, case when candidates = 0 and any_answer then 'NO_RESULTS' when candidates = 0 then 'SEARCH_FAILED' when relevant = 0 then 'NO_RELEVANT_RESULTS' when all_ok then 'SEARCH_SUCCESS'
+  when any_ok then 'SEARCH_PARTIAL' else 'SEARCH_FAILED' end retrieval_status, providers_answered from a
+"""
+
+
+def diagnostics_view(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr(*DIAGNOSTICS).withColumn("enabled", F.col("status") != "disabled")
+
+
+@register(RETRIEVAL_SQL)
+def retrieval_statuses(spark, sf_dir):
+    d = diagnostics_view(spark, sf_dir)
+    counts = d.select("claim_id").distinct().selectExpr("claim_id", "case when claim_id % 7 = 0 then 0 else 5 end as candidates", "claim_id % 5 as relevant")
+    return E.retrieval_status(d, counts)
+
+
+PROVIDER_SQL = f"""
+select provider, count(*) queries, sum(results)::bigint results, arg_min(status, case status when 'failed' then 0 when 'timeout' then 1 when 'disabled' then 2 when 'no_results' then 3 else 4 end) worst,
+  {", ".join(f"count(*) filter (status = '{s}') n_{s}" for s in ("failed", "timeout", "disabled", "no_results", "success"))}
+from (select {", ".join(DIAGNOSTICS)} from events) group by 1
+"""
+
+
+@register(PROVIDER_SQL)
+def provider_summary(spark, sf_dir):
+    return E.provider_summary(diagnostics_view(spark, sf_dir))
+
+
+VERDICT_SQL = f"""
+with s as ({CLAIM_STANCE_SQL}), r as ({RETRIEVAL_SQL}),
+j as (select s.*, retrieval_status, providers_answered, case when s.claim_id % 4 = 0 then 'high' else 'normal' end salience, s.claim_id % 5 = 0 prospective, s.claim_id % 9 = 0 negated, 4 + s.claim_id % 20 candidates from s join r using (claim_id)),
+a as (select *, not negated and nli_available and retrieval_status in ('SEARCH_SUCCESS', 'SEARCH_PARTIAL', 'NO_RELEVANT_RESULTS') and candidates >= 4 and providers_answered >= 2 and salience = 'high'
+    and supporting_count = 0 and contradicting_count = 0 absent from j),
+f as (select * replace (case when absent then 'unsupported_no_coverage' when prospective and status = 'supported' then 'reported_plan' when prospective and status = 'insufficient_evidence' then 'not_verifiable_yet' else status end as status) from a),
+i as (select *, case when status = 'contradicted' then independent_contradicting when status = 'supported' then independent_supporting else greatest(independent_supporting, independent_contradicting) end backing from f)
+select claim_id, status, retrieval_status, backing,
+  case when status = 'unsupported_no_coverage' then case when candidates >= 15 then 'high' when candidates >= 8 then 'medium' else 'low' end when status in ('insufficient_evidence', 'not_verifiable_yet') or not nli_available then 'low'
+    when backing >= 3 then 'high' when backing >= 2 then 'medium' else 'low' end confidence,
+  case when status in ({listed(E.NON_NUMERIC)[1:-1]}) then 50 else round_even(greatest(5e0, least(95e0, 50 + 45 * greatest(-1e0, least(1e0, net)))), 0)::int end balance,
+  round(least(1e0, (support + contradiction) * least(evidence_count / 2e0, 1e0)), 6) strength
+from i
+"""
+
+
+@register(VERDICT_SQL)
+def claim_verdicts(spark, sf_dir):
+    """The flagship: evidence and diagnostics to a verdict for each claim."""
+    rows = claim_stances(spark, sf_dir).join(retrieval_statuses(spark, sf_dir), "claim_id")
+    rows = rows.selectExpr("*", "case when claim_id % 4 = 0 then 'high' else 'normal' end as salience", "claim_id % 5 = 0 as prospective", "claim_id % 9 = 0 as negated", "4 + claim_id % 20 as candidates")
+    c = F.col
+    absent = E.absence_of_coverage(c("negated"), c("nli_available"), c("retrieval_status"), c("candidates"), c("providers_answered"), c("salience"), c("supporting_count"), c("contradicting_count"), F.lit(0))
+    rows = rows.withColumn("status", F.when(absent, "unsupported_no_coverage").otherwise(E.prospective_status(c("status"), c("prospective"))))
+    rows = rows.withColumn("backing", E.backing(c("status"), c("independent_supporting"), c("independent_contradicting")))
+    return rows.select(
+        "claim_id", "status", "retrieval_status", "backing", E.confidence(c("status"), c("backing"), c("nli_available"), c("candidates")).alias("confidence"),
+        E.balance(c("status"), c("net")).alias("balance"), F.round(E.strength(c("support"), c("contradiction"), c("evidence_count")), 6).alias("strength"),
+    )
+
+
+MERGE_SQL = f"""
+with s as (select *, claim_id // 3 statement_id, status in ('supported', 'contradicted', 'mixed') judged from ({CLAIM_STANCE_SQL})),
+a as (select statement_id, coalesce(avg(support) filter (judged), 0e0) support, coalesce(avg(contradiction) filter (judged), 0e0) contradiction, count(distinct status) filter (judged) kinds, min(status) filter (judged) only_status,
+    coalesce(sum(evidence_count) filter (judged), 0)::bigint evidence_count, sum(supporting_count)::bigint supporting_count, sum(contradicting_count)::bigint contradicting_count, sum(neutral_count)::bigint neutral_count,
+    coalesce(min(independent_supporting) filter (judged), 0) independent_supporting, coalesce(min(independent_contradicting) filter (judged), 0) independent_contradicting, bool_or(nli_available) nli_available from s group by 1)
+select * exclude (kinds, only_status) replace (round(support, 6) as support, round(contradiction, 6) as contradiction), round(support - contradiction, 6) net,
+  case when kinds = 0 then 'insufficient_evidence' when kinds > 1 or only_status = 'mixed' then 'mixed' else only_status end status from a
+"""
+
+
+@register(MERGE_SQL)
+def statement_summaries(spark, sf_dir):
+    rows = E.merge_claims(claim_stances(spark, sf_dir).withColumn("statement_id", F.expr("claim_id div 3")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("support", "contradiction", "net")})
+
+
+QUOTA_SQL = f"""
+with c as (select claim_id, ord, source_weight as weight, support as relevance from ({EVIDENCE_SQL})),
+a as (select *, row_number() over (partition by claim_id, weight > 0 order by relevance desc, ord) tp from c),
+b as (select *, weight > 0 and tp <= 3 held from a),
+d as (select *, row_number() over (partition by claim_id, held order by relevance desc, ord) fp, count(*) filter (held) over (partition by claim_id) n from b)
+select claim_id, ord, weight, relevance from d where held or fp <= 8 - n
+"""
+
+
+@register(QUOTA_SQL)
+def quota_selection(spark, sf_dir):
+    rows = evidence_view(spark, sf_dir).select("claim_id", "ord", F.col("source_weight").alias("weight"), F.col("support").alias("relevance"))
+    return E.select_for_scoring(rows)
+
+
+TOP_SQL = f"""
+with r as (select claim_id as statement_id, ord, url, support, contradiction, source_weight, greatest(support, contradiction) * source_weight rank_score from ({EVIDENCE_SQL})),
+u as (select *, row_number() over (partition by statement_id, url order by rank_score desc, ord) nth from r),
+p as (select * exclude (nth), row_number() over (partition by statement_id order by rank_score desc, ord) place from u where nth = 1)
+select * from p where place <= 8
+"""
+
+
+@register(TOP_SQL)
+def top_evidence(spark, sf_dir):
+    return E.top_evidence(evidence_view(spark, sf_dir).select(F.col("claim_id").alias("statement_id"), "ord", "url", "support", "contradiction", "source_weight"))
+
+
+PASSAGE_SQL = f"""
+with p as (select user_id claim_id, event_id % 13 doc_id, event_id passage_ord, case when event_id % 5 = 0 then 'Users claim that it ' else 'It ' end || event_id as passage,
+    (event_id * 31 % 97) / 97.0e0 entailment, (event_id * 17 % 89) / 89.0e0 contradiction, event_id % 6 <> 0 available from events),
+g as (select claim_id, doc_id, bool_or(available) nli_available,
+    arg_min(passage, [-entailment, passage_ord]) filter (available and event_frame = 0) sp, max(entailment) filter (available and event_frame = 0) se,
+    arg_min(passage, [-entailment, passage_ord]) filter (available) up, max(entailment) filter (available) ue,
+    arg_min(passage, [-contradiction, passage_ord]) filter (available) cp, max(contradiction) filter (available) ce
+  from (select *, case when passage like 'Users claim%' then 1 else 0 end event_frame from p) group by 1, 2),
+s as (select claim_id, doc_id, nli_available, coalesce(se, ue, 0e0) support, coalesce(ce, 0e0) contradiction, coalesce(sp, up) sp, cp from g)
+select claim_id, doc_id, support, contradiction, nli_available, case when nli_available then {STANCE} else 'unclear' end stance,
+  case when nli_available then case when support >= contradiction then sp else cp end else '' end best_sentence from s
+"""
+
+
+@register(PASSAGE_SQL)
+def document_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "user_id as claim_id", "event_id % 13 as doc_id", "event_id as passage_ord", "concat(case when event_id % 5 = 0 then 'Users claim that it ' else 'It ' end, event_id) as passage",
+        "(event_id * 31 % 97) / 97.0D as entailment", "(event_id * 17 % 89) / 89.0D as contradiction", "event_id % 6 <> 0 as available",
+    )
+    return E.score_documents(rows)
+
+
+# ---- dates, titles, jobs, history ------------------------------------------
+
+DATES_SQL = """
+with e as (select event_id, ts, date_trunc('second', ts) t from events),
+p as (select event_id, ts, strftime(t, '%a, %d %b %Y %H:%M:%S +0200') rfc, strftime(t, '%Y-%m-%dT%H:%M:%SZ') iso, case event_id % 4 when 0 then t - interval 2 hour when 1 then t end published from e),
+q as (select *, timestamp '2024-06-01 00:00:00' as now from p),
+d as (select *, greatest(0, floor((epoch(now) - epoch(published)) / 86400))::bigint age_days from q)
+select event_id, published, coalesce(event_id % 3 = 0 and published < now - interval 45 day, false) stale, coalesce(published >= now - interval 30 day, true) in_window,
+  case when published is null then null when age_days >= 730 then 'was published about ' || (age_days // 365) || ' years ago' when age_days >= 60 then 'was published about ' || (age_days // 30) || ' months ago' else 'was published ' || age_days || ' days ago' end age
+from d
+"""
+
+
+@register(DATES_SQL)
+def document_ages(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", "ts").cast("timestamp").alias("t"))
+    rfc, iso = F.concat(F.date_format("t", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200")), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = rows.withColumn("published", D.parse_any(F.when(F.col("event_id") % 4 == 0, rfc).when(F.col("event_id") % 4 == 1, iso).otherwise("not a date")))
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    return rows.select(
+        "event_id", F.col("published").cast("timestamp_ntz").alias("published"), D.is_stale(F.col("event_id") % 3 == 0, F.col("published"), now).alias("stale"),
+        D.within(F.col("published"), now).alias("in_window"), D.age_phrase(F.col("published"), now).alias("age"),
+    )
+
+
+RESULTS = (
+    "o_custkey as claim_id", "cast(substr(o_orderpriority, 1, 1) as int) as job_order", "o_orderkey as ord", "concat('https://example.com/', cast(o_orderkey % 40 as varchar(20))) as url",
+    "case o_orderkey % 4 when 0 then 'Reuters: Rates RISE again!' when 1 then 'Rates rise again' when 2 then concat('Story ', cast(o_orderkey as varchar(20))) else '' end as title",
+)
+MERGE_RESULTS_SQL = f"""
+with r as (select {", ".join(RESULTS)} from orders),
+f as (select * exclude (n) from (select *, row_number() over (partition by claim_id, url order by job_order, ord) n from r) where n = 1)
+select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9\\s]', '', 'g'), '\\b({L.TITLE_PUBLISHERS})\\b', '', 'g'), '\\s+', ' ', 'g')) title_key from f
+"""
+
+
+def results_view(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr(*RESULTS)
+
+
+@register(MERGE_RESULTS_SQL)
+def merged_results(spark, sf_dir):
+    return S.merge_results(results_view(spark, sf_dir)).withColumn("title_key", S.title_key(F.col("title")))
+
+
+DEDUP_SQL = f"""
+with m as ({MERGE_RESULTS_SQL}),
+k as (select *, row_number() over (partition by claim_id, case when title_key = '' then url else title_key end, title_key = '' order by job_order, ord) n from m)
+select claim_id, url, job_order, ord, title from k where n = 1
+"""
+
+
+@register(DEDUP_SQL)
+def deduplicated_results(spark, sf_dir):
+    return S.deduplicate(results_view(spark, sf_dir))
+
+
+JOBS_SQL = f"""
+with q as (select claim_id, unnest([1, 2, 3, 4, 5]) rank, claim_id % 2 = 0 recent from (select o_orderkey claim_id from orders)),
+p(provider, per_query, base) as (values ('gnews', 5, true), ('guardian', 5, false), ('newsapi', 5, false), ('google_news', 5, true), ('wikipedia', 3, true), ('duckduckgo', 3, true))
+select claim_id, rank, provider, per_query, base and not (recent and provider = 'wikipedia') enabled,
+  case when not (base and not (recent and provider = 'wikipedia')) then 'disabled' when claim_id % 7 = 0 then 'failed' when claim_id % 3 > 0 then 'success' else 'no_results' end status
+from q, p where rank <= 4
+"""
+
+
+@register(JOBS_SQL)
+def search_jobs(spark, sf_dir):
+    queries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
+    jobs = S.search_jobs(queries, S.providers(spark, ("gnews",)), F.col("claim_id") % 2 == 0)
+    status = S.job_status(F.col("enabled"), F.when(F.col("claim_id") % 7 == 0, "error"), F.col("claim_id") % 3)
+    return jobs.select("claim_id", "rank", "provider", "per_query", "enabled", status.alias("status"))
+
+
+HISTORY = ("o_custkey as user_id", "o_orderkey as check_id", "o_orderdate as created_at", "o_orderpriority as statement", "o_orderstatus as combined_verdict", "o_totalprice as combined_score")
+HISTORY_SQL = f"""
+select check_id, statement, combined_verdict, combined_score, created_at from (select {", ".join(HISTORY)} from orders)
+where user_id = (select min(o_custkey) from orders) order by created_at desc, check_id desc limit 5 offset 2
+"""
+
+
+@register(HISTORY_SQL)
+def history_page(spark, sf_dir):
+    from factloom.sources import history
+
+    checks = table(spark, sf_dir, "orders").selectExpr(*HISTORY)
+    user = checks.agg(F.min("user_id")).first()[0]
+    return history.history_page(checks, user, 5, 2)
+
+
+@register("select o_custkey user_id, count(*) checks from orders group by 1")
+def history_counts(spark, sf_dir):
+    from factloom.sources import history
+
+    return history.count_checks(table(spark, sf_dir, "orders").selectExpr(*HISTORY))
+
+
+# ---- documents -------------------------------------------------------------
+
+CONTENT = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 2 and not list_contains({listed(L.PASSAGE_STOPWORDS)}, w))"
+SENTENCES_SQL = f"""
+with d as (select doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents),
+p as (select doc_id, text, list_filter(string_split(regexp_replace(regexp_replace(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({"|".join(L.ABBREVIATIONS)})\\.', '\\1\\2' || chr(1), 'g'), '([.!?]) ([A-Z"''(\\[])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: len(string_split(s, ' ')) >= 5) s from d)
+select doc_id, len(s) n_sentences, sha256(replace(array_to_string(s, chr(10)), chr(1), '.')) sentences_sha256, len({CONTENT}) n_content_words,
+  len(list_filter(s, lambda x: regexp_matches(lower(x), {sql_text("|".join(p.replace(".", chr(92) + ".") for p in L.BOILERPLATE))}))) n_boilerplate
+from p
+"""
+
+
+@register(SENTENCES_SQL)
+def document_sentences(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", C.split_sentences(F.col("text")).alias("s"))
+    return rows.select(
+        "doc_id", F.size("s").cast("long").alias("n_sentences"), F.sha2(F.array_join("s", "\n").cast("binary"), 256).alias("sentences_sha256"),
+        F.size(P.content_words(F.col("text"))).cast("long").alias("n_content_words"), F.size(F.filter("s", lambda x: P.is_boilerplate(x))).cast("long").alias("n_boilerplate"),
+    )
+
+
+@register()
+def document_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.lit("").alias("snippet"))
+    return P.extract_passages(docs.withColumn("claim_id", F.col("doc_id")).withColumn("claim", F.substring("text", -200, 200)))
+
+
+@register()
+def relevant_documents(spark, sf_dir):
+    """Each claim of a block of eight orders against the texts of its block."""
+    claims = R.claim_features(claims_view(spark, sf_dir).filter("claim_id % 8 < 2"))
+    docs = claims_view(spark, sf_dir).select(F.expr("claim_id div 8").alias("block"), F.col("claim_id").alias("doc_id"), F.col("claim").alias("title"), F.lit("").alias("snippet"), F.concat("claim", F.lit(" More was reported by the BBC.")).alias("text"))
+    scored = R.score_pairs(claims.withColumn("block", F.expr("claim_id div 8")).join(docs, "block"))
+    yes, no = R.reasons()
+    return scored.select("claim_id", "doc_id", *(F.round(c, 6).alias(c) for c in ("entity", "action", "predicate", "coherence", "specificity", "relevance")), R.included().alias("included"), F.array_join(yes, "; ").alias("reasons_included"), F.array_join(no, "; ").alias("reasons_excluded"))
+
+
+@register()
+def article_texts(spark, sf_dir):
+    from factloom.sources import payloads
+
+    rows = payloads.articles(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "title", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", " ").alias("article"))
+
+
+# ---- features and evaluation -----------------------------------------------
+
+CLEAN = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+TERMS_SQL = f"""
+with w as (select item_id doc_id, {CLEAN.format("text")} w from benchmark),
+g as (select doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) t from w),
+t as (select doc_id, len(t) total, unnest(t) token from g)
+select doc_id, token, count(*) as "count", any_value(total) total from t group by 1, 2
+"""
+VOCAB_SQL = f"""
+with t as ({TERMS_SQL}), n as (select count(*) n from benchmark),
+v as (select token, count(*) df from t group by 1 having count(*) >= 2)
+select token, df, ln((1 + n)::double / (1 + df)) + 1 idf, row_number() over (order by token) - 1 term_id from v, n
+"""
+
+
+def benchmark_docs(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+@register(TERMS_SQL)
+def term_counts(spark, sf_dir):
+    return T.term_counts(benchmark_docs(spark, sf_dir))
+
+
+@register(VOCAB_SQL)
+def term_vocabulary(spark, sf_dir):
+    docs = benchmark_docs(spark, sf_dir)
+    return T.term_ids(T.vocabulary(T.term_counts(docs), docs.count(), smooth=True))
+
+
+@register(f"""
+with t as ({TERMS_SQL}), v as ({VOCAB_SQL}), x as (select doc_id, token, (1 + ln("count")) * idf raw from t join v using (token)), s as (select *, sqrt(sum(raw * raw) over (partition by doc_id)) norm from x)
+select doc_id, token, round(raw / norm, 9) as "value" from s
+""")
+def tfidf_vectors(spark, sf_dir):
+    docs = benchmark_docs(spark, sf_dir)
+    terms = T.term_counts(docs)
+    return T.tfidf(terms, T.vocabulary(terms, docs.count(), smooth=True), sublinear=True).withColumn("value", F.round("value", 9))
+
+
+@register(f"""
+with t as ({TERMS_SQL}), v as ({VOCAB_SQL}), x as (select doc_id, token, (1 + ln("count")) * idf raw from t join v using (token)), s as (select *, raw / sqrt(sum(raw * raw) over (partition by doc_id)) val from x)
+select doc_id, round(sum(val * length(token)), 9) product from s group by 1
+""")
+def sparse_product(spark, sf_dir):
+    docs = benchmark_docs(spark, sf_dir)
+    terms = T.term_counts(docs)
+    vocab = T.vocabulary(terms, docs.count(), smooth=True)
+    return T.dot(T.tfidf(terms, vocab, sublinear=True), vocab.select("token", F.length("token").alias("weight"))).withColumn("product", F.round("product", 9))
+
+
+@register(f"""
+with w as (select item_id doc_id, unnest({CLEAN.format("text")}) w from benchmark), p as (select doc_id, ' ' || w || ' ' w from w),
+g as (select doc_id, w, unnest([3, 4, 5]) n from p), h as (select doc_id, w[i : i + n - 1] gram from (select doc_id, w, n, unnest(range(1, greatest(length(w) - n + 2, 1))) i from g))
+select doc_id, gram, count(*) n from h group by 1, 2
+""")
+def character_grams(spark, sf_dir):
+    rows = benchmark_docs(spark, sf_dir).select("doc_id", F.explode(T.char_grams(T.clean_words(F.col("text")))).alias("g"))
+    return rows.select("doc_id", F.substring("g", 2, 9).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+SCORES_SQL = "select d.doc_id, l.quality y, (d.n_chars * 31 % 1000) / 1000.0e0 * 0.7e0 + l.quality * 0.25e0 p from documents d join labels l using (doc_id)"
+
+
+def scores_view(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.selectExpr("doc_id", "quality as y", "(n_chars * 31 % 1000) / 1000.0D * 0.7D + quality * 0.25D as p")
+
+
+@register(f"""
+with c as (select count(*) filter (p >= 0.5 and y = 1) tp, count(*) filter (p >= 0.5 and y <> 1) fp, count(*) filter (p < 0.5 and y = 1) fn, count(*) filter (p < 0.5 and y <> 1) tn from ({SCORES_SQL}))
+select *, (tp + tn) / (tp + fp + fn + tn) accuracy, tp / (tp + fp) as "precision", tp / (tp + fn) recall, 2 * tp / (2 * tp + fp + fn) f1 from c
+""")
+def binary_metrics(spark, sf_dir):
+    return V.metrics(V.confusion(scores_view(spark, sf_dir)))
+
+
+
+@register(f"""
+with s as ({SCORES_SQL}), g as (select (30 + i) / 100.0e0 threshold from range(0, 41) r(i)),
+a as (select threshold, avg(case when (p >= threshold) = (y = 1) then 1.0 else 0 end) accuracy from s, g group by 1)
+select threshold, round(accuracy, 9) accuracy from a order by a.accuracy desc, threshold limit 1
+""")
+def threshold_search(spark, sf_dir):
+    return V.best_threshold(scores_view(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@register(f"""
+with s as ({SCORES_SQL}), g as (select i / 10.0e0 threshold from range(0, 11) r(i))
+select threshold, sum(case when p >= threshold and y <> 1 then 1 else 0 end) / sum(case when y <> 1 then 1 else 0 end) fpr, sum(case when p >= threshold and y = 1 then 1 else 0 end) / sum(case when y = 1 then 1 else 0 end) tpr from s, g group by 1
+""")
+def roc_points(spark, sf_dir):
+    return V.roc_curve(scores_view(spark, sf_dir), 11).withColumn("threshold", F.round("threshold", 6))
+
+
+@register(f"""
+with s as ({SCORES_SQL}), r as (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 rk from s),
+a as (select sum(rk) filter (y = 1) r, count(*) filter (y = 1) pos, count(*) filter (y <> 1) neg from r)
+select round((r - pos * (pos + 1) / 2.0) / (pos * neg), 9) auc from a
+""")
+def rank_auc(spark, sf_dir):
+    return V.auc(scores_view(spark, sf_dir)).withColumn("auc", F.round("auc", 9))
+
+
+@register(f"""
+with s as ({SCORES_SQL})
+select least(9, floor(p * 10 + 1e-12))::int bin, count(*) n, round(avg(p), 9) mean_score, round(avg(y), 9) positive_share, round(abs(avg(p) - avg(y)), 9) gap from s group by 1
+""")
+def calibration_bins(spark, sf_dir):
+    return V.calibration(scores_view(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("mean_score", "positive_share", "gap")})
+
+
+@register(f"select round(avg((p - y) * (p - y)), 9) brier, round(avg(-(y * ln(greatest(p, 1e-9)) + (1 - y) * ln(greatest(1 - p, 1e-9)))), 9) log_loss from ({SCORES_SQL})")
+def probability_losses(spark, sf_dir):
+    return V.probability_losses(scores_view(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("brier", "log_loss")})
+
+
+@register()
+def accuracy_interval(spark, sf_dir):
+    return V.bootstrap(scores_view(spark, sf_dir), repeats=200)
+
+
+@register()
+def fold_sizes(spark, sf_dir):
+    return V.folds(scores_view(spark, sf_dir)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("""
+with s as (select lang truth, case when n_chars % 5 = 0 then 'en' else lang end guess from documents),
+l as (select distinct truth label from s union select distinct guess from s),
+c as (select label, count(*) filter (truth = label) support, count(*) filter (guess = label) guessed, count(*) filter (truth = label and guess = label) tp from l, s group by 1)
+select *, coalesce(tp / nullif(guessed, 0), 0) as "precision", coalesce(tp / nullif(support, 0), 0) recall, 2 * tp / (support + guessed) f1 from c
+""")
+def class_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("truth"), F.when(F.col("n_chars") % 5 == 0, "en").otherwise(F.col("lang")).alias("guess"))
+    return V.multiclass(rows)
+
+
+SWEEP_STANCE = STANCE_SQL.format(s="support", c="contradiction", t="threshold", d="dominance")
+SWEEP_SQL = f"""
+with x as (select support, contradiction, case ord % 3 when 0 then 'supports' when 1 then 'contradicts' else 'unclear' end label from ({EVIDENCE_SQL})),
+g as (select (25 + 5 * i) / 100.0e0 threshold, (10 + 2 * j) / 10.0e0 dominance from range(0, 9) a(i), range(0, 5) b(j)),
+s as (select *, {SWEEP_STANCE} said from x, g)
+select threshold, dominance, count(*) filter (said = label) as "right", count(*) filter (said <> 'unclear' and label = 'unclear') invented,
+  count(*) filter (said = label and said <> 'unclear') / count(*) filter (said <> 'unclear') as "precision", count(*) filter (said = label and said <> 'unclear') / count(*) filter (label <> 'unclear') recall
+from s group by 1, 2
+"""
+
+
+@register(SWEEP_SQL)
+def stance_sweep(spark, sf_dir):
+    label = F.expr("case ord % 3 when 0 then 'supports' when 1 then 'contradicts' else 'unclear' end")
+    rows = evidence_view(spark, sf_dir).select("support", "contradiction", label.alias("label"))
+    return V.stance_sweep(rows, [(25 + 5 * i) / 100 for i in range(9)], [(10 + 2 * j) / 10 for j in range(5)])
