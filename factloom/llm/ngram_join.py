@@ -168,11 +168,12 @@ def paired(entries: DataFrame) -> DataFrame:
 
         def whole(h, d, c, n):
             """Pairs of small groups and entries of large ones."""
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-            ends = np.r_[starts[1:], len(h)].astype(np.int64)
-            if len(starts):
-                crossing = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-                starts, ends = starts[crossing], ends[crossing]
+            if not len(h):
+                return
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            ends = np.r_[starts[1:], len(h)]
+            crossing = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+            starts, ends = starts[crossing], ends[crossing]
             left, right, many = [], [], []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 if b - a > GROUP:
