@@ -28,6 +28,7 @@ GRAMS = (3, 4, 5)
 ROUNDS = 2
 STEPS = 50
 RATE = 0.2
+TEXTS_AT_ONCE = 100
 #: Most labelled documents of each class that the model is fitted on: about so many, drawn by a hash of doc_id.
 SAMPLE = 2000
 
@@ -124,10 +125,10 @@ def fit_windows(b: Bags, toxic: np.ndarray, seed: int) -> Model:
     """Embeddings and softmax weights fitted to windows by Adam over all of them at each step; classes weigh alike."""
     draw = np.random.default_rng(seed)
     used, local = np.unique(b.bucket, return_inverse=True)
-    embedding = draw.normal(0, 0.1, (len(used), DIMENSIONS))
-    weights, bias = draw.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
+    embedding = draw.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
+    weights, bias = draw.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     counts = b.subword_counts
-    size = add_runs(counts[b.code], b.window_start).astype(float)[:, None]
+    size = add_runs(counts[b.code], b.window_start).astype(np.float32)[:, None]
     lengths = np.diff(np.r_[b.window_start, len(b.code)])
     window_of = np.repeat(np.arange(len(lengths)), lengths)
     by_code = np.argsort(b.code, kind="stable")
@@ -135,8 +136,8 @@ def fit_windows(b: Bags, toxic: np.ndarray, seed: int) -> Model:
     word_of = np.repeat(np.arange(len(counts)), counts)
     by_bucket = np.argsort(local, kind="stable")
     bucket_start = np.searchsorted(local[by_bucket], np.arange(len(used)))
-    share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))[:, None]
-    truth = np.stack([~toxic, toxic], 1).astype(float)
+    share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))[:, None].astype(np.float32)
+    truth = np.stack([~toxic, toxic], 1).astype(np.float32)
     values = [embedding, weights, bias]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, STEPS + 1):
@@ -154,7 +155,7 @@ def fit_windows(b: Bags, toxic: np.ndarray, seed: int) -> Model:
         for i, g in enumerate(slopes):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
-            values[i] = values[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-10)
+            values[i] = values[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + np.float32(1e-10))
     embedding, weights, bias = values
     value = np.zeros(BUCKETS)
     value[used] = embedding @ (weights[:, 1] - weights[:, 0])
@@ -164,15 +165,19 @@ def fit_windows(b: Bags, toxic: np.ndarray, seed: int) -> Model:
 def log_odds(b: Bags, toxic: np.ndarray) -> Model:
     """A first guess at windows: each bucket's smoothed log odds between toxic and clean texts that hold it."""
     lengths = np.diff(np.r_[b.window_start, len(b.code)])
-    pairs = np.unique(np.repeat(b.row, lengths) * np.int64(len(b.word_start)) + b.code)
-    row, word = pairs // len(b.word_start), pairs % len(b.word_start)
-    counts = b.subword_counts[word]
-    begin = np.cumsum(counts) - counts
-    bucket = b.bucket[np.repeat(b.word_start[word] - begin, counts) + np.arange(counts.sum())]
-    seen = np.unique(np.repeat(row, counts) * np.int64(BUCKETS) + bucket)
-    row, bucket = seen // BUCKETS, seen % BUCKETS
-    hot = np.bincount(bucket[toxic[row]], minlength=BUCKETS)
-    cold = np.bincount(bucket[~toxic[row]], minlength=BUCKETS)
+    text = np.repeat(b.row, lengths)
+    hot, cold = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for first in range(0, len(toxic), TEXTS_AT_ONCE):  # a text's subwords are many times its words
+        begin, end = np.searchsorted(text, [first, first + TEXTS_AT_ONCE])
+        pairs = np.unique(text[begin:end] * np.int64(len(b.word_start)) + b.code[begin:end])
+        row, word = pairs // len(b.word_start), pairs % len(b.word_start)
+        counts = b.subword_counts[word]
+        before = np.cumsum(counts) - counts
+        bucket = b.bucket[np.repeat(b.word_start[word] - before, counts) + np.arange(counts.sum())]
+        seen = np.unique(np.repeat(row, counts) * np.int64(BUCKETS) + bucket)
+        held = toxic[seen // BUCKETS]
+        hot += np.bincount(seen[held] % BUCKETS, minlength=BUCKETS)
+        cold += np.bincount(seen[~held] % BUCKETS, minlength=BUCKETS)
     return Model(np.log((hot + 1) / (toxic.sum() + 2)) - np.log((cold + 1) / ((~toxic).sum() + 2)), 0.0)
 
 
@@ -218,8 +223,8 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of about ``sample`` documents of each class outside the held-out fold, all if there are fewer.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, toxic of about ``sample`` documents of each class outside the held-out fold, all if there are fewer.
 
     Rows are drawn by a hash of doc_id, alike at every size. A document with
     several labels is toxic if one says so; null labels and ids don't count.
@@ -231,8 +236,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     for label, n in sizes.items():
         keep = keep | ((F.col("toxic") == label) & (place < sample / n))
     # At most about sample ids of each class: small whatever the data.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.filter(keep)), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
+    return docs.select("doc_id", "text").join(F.broadcast(known.filter(keep)), "doc_id").select("doc_id", "text", "toxic")
+
+
+def fit_sample(rows: DataFrame) -> Model:
+    """``fit`` on an executor, where there is room for it; ``rows`` are bounded by the sample."""
+
+    def run(batches):
+        held = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: (r[0], r[1] or ""))
+        model = fit([r[1] for r in held], [r[2] for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.tobytes()]), pa.array([model.bias])], names=["value", "bias"])
+
+    found = rows.repartition(1).mapInArrow(run, "value binary, bias double").first()
+    return Model(np.frombuffer(found[0], np.float64), found[1]) if found else fit([], [])
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,4 +268,4 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    return score_texts(docs, fit(*labelled_sample(docs, labels, sample)))
+    return score_texts(docs, fit_sample(labelled_sample(docs, labels, sample)))
