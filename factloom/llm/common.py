@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder that the session names."""
+    """``df`` with its lineage cut by a checkpoint in the shared folder that the session names.
+
+    What only the cut lineage needed, shuffle files above all, is let go at
+    once: Spark removes it when the driver's garbage is collected, and small
+    drivers of long chains collect too seldom.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def let(value: Column, body) -> Column:
