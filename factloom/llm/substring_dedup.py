@@ -60,27 +60,41 @@ def segment_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, at: n
     return mix((sums[end] - sums[start]) * inverse[start] + mix((end - start).astype(np.uint64) * np.uint64(64) + (at - start).astype(np.uint64)))
 
 
+#: The lowest bits of all digits of a word, of its first 0 to 15 digits; each digit in all places of a word.
+ONES = 0x1111111111111111
+BELOW = np.array([ONES & ((1 << 4 * i) - 1) for i in range(16)], np.uint64)
+SAME = np.array([ONES * d for d in range(16)], np.uint64)
+
+
 class WaveletMatrix:
-    """A sequence of symbols as packed bits, level by level, with ranks by popcount."""
+    """A sequence of symbols as a wavelet matrix over digits of four bits, packed by sixteen, with ranks by popcount."""
 
     def __init__(self, symbols: np.ndarray, size: int):
-        self.levels = max(1, int(size - 1).bit_length())
-        self.bits, self.before, self.zeros = [], [], []
-        for level in range(self.levels - 1, -1, -1):
-            bit = (symbols >> level & 1).astype(np.uint8)
-            packed = np.packbits(np.r_[bit, np.zeros(-len(bit) % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
-            self.bits.append(packed)
-            self.before.append(np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int32)[:-1]])
-            self.zeros.append(int(len(bit) - bit.sum(dtype=np.int64)))
-            symbols = np.r_[symbols[bit == 0], symbols[bit == 1]]
+        self.shifts = list(range(4 * ((max(1, int(size - 1).bit_length()) + 3) // 4 - 1), -1, -4))
+        self.words, self.before, self.smaller = [], [], []
+        blocks = len(symbols) // 16 + 1
+        place = np.arange(len(symbols)) >> 4
+        lift = (4 * np.arange(16)).astype(np.uint64)
+        for shift in self.shifts:
+            digit = (symbols >> shift & 15).astype(np.uint8)
+            padded = np.zeros(16 * blocks, np.uint64)
+            padded[: len(digit)] = digit
+            self.words.append(np.bitwise_or.reduce(padded.reshape(-1, 16) << lift, axis=1))
+            counts = np.bincount(place * 16 + digit, minlength=16 * blocks).reshape(-1, 16)
+            self.before.append((np.cumsum(counts, axis=0) - counts).astype(np.int32).ravel())
+            total = counts.sum(0)
+            self.smaller.append(np.cumsum(total) - total)
+            symbols = symbols[np.argsort(digit, kind="stable")]
 
     def follow(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where the first ``place`` entries that equal ``symbol`` end among the sorted leaves."""
-        one = np.uint64(1)
-        for i in range(self.levels):
-            word = place >> 6
-            ones = self.before[i][word] + np.bitwise_count(self.bits[i][word] & ((one << (place & 63).astype(np.uint64)) - one))
-            place = np.where(symbol >> (self.levels - 1 - i) & 1, self.zeros[i] + ones, place - ones)
+        for shift, words, before, smaller in zip(self.shifts, self.words, self.before, self.smaller, strict=True):
+            digit, block = symbol >> shift & 15, place >> 4
+            other = words[block] ^ SAME[digit]
+            other |= other >> np.uint64(2)
+            other |= other >> np.uint64(1)
+            equal = np.bitwise_count(~other & BELOW[place & 15])
+            place = smaller[digit] + before[block * 16 + digit] + equal
         return place
 
 
@@ -95,12 +109,12 @@ class FMIndex:
         while width < depth:
             ahead = np.arange(n) + width
             key = rank * np.int64(n + size + 1) + np.where(ahead <= last, rank[np.minimum(ahead, n - 1)], 0)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key, kind="stable" if 2 * width >= depth else None)  # ties count in the last order only
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
             width *= 2
-        self.first = np.searchsorted(text[order], np.arange(size + 1))  # of each symbol among the suffixes
+        self.first = np.searchsorted(text[order], np.arange(size + 2))  # of each symbol among the suffixes
         previous = np.where((order > 0) & (owner[order - 1] == owner[order]), text[order - 1], 0)
         self.matrix = WaveletMatrix(previous, size)
         self.start = self.matrix.follow(np.arange(size), np.zeros(size, np.int64))
@@ -109,7 +123,12 @@ class FMIndex:
 
     def extend(self, symbol, low, high):
         shift = self.first[symbol] - self.start[symbol]
-        return self.matrix.follow(symbol, low) + shift, self.matrix.follow(symbol, high) + shift
+        ends = self.matrix.follow(np.r_[symbol, symbol], np.r_[low, high])
+        return ends[: len(symbol)] + shift, ends[len(symbol) :] + shift
+
+    def symbol(self, symbol):
+        """The interval of the suffixes that begin with a symbol."""
+        return self.first[symbol], self.first[symbol + 1]
 
     def weight(self, low, high):
         return self.weights[high] - self.weights[low]
@@ -125,8 +144,9 @@ def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
     """
     found: list[np.ndarray] = []
     live = np.flatnonzero(length >= window)
-    end, at = length[live].copy(), length[live].copy()
-    low, high = np.zeros(len(live), np.int64), np.full(len(live), index.n, np.int64)
+    end = length[live].copy()
+    at = end - 1
+    low, high = index.symbol(text[start[live] + at])
     while len(live):
         lower, higher = index.extend(text[start[live] + at - 1], low, high)
         on = index.weight(lower, higher) >= 2
@@ -140,9 +160,9 @@ def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
         if over.any():
             following = np.minimum(end - 1, at + window - 1)
             stay = ~over | (~whole & (following >= np.maximum(need[live], window)))
-            end = np.where(over, following, end)
-            low, high, at = np.where(over, 0, low), np.where(over, index.n, high), np.where(over, end, at)
-            live, end, at, low, high = live[stay], end[stay], at[stay], low[stay], high[stay]
+            end, at = np.where(over, following, end), np.where(over, following - 1, at)
+            live, end, at, low, high, over = live[stay], end[stay], at[stay], low[stay], high[stay], over[stay]
+            low[over], high[over] = index.symbol(text[start[live[over]] + at[over]])
     out = np.concatenate(found) if found else np.empty((0, 3), np.int64)
     return out[:, 0], out[:, 1], out[:, 2]
 
