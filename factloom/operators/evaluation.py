@@ -92,7 +92,7 @@ def bootstrap(scores: DataFrame, threshold: float = 0.5, repeats: int = 2000, se
         total += term
         times = times + F.when(u > total, 1).otherwise(0)
         term /= k + 1
-    rows = draws.withColumn("times", times).groupBy("rep").agg((F.sum(F.col("right") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("accuracy"))
+    rows = draws.withColumn("times", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("right") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("accuracy"))
     return rows.agg(F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
 
 
@@ -102,7 +102,7 @@ def paired_bootstrap(both: DataFrame, repeats: int = 2000, seed: int = 7) -> Dat
     cells = both.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(ok("q") - ok("p")).alias("gain"))
     draws = cells.crossJoin(F.broadcast(both.sparkSession.range(repeats).withColumnRenamed("id", "rep")))
     times = F.pmod(F.xxhash64("cell", "rep", F.lit(seed)), F.lit(3))
-    rows = draws.withColumn("times", times).groupBy("rep").agg((F.sum(F.col("gain") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("gain"))
+    rows = draws.withColumn("times", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("gain") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("gain"))
     return rows.agg(F.avg("gain").alias("mean"), F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"))
 
 

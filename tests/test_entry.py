@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,9 +13,14 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 
 def rows(frame):
+    """Column names, and the rows as sorted text: nulls alike, whole numbers without a point."""
+    def tidy(v):
+        if v is None or pd.isna(v):
+            return ""
+        return str(int(v)) if isinstance(v, (int, float)) and v == int(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
+
     names = sorted(frame.columns)
-    tidy = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
-    return names, sorted(repr(tuple(tidy(None if v != v else v) for v in r)) for r in frame[names].astype(object).itertuples(index=False))
+    return names, sorted("|".join(map(tidy, r)) for r in frame[names].astype(object).itertuples(index=False))
 
 
 @needs_data
