@@ -807,3 +807,50 @@ def stance_sweep(spark, sf_dir):
     label = F.expr("case ord % 3 when 0 then 'supports' when 1 then 'contradicts' else 'unclear' end")
     rows = evidence_view(spark, sf_dir).select("support", "contradiction", label.alias("label"))
     return V.stance_sweep(rows, [(25 + 5 * i) / 100 for i in range(9)], [(10 + 2 * j) / 10 for j in range(5)])
+
+
+# ---- the headline benchmark ------------------------------------------------
+
+TALLY_SQL = f"""
+with c as (select claim_id, status, case when claim_id % 2 = 0 then 'reported' else 'corrupted' end truth from ({VERDICT_SQL})),
+o as (select *, status = 'supported' pro, status in ('contradicted', 'unsupported_no_coverage') con from c),
+k as (select truth, case when (truth = 'reported' and pro) or (truth <> 'reported' and con) then 'correct' when (truth = 'reported' and con) or (truth <> 'reported' and pro) then 'wrong' else 'missed' end outcome from o)
+select truth, count(*) n, count(*) filter (outcome = 'correct') correct, count(*) filter (outcome = 'missed') missed, count(*) filter (outcome = 'wrong') wrong, count(*) filter (outcome = 'wrong') / count(*) wrong_rate from k group by 1
+"""
+
+
+@register(TALLY_SQL)
+def benchmark_tally(spark, sf_dir):
+    from factloom.operators import benchmarking as B
+
+    rows = claim_verdicts(spark, sf_dir).withColumn("truth", F.when(F.col("claim_id") % 2 == 0, "reported").otherwise("corrupted"))
+    return B.tally(rows.withColumn("outcome", B.outcome(F.col("truth"), F.col("status"))))
+
+
+@register()
+def headline_cases(spark, sf_dir):
+    from factloom.operators import benchmarking as B
+
+    return B.build_cases(claims_view(spark, sf_dir), "claim")
+
+
+CONFLICTS = (
+    "claim_id", "concat('Unemployment fell to ', cast(claim_id % 10 as varchar(20)), ' percent') as claim", "case when claim_id % 3 = 0 then 'Prices rose' else concat('Unemployment was ', cast(claim_id % 4 as varchar(20)), ' percent') end as passage"
+)
+
+
+@register(f"""
+with r as (select claim_id, claim_id % 10 c, claim_id % 4 s from ({CLAIMS_SQL}) where claim_id % 3 <> 0)
+select claim_id, c || ' percent' claimed, s || ' percent' stated from r where abs(c - s) > 0.02e0 * greatest(c, s)
+""")
+def quantity_conflicts(spark, sf_dir):
+    rows = claims_view(spark, sf_dir).selectExpr(*CONFLICTS).withColumn("passages", F.array("passage"))
+    return Q.conflicting_documents(rows).filter("claimed is not null").select("claim_id", "claimed", "stated")
+
+
+@register(f"""
+with m as (select claim_id, claim_id // 3 statement_id, retrieval_status, case retrieval_status when 'SEARCH_FAILED' then 0 when 'NO_RESULTS' then 1 when 'NO_RELEVANT_RESULTS' then 2 when 'SEARCH_PARTIAL' then 3 else 4 end r from ({RETRIEVAL_SQL}))
+select statement_id, arg_min(retrieval_status, r) retrieval_status from m group by 1
+""")
+def worst_retrieval(spark, sf_dir):
+    return E.worst_retrieval(retrieval_statuses(spark, sf_dir).withColumn("statement_id", F.expr("claim_id div 3")))
