@@ -44,10 +44,11 @@ def base_forms() -> dict[str, str]:
     return table
 
 
-def corrupted(headline: Column) -> Column:
-    """A struct of claim and strategy, or null: the event turned round, the first number times seven, or a negation.
+def build_cases(headlines: DataFrame, text: str = "headline") -> DataFrame:
+    """origin, claim, truth, strategy: one or two rows for each usable headline, distinct by text.
 
-    Strategies are tried in an order that a hash of the headline gives, so it is the same on every run.
+    The second is corrupted: its event turned round, its first number times
+    seven, or a negation, tried in an order that a hash of the headline gives.
     """
     turned, bases = opposite_forms(), base_forms()
 
@@ -75,24 +76,20 @@ def corrupted(headline: Column) -> Column:
 
     ways = (("antonym", antonym), ("number", number), ("negate", negate))
 
-    @F.pandas_udf("struct<claim:string,strategy:string>")
-    def run(texts: pd.Series, forms: pd.Series, order: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, f, o in zip(texts, forms, order, strict=True):
-            f, q = list(f), [x[3] for x in find_quantities(text)]
-            ranked = [ways[(o + i) % 3] for i in range(3)]
-            made = ((way(text, f, q), name) for name, way in (ranked if o % 2 else [ranked[0], ranked[2], ranked[1]]))
-            out.append(next(((c, name) for c, name in made if c), (None, None)))
-        return pd.DataFrame(out, columns=["claim", "strategy"])
-
-    return run(headline, surface_forms(headline), F.pmod(F.xxhash64(F.lit(7), headline), F.lit(6)).cast("int"))
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, f, o in zip(batch["origin"], batch["forms"], batch["way"], strict=True):
+                f, q = list(f), [x[3] for x in find_quantities(text)]
+                ranked = [ways[(o + i) % 3] for i in range(3)]
+                made = ((way(text, f, q), name) for name, way in (ranked if o % 2 else [ranked[0], ranked[2], ranked[1]]))
+                out.append((text, text, "reported", None))
+                out += [(text, c, "corrupted", name) for c, name in made if c][:1]
+            yield pd.DataFrame(out, columns=["origin", "claim", "truth", "strategy"])
 
-
-def build_cases(headlines: DataFrame, text: str = "headline") -> DataFrame:
-    """origin, claim, truth, strategy: one or two rows for each usable headline, distinct by text."""
     rows = headlines.select(F.col(text).alias("origin")).filter(usable_headline(F.col("origin"))).distinct()
-    fake = rows.withColumn("x", corrupted(F.col("origin"))).filter("x.claim is not null").select("origin", "x.claim", F.lit("corrupted").alias("truth"), "x.strategy")
-    return rows.select("origin", F.col("origin").alias("claim"), F.lit("reported").alias("truth"), F.lit(None).cast("string").alias("strategy")).unionByName(fake)
+    rows = rows.select("origin", surface_forms(F.col("origin")).alias("forms"), F.pmod(F.xxhash64(F.lit(7), "origin"), F.lit(6)).cast("int").alias("way"))
+    return rows.mapInPandas(run, "origin string, claim string, truth string, strategy string")
 
 
 def outcome(truth: Column, status: Column) -> Column:
