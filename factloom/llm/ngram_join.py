@@ -28,6 +28,8 @@ GRAM = 5
 BITS, KEYS, WIDTH = 512, 4, 1 << 16
 #: Entries of one shingle that are paired where they meet; more go to tiles of so many rows a side.
 GROUP, BLOCK = 128, 1024
+#: Words of 64 bits in the filter of documents that a step asks for.
+FILTER_WORDS = 1 << 17
 #: Two sizes whose ratio is 4/3 at most are in the same band or in neighbouring ones.
 BAND = 1.34
 
@@ -100,6 +102,18 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose doc_id may be among ``ids``, with all that are, before any of their text is shuffled.
+
+    The filter is a table of FILTER_WORDS rows of 64 bits at most, whatever the
+    data, so it can be broadcast; a fuller one lets more rows pass.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    held = cut(ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    return rows.join(F.broadcast(held), word == F.col("__word")).filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) whose texts link, by exact intersection of their sorted shingles."""
 
@@ -111,6 +125,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             keep = [linked(left[i], r) for i, r in zip(first.indices.to_pylist(), right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    texts = asked_for(texts, ids)
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -270,7 +286,7 @@ def ngram_join(docs: DataFrame, n: int = GRAM) -> DataFrame:
     # One text stands for all with its set.
     same = ["s1", "s2", "n"]
     sets = cut(filled.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    texts = rows.filter("doc_id is not null").join(sets.select("doc_id"), "doc_id", "left_semi")
+    texts = rows.filter("doc_id is not null")
 
     near = cut(verified(cut(stars(sets)), texts, n))
     low = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("to"))
