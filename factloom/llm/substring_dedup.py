@@ -2,7 +2,7 @@
 
 Two equal windows pick the same anchor, the run of ANCHOR words with the least
 hash in them, so what can match meets at an anchor. Around each anchor that
-occurs twice or more lies a segment that holds all windows with it. Distinct
+occurs twice or more lies a segment of the windows that picked it. Distinct
 segments are dealt by anchor into shards; a shard is indexed once (suffix
 array, Burrows-Wheeler transform, wavelet matrix of packed bits with ranks by
 popcount) and its segments are streamed against the index: backward search
@@ -24,8 +24,10 @@ from factloom.llm.common import cut, gram_hashes, hash_words, mix, slices, words
 
 WINDOW = 35
 ANCHOR = 8
+#: Words of the runs by which hopeless ends of segments are cut off; a power of two.
+PROBE = 8
 #: Segments in a shard, about.
-SHARD_SEGMENTS = 16384
+SHARD_SEGMENTS = 8192
 
 
 def sliding(values: np.ndarray, size: int, best) -> np.ndarray:
@@ -37,18 +39,24 @@ def sliding(values: np.ndarray, size: int, best) -> np.ndarray:
     return best(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(offsets: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, index among all words) of the anchors of rows of words, and their hashes."""
+def anchors(offsets: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Of the anchors of rows of words: index among all words, hash, and begin and end of the windows that pick it."""
     total, span = len(hashes), window - anchor + 1
     if total < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     grams = gram_hashes(hashes, anchor) | np.uint64(1)
     least = sliding(grams, span, np.minimum)  # by a window's first word
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     least = np.where(np.arange(len(least)) + window <= ends, least, np.uint64(0))
     padded = np.r_[np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]
     at = np.flatnonzero(sliding(padded, span, np.maximum)[: len(grams)] == grams)
-    return at, grams[at]
+    found = grams[at]
+    first, last = np.full(len(at), total), np.zeros(len(at), np.int64)
+    for back in range(span):  # the windows that pick an anchor follow one another
+        picked = padded[at - back + span - 1] == found
+        first = np.where(picked, at - back, first)
+        last = np.where(picked & (last == 0), at - back + 1, last)
+    return at, found, first, last - 1 + window
 
 
 def segment_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -99,7 +107,11 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Segments (rows of words as symbols from 1 on, each ended by 0) with weights, to be searched backwards."""
+    """Segments (rows of words as symbols from 1 on, each ended by 0) with weights, to be searched backwards.
+
+    Sorting the suffixes tells on its way which runs of PROBE words have weight
+    2 or more; where one has not, no longer one over it can.
+    """
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, weight: np.ndarray, size: int, depth: int):
         n = len(text)
@@ -114,6 +126,8 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
             width *= 2
+            if width == PROBE:  # the suffixes' classes by their first PROBE words
+                self.probe = (np.bincount(rank, weight[owner])[rank] >= 2) | (np.arange(n) + PROBE > last)
         self.first = np.searchsorted(text[order], np.arange(size + 2))  # of each symbol among the suffixes
         previous = np.where((order > 0) & (owner[order - 1] == owner[order]), text[order - 1], 0)
         self.matrix = WaveletMatrix(previous, size)
@@ -134,17 +148,23 @@ class FMIndex:
         return self.weights[high] - self.weights[low]
 
 
-def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.ndarray, need: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first, end) of the maximal stretches of ``window`` words or more with weight 2 or more.
+def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, anchor: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, end) of the maximal stretches of ``window`` words or more around the anchor with weight 2 or more.
 
-    All segments are searched at once. A search reads back from an end until
+    All segments are searched at once, between the nearest runs on either side
+    of the anchor that occur only once. A search reads back from an end until
     the weight falls below 2; no window over that place can match, so the next
-    search starts at the end of the next window that can. Ends before ``need``
-    hold no window with the anchor.
+    search starts at the end of the next window that can.
     """
     found: list[np.ndarray] = []
-    live = np.flatnonzero(length >= window)
-    end = length[live].copy()
+    everywhere = np.arange(len(text))
+    probe = index.probe if window >= PROBE else np.ones(len(text), bool)
+    lone_before = np.maximum.accumulate(np.where(probe, -1, everywhere))
+    lone_after = np.minimum.accumulate(np.where(probe, 2 * len(text), everywhere)[::-1])[::-1]
+    floor = np.maximum(0, lone_before[start + place] - start + 1)
+    end = np.minimum(length, lone_after[start + place] - start + PROBE - 1)
+    live = np.flatnonzero(end - floor >= window)
+    end, least = end[live], np.maximum(place[live] + anchor, floor[live] + window)
     at = end - 1
     low, high = index.symbol(text[start[live] + at])
     while len(live):
@@ -152,16 +172,16 @@ def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
         on = index.weight(lower, higher) >= 2
         at = at - on
         low, high = np.where(on, lower, low), np.where(on, higher, high)
-        whole = on & (at == 0)
+        whole = on & (at == floor[live])
         over = ~on | whole
         hit = over & (end - at >= window)
         if hit.any():
             found.append(np.c_[live[hit], at[hit], end[hit]])
         if over.any():
             following = np.minimum(end - 1, at + window - 1)
-            stay = ~over | (~whole & (following >= np.maximum(need[live], window)))
+            stay = ~over | (~whole & (following >= least))
             end, at = np.where(over, following, end), np.where(over, following - 1, at)
-            live, end, at, low, high, over = live[stay], end[stay], at[stay], low[stay], high[stay], over[stay]
+            live, end, at, low, high, over, least = live[stay], end[stay], at[stay], low[stay], high[stay], over[stay], least[stay]
             low[over], high[over] = index.symbol(text[start[live[over]] + at[over]])
     out = np.concatenate(found) if found else np.empty((0, 3), np.int64)
     return out[:, 0], out[:, 1], out[:, 2]
@@ -179,8 +199,8 @@ def search_shard(segments: pa.Array, places: np.ndarray, weight: np.ndarray, anc
     text[inside] = codes.astype(np.int64) + 1
     text[start + places] = len(distinct) + 1 + anchor_ids
     size = int(len(distinct) + 2 + anchor_ids.max())
-    index = FMIndex(text, owner, weight, size, int(lengths.max()) + 1)
-    return repeated(index, text, start, lengths, places + anchor, window)
+    index = FMIndex(text, owner, weight, size, max(PROBE, int(lengths.max()) + 1))
+    return repeated(index, text, start, lengths, places, anchor, window)
 
 
 def row_key():
@@ -188,7 +208,7 @@ def row_key():
 
 
 def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, at, anchor, segment) for every anchor: its word's number in the row, its hash and its segment's."""
+    """(key, spot, anchor, segment) for every anchor; the spot has its word's number in the row, its place in its segment and the segment's length."""
 
     def run(batches):
         for batch in slices(batches):
@@ -196,78 +216,71 @@ def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             if not len(codes):
                 continue
             hashes = hash_words(distinct)[codes]
-            at, found = anchors(offsets, hashes, window, anchor)
+            at, found, begin, end = anchors(offsets, hashes, window, anchor)
             row = np.searchsorted(offsets, at, "right") - 1
-            begin = np.maximum(offsets[row], at - (window - anchor))
-            end = np.minimum(offsets[row + 1], at + window)
             whole = segment_hashes(hashes, begin, end, at) if len(at) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(found.view(np.int64)), pa.array(whole.view(np.int64))],
-                names=["key", "at", "anchor", "segment"],
-            )
+            spot = (at - offsets[row] << 16) | (at - begin << 8) | (end - begin)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(spot), pa.array(found.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "spot", "anchor", "segment"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, at int, anchor long, segment long")
+    return rows.select("key", "text").mapInArrow(run, "key long, spot long, anchor long, segment long")
 
 
-def segment_texts(rows: DataFrame, wanted: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, segment, weight, place, words) of the ``wanted`` segments (key, ats: array of at, anchor, segment, weight)."""
+def segment_texts(rows: DataFrame, wanted: DataFrame, anchor: int) -> DataFrame:
+    """(anchor, segment, weight, place, words) of the ``wanted`` segments (key, spots: array of spot, segment, weight)."""
 
     def run(batches):
+        import xxhash
+
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
-            for text, ats in zip(batch.column("text").to_pylist(), batch.column("ats").to_pylist(), strict=True):
+            for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                for x in ats:
-                    begin = max(0, x["at"] - (window - anchor))
-                    for column, value in zip(out, (x["anchor"], x["segment"], x["weight"], x["at"] - begin, b" ".join(words[begin : x["at"] + window])), strict=True):
+                for x in spots:
+                    at, place, length = x["spot"] >> 16, x["spot"] >> 8 & 255, x["spot"] & 255
+                    meets = xxhash.xxh3_64_intdigest(b" ".join(words[at : at + anchor])) >> 1
+                    for column, value in zip(out, (meets, x["segment"], x["weight"], place, b" ".join(words[at - place : at - place + length])), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "segment", "weight", "place", "words"])
 
-    return rows.select("key", "text").join(wanted, "key").select("ats", "text").mapInArrow(run, "anchor long, segment long, weight long, place int, words binary")
+    return rows.select("key", "text").join(wanted, "key").select("spots", "text").mapInArrow(run, "anchor long, segment long, weight long, place int, words binary")
 
 
 def shard_spans(segments: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, segment, first, end): stretches that occur twice or more, counted from the anchor's word."""
+    """(segment, first, end): stretches that occur twice or more, counted from the anchor's word."""
 
     def run(batches):
-        import pyarrow as pa
-
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         shard = pa.Table.from_batches(parts)
         # A row that stands twice in the table gives its segments twice.
-        keys = np.stack([shard["anchor"].to_numpy(), shard["segment"].to_numpy()], 1)
-        shard = shard.take(pa.array(np.unique(keys, axis=0, return_index=True)[1])).combine_chunks()
+        shard = shard.take(pa.array(np.unique(shard["segment"].to_numpy(), return_index=True)[1])).combine_chunks()
         places = shard["place"].to_numpy().astype(np.int64)
-        ids = shard["anchor"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        ids = np.unique(shard["anchor"].to_numpy(), return_inverse=True)[1].astype(np.int64)
         words = shard["words"].combine_chunks().cast(pa.string())
         which, first, end = search_shard(words, places, shard["weight"].to_numpy(), ids, window, anchor)
         yield pa.RecordBatch.from_arrays(
-            [
-                shard["anchor"].combine_chunks().take(pa.array(which)), shard["segment"].combine_chunks().take(pa.array(which)),
-                pa.array((first - places[which]).astype(np.int32)), pa.array((end - places[which]).astype(np.int32)),
-            ],
-            names=["anchor", "segment", "first", "end"],
+            [shard["segment"].combine_chunks().take(pa.array(which)), pa.array((first - places[which]).astype(np.int32)), pa.array((end - places[which]).astype(np.int32))],
+            names=["segment", "first", "end"],
         )
 
-    return segments.mapInArrow(run, "anchor long, segment long, first int, end int")
+    return segments.mapInArrow(run, "segment long, first int, end int")
 
 
 def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, spans: array of first and end word) for rows (key, text) with repeated stretches."""
-    found = anchor_rows(rows, window, anchor)
+    found = anchor_rows(rows, window, anchor).repartition("anchor")  # dealt once, for counting and for joining
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("anchor")
-    places = cut(found.join(often, "anchor"))
-    segments = places.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "at")).alias("one"))
-    wanted = segments.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "anchor", "segment", "weight")).alias("ats"))
-    wanted = cut(wanted)
-    total = wanted.agg(F.sum(F.size("ats"))).first()[0] or 0
+    places = cut(found.join(often, "anchor").select("key", "spot", "segment"))
+    segments = places.groupBy("segment").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "spot")).alias("one"))
+    wanted = segments.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct(F.col("one.spot").alias("spot"), "segment", "weight")).alias("spots"))
+    total = places.agg(F.approx_count_distinct("segment")).first()[0]
     shards = max(1, -(-total // SHARD_SEGMENTS))
-    texts = segment_texts(rows, wanted, window, anchor).repartition(shards, "anchor")
-    spans = cut(shard_spans(texts, window, anchor).groupBy("anchor", "segment").agg(F.collect_list(F.struct("first", "end")).alias("spans")))
-    hits = places.join(spans, ["anchor", "segment"])
-    return hits.groupBy("key").agg(F.flatten(F.collect_set(F.transform("spans", lambda s: F.struct((s["first"] + F.col("at")).alias("first"), (s["end"] + F.col("at")).alias("end"))))).alias("spans"))
+    texts = segment_texts(rows, wanted, anchor).repartition(shards, "anchor")
+    spans = cut(shard_spans(texts, window, anchor).groupBy("segment").agg(F.collect_list(F.struct("first", "end")).alias("spans")))
+    at = F.shiftright("spot", 16)
+    own = F.transform("spans", lambda s: F.struct((s["first"] + at).alias("first"), (s["end"] + at).alias("end")))
+    return places.join(spans, "segment").groupBy("key").agg(F.flatten(F.collect_set(own)).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
