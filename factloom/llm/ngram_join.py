@@ -26,6 +26,8 @@ from factloom.llm.components import components
 GRAM = 5
 #: Bits of a bitmap; smallest hashes that make stars; width of the table of counts.
 BITS, KEYS, WIDTH = 512, 4, 1 << 16
+#: Bits of the bitmaps that a pair meets before its texts are sent.
+WIDE_BITS = 8192
 #: Entries of one shingle that are paired where they meet; more go to tiles of so many rows a side.
 GROUP, BLOCK = 128, 1024
 #: Words of 64 bits in the filter of documents that a step asks for.
@@ -50,9 +52,9 @@ def shingle_sets(texts: pa.Array, n: int = GRAM) -> list[np.ndarray]:
     return out
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """For each of BITS, whether an odd number of shingles falls on it. Bits that differ are no more than shingles that differ."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def bitmap(shingles: np.ndarray, size: int = BITS) -> np.ndarray:
+    """For each of ``size`` bits, whether an odd number of shingles falls on it. Bits that differ are no more than shingles that differ."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -114,6 +116,27 @@ def asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(held), word == F.col("__word")).filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
 
 
+def still_open(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The pairs that wide bitmaps leave open, made for the texts asked for only; with long texts narrow ones tell nothing."""
+
+    def mark(batches):
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"), n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, WIDE_BITS).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                wide = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b")]
+                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(total >= 7 * np.bitwise_count(wide[0] ^ wide[1]).sum(1, dtype=np.int64)))
+
+    marks = texts.select("doc_id", "text").mapInArrow(mark, "doc_id long, n long, bits binary")
+    one = marks.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    two = marks.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) whose texts link, by exact intersection of their sorted shingles."""
 
@@ -125,6 +148,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             keep = [linked(left[i], r) for i, r in zip(first.indices.to_pylist(), right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    pairs = cut(still_open(pairs, asked_for(texts, ids), n))
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     texts = asked_for(texts, ids)
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
