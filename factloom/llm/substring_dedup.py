@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, gram_hashes, hash_words, mix, slices, words_of
+from factloom.llm.common import cut, gram_hashes, hash_words, mix, release, slices, words_of
 
 WINDOW = 35
 ANCHOR = 8
@@ -263,6 +263,8 @@ def shard_spans(segments: DataFrame, window: int, anchor: int) -> DataFrame:
             [shard["segment"].combine_chunks().take(pa.array(which)), pa.array((first - places[which]).astype(np.int32)), pa.array((end - places[which]).astype(np.int32))],
             names=["segment", "first", "end"],
         )
+        del parts, shard, words, which, first, end
+        release()
 
     return segments.mapInArrow(run, "segment long, first int, end int")
 
