@@ -636,8 +636,8 @@ def document_passages(spark, sf_dir):
 
 @register()
 def relevant_documents(spark, sf_dir):
-    """Each claim of a block of eight orders against the texts of its block."""
-    claims = R.claim_features(claims_view(spark, sf_dir).filter("claim_id % 8 < 2"))
+    """Every claim against the texts of its block of eight order keys, which stand for its search results."""
+    claims = R.claim_features(claims_view(spark, sf_dir))
     docs = claims_view(spark, sf_dir).select(F.expr("claim_id div 8").alias("block"), F.col("claim_id").alias("doc_id"), F.col("claim").alias("title"), F.lit("").alias("snippet"), F.concat("claim", F.lit(" More was reported by the BBC.")).alias("text"))
     scored = R.score_pairs(claims.withColumn("block", F.expr("claim_id div 8")).join(docs, "block"))
     yes, no = R.reasons()
