@@ -100,55 +100,56 @@ def scan(rows: DataFrame, patterns: dict[str, list[str]], kind: str) -> DataFram
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each document: id, n_words, word_spans, byte_spans (offsets in the original's UTF-8) and items.
+    """For each row of ``docs``: doc_id, n_words, word_spans, byte_spans (offsets in the original's UTF-8) and items.
 
     Null and empty texts have no words and no hits; null or empty items have
     no windows; equal item ids count as one item; an empty benchmark hits
     nothing. Only the ids and texts are read, so other columns can't clash.
-    A benchmark over ``block_bytes`` is read in blocks, never as a whole; the
-    rows of its passes are put together by doc_id, one row for each distinct id.
+    A benchmark over ``block_bytes`` is read in blocks, never as a whole. The
+    first pass gives the rows; hits of the others come to them by a 64-bit hash
+    of id and text, so rows with equal or null ids are told apart.
     """
     rows = docs.select(F.col("doc_id").alias("id"), "text")
-    kind = dict(rows.dtypes)["id"]
     tests = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    if blocks > 1:
+        rows = rows.select(F.struct("id", F.xxhash64("id", "text").alias("key")).alias("id"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
     passes = []
     for block in range(blocks):
         part = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else tests
         passes.append(scan(rows, windows([tuple(r) for r in part.toArrow().to_pandas().itertuples(index=False)], window), kind))
     if blocks == 1:
         return passes[0].withColumnRenamed("id", "doc_id")
-    every = reduce(DataFrame.unionByName, passes)
-    return (
-        every.groupBy("id")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            joined(F.flatten(F.collect_list("word_spans")), "first", "last").alias("word_spans"),
-            joined(F.flatten(F.collect_list("byte_spans")), "start", "end").alias("byte_spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .withColumnRenamed("id", "doc_id")
+    spans = F.arrays_zip("word_spans", "byte_spans")
+    hits = reduce(DataFrame.unionByName, (p.filter("size(items) > 0").select(F.col("id.key").alias("key"), F.lit(i).alias("pass"), spans.alias("spans"), "items") for i, p in enumerate(passes[1:])))
+    once = hits.groupBy("key", "pass").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))  # equal rows have equal hits
+    more = once.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+    found = passes[0].select("id.id", "id.key", "n_words", spans.alias("spans"), "items").join(more, "key", "left")
+    both = lambda a, b: F.concat(a, F.coalesce(b, F.slice(a, 1, 0)))
+    return found.withColumn("spans", joined(both(F.col("spans"), F.col("more_spans")))).select(
+        F.col("id").alias("doc_id"), "n_words",
+        F.transform("spans", lambda s: s["word_spans"]).alias("word_spans"), F.transform("spans", lambda s: s["byte_spans"]).alias("byte_spans"),
+        F.array_sort(F.array_distinct(both(F.col("items"), F.col("more_items")))).alias("items"),
     )
 
 
-def joined(spans, first: str, last: str):
-    """An array of spans from several passes, sorted and joined where they overlap or touch."""
-    gap = 1 if first == "first" else 0
-    empty = F.array().cast(f"array<struct<{first}:long,{last}:long>>")
+def joined(spans):
+    """Word spans with their byte spans from several passes, sorted and joined where their words overlap or touch."""
 
     def add(kept, span):
-        top = F.element_at(kept, -1)
-        touches = (F.size(kept) > 0) & (F.get(kept, F.size(kept) - 1)[last] + gap >= span[first])
-        return F.when(
-            touches,
-            F.concat(
-                F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))),
-                F.array(F.struct(top[first].alias(first), F.greatest(top[last], span[last]).alias(last))),
-            ),
-        ).otherwise(F.concat(kept, F.array(span)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+        top = F.get(kept, F.size(kept) - 1)
+        w, b = top["word_spans"], top["byte_spans"]
+        more_w, more_b = span["word_spans"], span["byte_spans"]
+        one = F.struct(
+            F.struct(w["first"].alias("first"), F.greatest(w["last"], more_w["last"]).alias("last")).alias("word_spans"),
+            F.struct(b["start"].alias("start"), F.greatest(b["end"], more_b["end"]).alias("end")).alias("byte_spans"),
+        )
+        touches = (F.size(kept) > 0) & (w["last"] + 1 >= more_w["first"])
+        return F.when(touches, F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(kept, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), add)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -157,6 +157,20 @@ def test_contamination_spans_and_blocks(spark, docs):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in a.items() if not r.contaminated}
 
 
+def test_contamination_blocks_keep_every_row(spark):
+    """One automaton and many, on repeated rows, null ids, an id with several texts, and hits of two items side by side."""
+    one, two = prose(12, 1), prose(11, 2)
+    texts = [f"x {one} y", f"x {one} y", "clean text", f"{one}, {two}!", f"{two} {one} {two}", None, ""]
+    rows = [*((i, t) for i in (1, None) for t in texts), (2, one), (2, one), (3, "clean text"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame([(i, t) for i, t in enumerate([one, two, prose(40, 3), prose(40, 4), "short item"])], "item_id long, text string")
+    whole, parts = ([tuple(map(str, r)) for r in decontaminate.contamination(docs, tests, block_bytes=b).collect()] for b in (1 << 20, 100))
+    assert sorted(whole) == sorted(parts) and len(parts) == len(rows)
+    n_hit = sorted((str(r.doc_id), r.n_words, r.n_hit) for r in decontaminate.digest(decontaminate.contamination(docs, tests, block_bytes=100)).collect())
+    force = {t: (len(words(t)), 12 * (t or "").count(one) + 11 * (t or "").count(two)) for _, t in rows}
+    assert n_hit == sorted((str(i), *force[t]) for i, t in rows)
+
+
 def test_mix_targets_and_totals(spark):
     r = random.Random(3)
     rows = [(i, prose(r.randint(1, 200), i), f"s{min(i % 9, 4)}" if i % 17 else None) for i in range(3000)]
