@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, gram_hashes, hash_words, mix, slices, words_of
+from factloom.llm.common import WHITE, cut, gram_hashes, hash_words, mix, slices, words_of
 from factloom.llm.components import components
 
 GRAM = 5
@@ -338,7 +338,16 @@ def ngram_join(docs: DataFrame, n: int = GRAM) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = GRAM) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest doc_id, and all columns; rows without doc_id stay."""
-    keep = ngram_join(docs, n).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each component, that of the smallest doc_id (null last), and all columns.
+
+    A document is an id with its text, told by a 64-bit hash of both: different
+    texts under one id are judged each, and so are texts without id. Rows with
+    neither id nor words stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")
+    keep = keyed.select("doc_id", "__key").join(found, "__key").groupBy("component_id").agg(F.min(order)["__key"].alias("__key"))
+    nothing = F.col("doc_id").isNull() & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE))) == 0)
+    kept = keyed.filter(~nothing).join(keep.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return kept.unionByName(docs.filter(nothing))

@@ -94,6 +94,17 @@ def test_ngram_join_odd_tables(spark):
     assert kept.columns == ["doc_id", "text", "extra"] and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_one_of_each_tells_rows_by_id_and_text(spark):
+    """Different texts under one id stay; copies without id go; of a group the smallest id stays, whatever the partitions."""
+    a, b, c, d = (prose(60, 20 + i) for i in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a + " tail"), (None, c), (None, c), (None, c + " tail"), (7, d + " tail"), (None, d), (5, d), (None, ""), (None, None), (9, None), (9, "")]
+    for parts in (1, 4):
+        kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        left = [(r.doc_id, r.text) for r in kept]
+        assert sum(x[1] in (c, c + " tail") for x in left) == 1
+        assert sorted(map(str, (x for x in left if x[1] not in (c, c + " tail")))) == sorted(map(str, [(1, a), (1, b), (5, d), (None, ""), (None, None), (9, None), (9, "")]))
+
+
 def test_bitmaps_bound_the_overlap():
     for seed in range(30):
         a, b = (next(iter(ngram_join.shingle_sets(pa.array([prose(20 + seed, s)])))) for s in (seed, seed + 1))
