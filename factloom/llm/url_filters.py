@@ -37,9 +37,9 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: labels of the host from its right end by place, path segments with numbers as one token, extension, query keys, fragment."""
+    """Distinct tokens: all labels of the host from its right end by place, path segments with numbers as one token, extension, query keys, fragment."""
     labels = F.reverse(F.split(host, "\\."))
-    places = F.transform(F.slice(labels, F.lit(1), F.lit(3)), lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), x))
+    places = F.transform(labels, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), x))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     general = F.transform(segments, lambda s: F.concat(F.lit("path:"), F.regexp_replace(F.regexp_replace(s, "\\.[A-Za-z]+$", ""), "[0-9]+", "0")))
     extension = F.regexp_extract(path, "(\\.[A-Za-z]+)$", 1)

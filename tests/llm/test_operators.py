@@ -150,6 +150,16 @@ def test_url_rules_against_enumeration(spark):
             assert got[x.page_id] in best
 
 
+def test_url_rules_from_far_host_labels(spark):
+    """A label left of the third from the right is a token, and gives an ungoverned url its verdict."""
+    urls = [f"http://casino.x.blog{i}.net/es/{i}" for i in range(30)] + [f"http://a.y.site{i}.com/" for i in range(30)] + ["http://casino.z.q.org/n"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = url_filters.url_parts(F.col("url"))
+    assert "host3:casino" in pages.filter("page_id = 60").select(url_filters.url_tokens(F.col("url"), host, path).alias("t")).first().t
+    got = {r.page_id: r for r in url_filters.judge_urls(pages).collect()}
+    assert got[60].verdict == "block"
+
+
 def test_contamination_spans_and_blocks(spark, docs):
     tests = spark.createDataFrame([(1, prose(30, 60)), (2, "Ünï TURN"), (3, None), (4, "..."), (5, prose(120, 120)[:200]), (5, prose(60, 60))], "item_id long, text string")
     whole = decontaminate.contamination(docs, tests)
