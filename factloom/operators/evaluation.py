@@ -78,10 +78,9 @@ def probability_losses(scores: DataFrame) -> DataFrame:
 def bootstrap(scores: DataFrame, threshold: float = 0.5, repeats: int = 2000, seed: int = 7) -> DataFrame:
     """Low and high ends of a 95 % interval of accuracy, by resampling.
 
-    With accuracy all that counts is how many right rows a resample draws: each
-    row stands in a resample a Poisson number of times (one of the resampling's
-    usual forms at scale), drawn from a hash of row and repeat, and the rows
-    are pooled by outcome into hash cells before that.
+    Rows are pooled by a hash of doc_id into 256 cells first. Each cell, with
+    all of its rows, stands in a resample a Poisson number of times, drawn from
+    a hash of cell and repeat: one draw for a cell, not for a row or outcome.
     """
     right = ((F.col("p") >= threshold) == (F.col("y") == 1)).cast("long")
     cells = scores.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"))

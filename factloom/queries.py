@@ -772,7 +772,7 @@ def probability_losses(spark, sf_dir):
 
 @register()
 def accuracy_interval(spark, sf_dir):
-    return V.bootstrap(scores_view(spark, sf_dir), repeats=200)
+    return V.bootstrap(scores_view(spark, sf_dir))
 
 
 @register()
