@@ -714,6 +714,45 @@ def character_grams(spark, sf_dir):
     return rows.select("doc_id", F.substring("g", 2, 9).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same features over documents: long texts, hot terms, a growing vocabulary. Without SQL; a test counts them by force.
+
+
+def document_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@register()
+def document_term_counts(spark, sf_dir):
+    return T.term_counts(document_texts(spark, sf_dir))
+
+
+@register()
+def document_vocabulary(spark, sf_dir):
+    docs = document_texts(spark, sf_dir)
+    return T.term_ids(T.vocabulary(T.term_counts(docs), docs.count(), smooth=True))
+
+
+@register()
+def document_tfidf_vectors(spark, sf_dir):
+    docs = document_texts(spark, sf_dir)
+    terms = T.term_counts(docs)
+    return T.tfidf(terms, T.vocabulary(terms, docs.count(), smooth=True), sublinear=True).withColumn("value", F.round("value", 9))
+
+
+@register()
+def document_sparse_product(spark, sf_dir):
+    docs = document_texts(spark, sf_dir)
+    terms = T.term_counts(docs)
+    vocab = T.vocabulary(terms, docs.count(), smooth=True)
+    return T.dot(T.tfidf(terms, vocab, sublinear=True), vocab.select("token", F.length("token").alias("weight"))).withColumn("product", F.round("product", 9))
+
+
+@register()
+def document_character_grams(spark, sf_dir):
+    rows = document_texts(spark, sf_dir).select("doc_id", F.explode(T.char_grams(T.clean_words(F.col("text")))).alias("g"))
+    return rows.select("doc_id", F.substring("g", 2, 9).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 SCORES_SQL = "select d.doc_id, l.quality y, (d.n_chars * 31 % 1000) / 1000.0e0 * 0.7e0 + l.quality * 0.25e0 p from documents d join labels l using (doc_id)"
 
 
