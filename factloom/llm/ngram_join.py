@@ -1,39 +1,44 @@
 """N-gram Jaccard join over whole texts, exact.
 
-Texts with equal shingle sets are taken together first. Candidates come from
-shared shingles and are held in tiles by size band; parity bitmaps of hashed
-shingles bound the overlap of a pair from above, and what is left is decided
-by intersecting sorted arrays.
-
-Two texts that link share a shingle among the first quarter of each, in any
-order of all shingles. The order puts shingles last that many texts hold,
-as counted over all texts in a table of fixed width. Star candidates around a
-few smallest hashes link most copies beforehand; then only shingles that occur
-in two classes or more need pairs, and only pairs across classes.
+Texts with equal shingle sets are one set, told by a 64-bit hash of its sum of
+hashes. Sets meet in tiles: a tile holds the sets of one size band that share
+a shingle, or a part of them if they are many. In a tile, bitmaps of hashed
+shingles, two bits or more for each shingle, bound the overlap of a pair from
+above by counting bits that differ; pairs that the bound leaves open are
+decided by intersecting sorted arrays.
+
+Two sets that link share a shingle among the first quarter of each, in any
+order of all shingles, so only those make tiles. The order puts shingles last
+that many texts hold, as counted over all texts in a table of fixed width.
+Shingles with the same sets make one tile. Copies would fill every tile of
+theirs with links, so they are linked beforehand, by stars around a set's
+smallest hashes, and once more by each class's best pair in a tile; what is
+left between classes is compared in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import WHITE, cut, gram_hashes, hash_words, mix, slices, words_of
 from factloom.llm.components import components
 
 GRAM = 5
-#: Bits of a bitmap; smallest hashes that make stars; width of the table of counts.
-BITS, KEYS, WIDTH = 512, 4, 1 << 16
-#: Bits of the bitmaps that a pair meets before its texts are sent.
-WIDE_BITS = 8192
-#: Entries of one shingle that are paired where they meet; more go to tiles of so many rows a side.
-GROUP, BLOCK = 128, 1024
-#: Words of 64 bits in the filter of documents that a step asks for.
+#: Smallest hashes that make stars; width of the table of counts.
+KEYS, WIDTH = 4, 1 << 16
+#: Sets of a tile's side; a shingle with more has its size bands cut into blocks.
+BLOCK = 1024
+#: Words of 64 bits in the filter of texts that a step asks for.
 FILTER_WORDS = 1 << 17
 #: Two sizes whose ratio is 4/3 at most are in the same band or in neighbouring ones.
 BAND = 1.34
+#: Rows that a worker gathers before it compares them, and bytes of bitmaps that it compares at once.
+GATHERED, COMPARED_BYTES = 4096, 8 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = GRAM) -> list[np.ndarray]:
@@ -52,51 +57,79 @@ def shingle_sets(texts: pa.Array, n: int = GRAM) -> list[np.ndarray]:
     return out
 
 
-def bitmap(shingles: np.ndarray, size: int = BITS) -> np.ndarray:
-    """For each of ``size`` bits, whether an odd number of shingles falls on it. Bits that differ are no more than shingles that differ."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def set_id(shingles: np.ndarray) -> int:
+    """A 64-bit hash of a set, whatever the order."""
+    one, two = int(mix(shingles).sum(dtype=np.uint64)), int(mix(~shingles).sum(dtype=np.uint64))
+    return int(mix(np.array([(one * 0x9E3779B97F4A7C15 + two * 31 + len(shingles)) % 2**64], np.uint64))[0])
+
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """For each of some bits, whether an odd number of shingles falls on it; a power of two of bits, two or more for each shingle.
 
-def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each text (doc_id, n, s1, s2, bits, keys), and rows (bucket, times): how many of a task's texts hold shingles of a bucket."""
+    Bits that differ are no more than shingles that differ. A bitmap of half as
+    many bits is its two halves, one xor the other.
+    """
+    size = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of rows, to be compared in pairs whose sizes differ by a third at most."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.array([len(b) for b in bits], np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            own, wider = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            packed = [np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), -1)]
+            if len(wider):
+                halves = np.frombuffer(b"".join(bits[i] for i in wider), np.uint64).reshape(len(wider), 2, -1)
+                packed.append(halves[:, 0] ^ halves[:, 1])
+            place = np.zeros(len(bits), np.int64)
+            place[np.r_[own, wider]] = np.arange(len(own) + len(wider))
+            self.rows[w] = place, np.concatenate(packed)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits that differ between rows ``a`` and rows ``b``."""
+        narrow = np.minimum(self.width[a], self.width[b])
+        out = np.empty(len(a), np.int64)
+        for w in np.unique(narrow).tolist():
+            at = np.flatnonzero(narrow == w)
+            place, packed = self.rows[w]
+            step = max(1, COMPARED_BYTES // w)
+            for i in range(0, len(at), step):
+                one = at[i : i + step]
+                out[one] = np.bitwise_count(packed[place[a[one]]] ^ packed[place[b[one]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def sketched(rows: DataFrame, n: int) -> DataFrame:
+    """A row for each of ``rows`` (doc_id, key, text): doc_id, key, n, sid, bits, keys; and rows (bucket, times): how many of a task's texts hold shingles of a bucket."""
 
     def run(batches):
         times = np.zeros(WIDTH, np.int64)
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), n)
             for s in sets:
-                times += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=WIDTH) if len(s) > WIDTH // 8 else 0
-                if len(s) <= WIDTH // 8:
-                    np.add.at(times, (s >> np.uint64(48)).astype(np.int64), 1)
-            s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            s2 = np.array([mix(~s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                np.add.at(times, (s >> np.uint64(48)).astype(np.int64), 1)
             count = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2),
-                    pa.array([bitmap(s).tolist() for s in sets], pa.list_(pa.int64())),
+                    batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(np.array([set_id(s) for s in sets], np.uint64).view(np.int64)),
+                    pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([s[:KEYS].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
                     pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()),
                 ],
                 names=names,
             )
         hit = np.flatnonzero(times)
-        empty = [pa.nulls(len(hit), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        empty = [pa.nulls(len(hit), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(hit.astype(np.int32)), pa.array(times[hit])], names=names)
 
-    names = ["doc_id", "n", "s1", "s2", "bits", "keys", "bucket", "times"]
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits array<long>, keys array<long>, bucket int, times long")
-
-
-def may_link(na: Column, nb: Column, bits_a: Column, bits_b: Column) -> Column:
-    """Whether sizes and bitmaps leave room for a similarity of 0.75.
-
-    Texts link if 7 times the overlap is 3 times the sum of sizes at least; the
-    overlap is half of that sum less the bits that differ at most.
-    """
-    differ = sum((F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (na + nb >= 7 * differ)
+    names = ["doc_id", "key", "n", "sid", "bits", "keys", "bucket", "times"]
+    return rows.mapInArrow(run, "doc_id long, key long, n int, sid long, bits binary, keys array<long>, bucket int, times long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,236 +137,270 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def asked_for(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose doc_id may be among ``ids``, with all that are, before any of their text is shuffled.
+def asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose key may be among ``keys``, with all that are, before any of their text is read by Python.
 
     The filter is a table of FILTER_WORDS rows of 64 bits at most, whatever the
     data, so it can be broadcast; a fuller one lets more rows pass.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
+    place = F.pmod(F.xxhash64("key"), F.lit(64 * FILTER_WORDS))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    held = cut(ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    held = cut(keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
     return rows.join(F.broadcast(held), word == F.col("__word")).filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
 
 
-def still_open(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs that wide bitmaps leave open, made for the texts asked for only; with long texts narrow ones tell nothing."""
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of sets that sizes and bitmaps leave open.
 
-    def mark(batches):
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column("text"), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, WIDE_BITS).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
+    Sets link if 7 times the overlap is 3 times the sum of sizes at least; the
+    overlap is half of that sum less the bits that differ at most.
+    """
 
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
-                wide = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b")]
-                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(total >= 7 * np.bitwise_count(wide[0] ^ wide[1]).sum(1, dtype=np.int64)))
+                k = batch.num_rows
+                differ = Bitmaps(batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist()).differ(np.arange(k), np.arange(k) + k)
+                total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(total >= 7 * differ))
 
-    marks = texts.select("doc_id", "text").mapInArrow(mark, "doc_id long, n long, bits binary")
-    one = marks.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    two = marks.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long").distinct()
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    near = pairs.join(one, "a").join(two, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    return near.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) whose texts link, by exact intersection of their sorted shingles."""
+def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The ``pairs`` (a, b) of sets that link, by exact intersection of their sorted shingles; one text gives each set its array."""
+
+    def arrays(batches):
+        seen: set[int] = set()  # copies of a text give it once
+        for batch in slices(batches):
+            keys = batch.column("key").to_pylist()
+            new = [k not in seen and not seen.add(k) for k in keys]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), n)], pa.binary())], names=["key", "shingles"])
 
     def run(batches):
-        for batch in slices(batches, "text_b"):
-            first = batch.column("text_a").dictionary_encode()
-            left = shingle_sets(first.dictionary, n)
-            right = shingle_sets(batch.column("text_b"), n)
-            keep = [linked(left[i], r) for i, r in zip(first.indices.to_pylist(), right, strict=True)]
+        for batch in slices(batches, "one"):
+            first = batch.column("two").dictionary_encode()
+            left = [np.frombuffer(x, np.uint64) for x in first.dictionary.to_pylist()]
+            keep = [linked(left[i], np.frombuffer(x, np.uint64)) for i, x in zip(first.indices.to_pylist(), batch.column("one").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    pairs = cut(still_open(pairs, asked_for(texts, ids), n))
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = asked_for(texts, ids)
-    one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = cut(sets.select("sid", "key").join(ids, "sid", "left_semi"))
+    texts = asked_for(rows.select("key", "text"), wanted)
+    found = texts.mapInArrow(arrays, "key long, shingles binary").join(wanted, "key").dropDuplicates(["sid"])
+    one = found.select(F.col("sid").alias("a"), F.col("shingles").alias("one"))
+    two = found.select(F.col("sid").alias("b"), F.col("shingles").alias("two"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
 def stars(sets: DataFrame) -> DataFrame:
-    """Candidate pairs of each text with the smallest and the largest id that shares one of its smallest hashes."""
-    entries = cut(sets.filter("n > 0").select("doc_id", "n", "bits", F.explode("keys").alias("key")))
-    one = F.struct("doc_id", "n", "bits")
-    # One row for each hash that two texts or more share.
-    centres = cut(entries.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count(F.lit(1)).alias("of")).filter("of > 1").select("key", F.explode(F.array("low", "high")).alias("c")))
-    e, c = entries.alias("e"), centres.alias("c")
-    return (
-        e.join(c, F.expr("e.key = c.key and e.doc_id <> c.c.doc_id"))
-        .filter(may_link(F.col("e.n"), F.col("c.c.n"), F.col("e.bits"), F.col("c.c.bits")))
-        .select(F.col("c.c.doc_id").alias("a"), F.col("e.doc_id").alias("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    """Candidate pairs of each set with the smallest and the largest id that shares one of its smallest hashes."""
+    entries = cut(sets.select("sid", F.explode("keys").alias("key")))
+    centres = entries.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("key", F.explode(F.array("low", "high")).alias("c"))
+    return entries.join(centres, "key").filter("sid <> c").select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b")).distinct()
 
 
-def prefixes(texts: DataFrame, times: np.ndarray, n: int) -> DataFrame:
-    """(shingle, doc_id, class, n) for the first quarter of each text's shingles, the rarest buckets first."""
+def prefixes(rows: DataFrame, times: np.ndarray, n: int) -> DataFrame:
+    """(shingle, sid) for the first quarter of each set's shingles, the rarest buckets first; a task gives each set once."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches):
-            sets = shingle_sets(batch.column("text"), n)
-            kept, counts = [], []
-            for s in sets:
-                p = len(s) - -(-3 * len(s) // 4) + 1 if len(s) else 0
+            kept, ids, counts = [], [], []
+            for s in shingle_sets(batch.column("text"), n):
+                if not len(s) or (sid := set_id(s)) in seen:
+                    continue
+                seen.add(sid)
+                p = len(s) - -(-3 * len(s) // 4) + 1
                 rank = times[(s >> np.uint64(48)).astype(np.int64)]
                 kept.append(s[np.argsort(rank, kind="stable")[:p]])
+                ids.append(sid)
                 counts.append(p)
-            at = np.repeat(np.arange(len(sets)), counts)
-            size = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kept).view(np.int64)), batch.column("doc_id").take(pa.array(at)), batch.column("class").take(pa.array(at)), pa.array(size[at])],
-                names=["shingle", "doc_id", "class", "n"],
-            )
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64), counts).view(np.int64))], names=["shingle", "sid"])
 
-    return texts.select("doc_id", "class", "text").mapInArrow(run, "shingle long, doc_id long, class long, n int")
+    return rows.select("text").mapInArrow(run, "shingle long, sid long")
 
 
-def paired(entries: DataFrame) -> DataFrame:
-    """What meets at a shingle held by two classes or more: pairs (doc_id, other), or, with many entries, the entries themselves.
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Columns of sorted batches, cut where the first column changes, of about ``rows`` rows or more.
 
-    Reads each partition, sorted by shingle, as a stream, and holds a group of
-    GROUP entries at most.
+    A group over 16 times ``rows`` comes in pieces, each with True before it.
+    """
+    rest: list[list] = []
+    held, passing = 0, None
+
+    def joined():
+        return [np.concatenate([x[k] for x in rest]) for k in range(len(names))]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+        if passing is not None:
+            end = int(np.searchsorted(new[0], passing, "right"))
+            if end:
+                yield True, [x[:end] for x in new]
+            if end == len(new[0]):
+                continue
+            new, passing = [x[end:] for x in new], None
+        rest.append(new)
+        held += len(new[0])
+        if held < rows:
+            continue
+        columns = joined()
+        last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        if last:
+            yield False, [x[:last] for x in columns]
+        rest, held = [[x[last:] for x in columns]], held - last
+        if held > 16 * rows:
+            passing = columns[0][-1]
+            yield True, rest[0]
+            rest, held = [], 0
+    if held:
+        yield False, joined()
+
+
+def shared(entries: DataFrame) -> DataFrame:
+    """(tile, sid): the sets that share a shingle, two or more; shingles with the same sets make one tile.
+
+    Reads each partition, sorted by shingle, as a stream. The sets of a shingle
+    with very many come as they are, with the shingle for a tile.
     """
 
     def run(batches):
-        names = ["shingle", "doc_id", "class", "n", "other"]
-        rest = [np.empty(0, np.int64) for _ in range(4)]
-        passing = None
-
-        def whole(h, d, c, n):
-            """Pairs of small groups and entries of large ones."""
-            if not len(h):
-                return
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            ends = np.r_[starts[1:], len(h)]
-            crossing = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-            starts, ends = starts[crossing], ends[crossing]
-            left, right, many = [], [], []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a > GROUP:
-                    many.append(np.arange(a, b))
-                    continue
-                i, j = np.triu_indices(b - a, 1)
-                i, j = i + a, j + a
-                fit = (c[i] != c[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
-                left.append(np.minimum(d[i], d[j])[fit])
-                right.append(np.maximum(d[i], d[j])[fit])
-            if left and (pairs := np.unique(np.c_[np.concatenate(left), np.concatenate(right)], axis=0)).size:
-                k = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 0].copy()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(pairs[:, 1].copy())], names=names)
-            if many:
-                yield raw(*(x[np.concatenate(many)] for x in (h, d, c, n)))
-
-        def raw(h, d, c, n):
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(c), pa.array(n.astype(np.int32)), pa.nulls(len(h), pa.int64())], names=names)
-
-        for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names[:4]]
-            rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            if passing is not None:
-                cutoff = int(np.searchsorted(rows[0], passing, "right"))
-                if cutoff:
-                    yield raw(*(x[:cutoff] for x in rows))
-                rows = [x[cutoff:] for x in rows]
-            if not len(rows[0]):
-                rest = rows
+        seen = np.empty(0, np.uint64)
+        for piece, (h, s) in whole_groups(batches, ["shingle", "sid"], 1 << 17):
+            if piece:
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s)], names=["tile", "sid"])
                 continue
-            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            yield from whole(*(x[:last] for x in rows))
-            rest = [x[last:] for x in rows]
-            if len(rest[0]) > 1 << 16:  # the rest of this group passes as it comes
-                passing = rest[0][0]
-                yield raw(*rest)
-                rest = [x[:0] for x in rest]
-        yield from whole(*rest)
-
-    dealt = entries.repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "shingle long, doc_id long, class long, n int, other long")
-
-
-def tiled(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs across classes among entries of shingles with many, from tiles of size bands cut into blocks."""
+            new = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])]  # a set comes from many tasks
+            h, s = h[new], s[new]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            sizes = np.diff(np.r_[starts, len(h)])
+            tiles = mix(np.add.reduceat(mix(s.view(np.uint64)), starts) + sizes.astype(np.uint64))
+            tiles, first = np.unique(np.where(sizes > 1, tiles, np.uint64(0)), return_index=True)
+            fresh = (sizes[first] > 1) & ~np.isin(tiles, seen)
+            tiles, first = tiles[fresh], first[fresh]
+            seen = np.concatenate([seen, tiles])
+            count = sizes[first]
+            at = np.repeat(starts[first] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tiles.view(np.int64), count)), pa.array(s[at])], names=["tile", "sid"])
+
+    dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "sid")
+    return dealt.mapInArrow(run, "tile long, sid long").dropDuplicates(["tile", "sid"])
+
+
+def tiled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` of two classes or more with class, n, own and block; those of a large tile dealt to tiles by size band and pairs of blocks."""
+    named = cut(members.join(classes, "sid"))
+    sizes = cut(named.groupBy("tile").agg(F.count(F.lit(1)).alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("tile", "of"))
+    every = named.join(sizes, "tile")
+    few = every.filter(F.col("of") <= BLOCK).select("tile", "sid", "class", "n", F.lit(True).alias("own"), F.lit(0).cast("long").alias("block"))
     band = F.floor(F.log("n") / F.log(F.lit(BAND)))
-    rows = entries.join(sets.select("doc_id", "bits"), "doc_id").withColumn("band", band)
-    rows = rows.select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile")).withColumn("own", F.col("tile") == F.col("band"))
-    sizes = cut(rows.groupBy("shingle", "tile").agg(F.count(F.lit(1)).alias("of"), F.max("own").alias("any")).filter("any"))
-    blocks = F.ceil(F.col("of") / BLOCK)
-    dealt = (
-        rows.join(sizes, ["shingle", "tile"])
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
+    banded = (
+        every.filter(F.col("of") > BLOCK).withColumn("band", band)
+        .select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("held")).withColumn("own", F.col("held") == F.col("band"))
+    )
+    parts = banded.groupBy("tile", "held").agg(F.count(F.lit(1)).alias("part"), F.max("own").alias("any")).filter("any")
+    blocks = F.ceil(F.col("part") / BLOCK)
+    many = (
+        banded.join(parts, ["tile", "held"]).withColumn("block", F.pmod(F.xxhash64("sid"), blocks))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("shingle", "tile", "doc_id", "class", "n", "own", "bits", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+        .select(F.xxhash64("tile", "held", F.least("block", "with"), F.greatest("block", "with")).alias("tile"), "sid", "class", "n", "own", "block")
     )
+    return few.unionByName(many)
+
 
-    def run(key, rows):
-        d, c, n, own, block = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "class", "n", "own", "block"))
-        bits = np.array(rows.column("bits").to_pylist(), np.int64).view(np.uint64)
-        i, j = key[2].as_py(), key[3].as_py()
-        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        left, right = [], []
-        for x in one:
-            y = two[(c[two] != c[x]) & (own[two] | own[x]) & (4 * np.minimum(n[two], n[x]) >= 3 * np.maximum(n[two], n[x]))]
-            if i == j:
-                y = y[y > x]
-            if len(y):
-                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1)
-                y = y[n[y] + n[x] >= 7 * differ.astype(np.int64)]
-                left.append(np.minimum(d[y], d[x]))
-                right.append(np.maximum(d[y], d[x]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(left or empty), "b": np.concatenate(right or empty)})
-
-    return dealt.groupBy("shingle", "tile", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def open_pairs(tiles: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) across classes that sizes and bitmaps leave open in a tile; with ``best`` the closest pair of each class only."""
+
+    def run(batches):
+        names = ["tile", "n", "sid", "class", "own", "block", "bits"]
+        done = np.empty((0, 2), np.int64)
+        for _, (t, n, s, c, own, block, bits) in whole_groups(batches, names, GATHERED):
+            n = n.astype(np.int64)
+            number = np.cumsum(np.r_[0, t[1:] != t[:-1]])
+            place = number * (4 << 31) + n  # tiles and sizes rise
+            ends = np.searchsorted(place, number * (4 << 31) + 4 * n // 3, "right")
+            counts = ends - np.arange(len(n)) - 1
+            maps = Bitmaps(bits.tolist())
+            starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            two_blocks = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)
+            found = []
+            upto = np.cumsum(counts)
+            first = 0
+            while first < len(n):  # about a million pairs at once
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] - counts[first] + (1 << 20), "right")))
+                one = np.repeat(np.arange(first, last), counts[first:last])
+                two = one + 1 + np.arange(len(one)) - np.repeat(upto[first:last] - counts[first:last] - (upto[first] - counts[first]), counts[first:last])
+                fit = (c[one] != c[two]) & (own[one] | own[two]) & (~two_blocks[number[one]] | (block[one] != block[two]))
+                one, two = one[fit], two[fit]
+                differ = maps.differ(one, two)
+                left = n[one] + n[two] >= 7 * differ
+                found.append(np.c_[one[left], two[left], differ[left] * 1000 // (n[one[left]] + n[two[left]])])
+                first = last
+            found = np.concatenate(found)
+            if best and len(found):
+                ends = np.r_[found[:, 0], found[:, 1]]
+                order = np.lexsort((np.r_[found[:, 2], found[:, 2]], c[ends], number[ends]))
+                top = np.r_[True, (number[ends][order][1:] != number[ends][order][:-1]) | (c[ends][order][1:] != c[ends][order][:-1])]
+                found = found[np.unique(order[top] % len(found))]
+            pairs = np.unique(np.sort(np.c_[s[found[:, 0]], s[found[:, 1]]], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    dealt = tiles.join(sets.select("sid", "bits"), "sid").repartition("tile").sortWithinPartitions("tile", "n")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (sid, n, class) after ``links`` (a, b) between sets have joined some of them."""
+    a, b = (classes.select(F.col("sid").alias(x), F.col("class").alias(f"c{x}")) for x in "ab")
+    found = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return cut(classes.join(found, F.col("class") == F.col("node"), "left").select("sid", "n", F.coalesce("component", "class").alias("class")))
 
 
 def ngram_join(docs: DataFrame, n: int = GRAM) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), a row for each of ``docs``.
 
     Null and empty texts, and texts of white space, have no shingles and link
-    with nothing. Repeated rows are put out each. Rows with equal doc_id count
-    as one document: what links with one links with all. Rows without doc_id
-    have their size and no component. Other columns are not read.
+    with nothing. Very long texts are taken whole, each in a slice of its own.
+    Repeated rows are put out each. Rows with equal doc_id count as one
+    document: what links with one links with all. A row without doc_id has its
+    size and no component, and links nothing. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = cut(sketched(rows, n))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
+    first = cut(sketched(rows.select("doc_id", "key", "text"), n))
     times = np.zeros(WIDTH, np.int64)
     for bucket, total in first.filter("bucket is not null").groupBy("bucket").agg(F.sum("times")).collect():  # WIDTH rows at most
         times[bucket] = total
-    every = first.filter("bucket is null")
+    every = first.filter("bucket is null").select("doc_id", "n", "sid", "key", "bits", "keys")
     filled = every.filter("n > 0 and doc_id is not null")
-    # One text stands for all with its set.
-    same = ["s1", "s2", "n"]
-    sets = cut(filled.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    sets = cut(filled.groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     texts = rows.filter("doc_id is not null")
 
-    near = cut(verified(cut(stars(sets)), texts, n))
-    low = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("to"))
-    low = cut(low.withColumn("to", F.least("to", "doc_id")))
-    x, y = low.alias("x"), low.alias("y")
-    jumped = x.join(y, F.expr("x.to = y.doc_id"), "left").select("x.doc_id", F.coalesce("y.to", "x.to").alias("class"))
-    s, j = sets.select("doc_id", "n").alias("s"), jumped.alias("j")
-    classes = cut(s.join(j, F.expr("s.doc_id = j.doc_id"), "left").select("s.doc_id", F.coalesce("j.class", "s.doc_id").alias("class")))
-
-    met = cut(paired(prefixes(rows.join(classes, "doc_id"), times, n)))
-    few = met.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    p, q = sets.alias("p"), sets.alias("q")
-    few = few.join(p, F.expr("a = p.doc_id")).join(q, F.expr("b = q.doc_id")).filter(may_link(F.col("p.n"), F.col("q.n"), F.col("p.bits"), F.col("q.bits"))).select("a", "b")
-    many = met.filter("other is null").select("shingle", "doc_id", "class", "n")
-    pairs = cut(few if many.isEmpty() else few.unionByName(tiled(many, sets)).distinct())
-    across = verified(pairs, texts, n)
-
-    found = components(near.unionByName(across)).alias("f")
-    named = sets.alias("s").join(found, F.expr("s.doc_id = f.node"), "left").select("s.s1", "s.s2", F.col("s.n").alias("size"), F.coalesce("f.component", "s.doc_id").alias("component_id"))
-    e, k = every.select("doc_id", "n", "s1", "s2").alias("e"), cut(named).alias("k")
-    return e.join(k, F.expr("e.s1 = k.s1 and e.s2 = k.s2 and e.n = k.size"), "left").select(
-        "e.doc_id", F.col("e.n").alias("n_shingles"), F.when(F.col("e.doc_id").isNotNull(), F.coalesce("k.component_id", "e.doc_id")).alias("component_id")
+    # Different texts of one id are one document.
+    ids = filled.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
+    same = filled.join(ids, "doc_id").select(F.col("low").alias("a"), F.col("sid").alias("b")).filter("a <> b").distinct()
+    near = verified(cut(bounded(stars(sets), sets)), sets, texts, n)
+    alone = sets.select("sid", "n", F.col("sid").alias("class"))
+    classes = merged(alone, near.unionByName(same))
+    members = cut(shared(prefixes(texts, times, n)))
+    for best in (True, False):
+        pairs = cut(open_pairs(tiled(members, classes), sets, best))
+        classes = merged(classes, verified(pairs, sets, texts, n))
+
+    # A component's least doc_id is that of one of its sets.
+    least = filled.groupBy("sid").agg(F.min("doc_id").alias("least")).join(classes.select("sid", "class"), "sid")
+    named = cut(least.join(least.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("sid", "component_id"))
+    return every.select("doc_id", "n", "sid").join(named, "sid", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")
     )
 
 
@@ -342,7 +409,9 @@ def one_of_each(docs: DataFrame, n: int = GRAM) -> DataFrame:
 
     A document is an id with its text, told by a 64-bit hash of both: different
     texts under one id are judged each, and so are texts without id. Rows with
-    neither id nor words stay.
+    neither id nor words stay. Which row stays does not hang on partitions;
+    rows equal in id and text differ in other columns at most, and of them any
+    one stays. Columns may have any names but __key.
     """
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     found = ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("__key"), "component_id").distinct()

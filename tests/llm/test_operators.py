@@ -74,9 +74,9 @@ def test_ngram_join_against_all_pairs(spark, docs):
 
 def test_ngram_join_chains_and_tiles(spark, monkeypatch):
     """A chain of texts that only links step by step, and many texts around one passage, with small groups and blocks."""
-    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    monkeypatch.setattr(ngram_join, "GATHERED", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "KEYS", 0)  # all links by the exact way
+    monkeypatch.setattr(ngram_join, "KEYS", 0)  # all links by tiles
     long = prose(300, 3).split()
     chain = [" ".join(long[10 * i : 10 * i + 100]) for i in range(15)]
     shared = prose(30, 9)
@@ -105,11 +105,37 @@ def test_one_of_each_tells_rows_by_id_and_text(spark):
         assert sorted(map(str, (x for x in left if x[1] not in (c, c + " tail")))) == sorted(map(str, [(1, a), (1, b), (5, d), (None, ""), (None, None), (9, None), (9, "")]))
 
 
+def test_ngram_join_texts_of_one_id(spark):
+    """Rows with one id are one document: what links with one of its texts links with the others."""
+    a, b, c = prose(60, 31), prose(60, 32), prose(60, 33)
+    rows = [(9, a), (9, b), (5, a + " tail"), (7, b + " tail"), (8, c), (9, None), (None, c)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9, 56] == got[5, 57] == got[7, 57] == 5 and got[8, 56] == 8 and got[None, 56] is None
+
+
+def test_ngram_join_common_shingle(spark):
+    """Many texts around one passage: what tiles leave open grows with the links, not with the square of the group."""
+    passage = prose(12, 70)
+
+    def left_open(count):
+        rows = [(i, f"{passage} {prose(20, 10_000 + i)}") for i in range(count)] + [(count + i, f"{prose(40, 3)} end {i}") for i in range(40)]
+        table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+        first = ngram_join.sketched(table, 5).filter("bucket is null").select("sid", "n", "bits", F.col("sid").alias("class")).cache()
+        tiles = ngram_join.tiled(ngram_join.shared(ngram_join.prefixes(table, np.zeros(ngram_join.WIDTH, np.int64), 5)), first.select("sid", "n", "class"))
+        return ngram_join.open_pairs(tiles, first, False).count(), ngram_join.open_pairs(tiles, first, True).count()
+
+    (small, few), (large, more) = left_open(1500), left_open(3000)
+    assert 780 <= small <= large <= 1.2 * small and 20 <= few <= more <= 200
+
+
 def test_bitmaps_bound_the_overlap():
-    for seed in range(30):
-        a, b = (next(iter(ngram_join.shingle_sets(pa.array([prose(20 + seed, s)])))) for s in (seed, seed + 1))
-        differ = int(np.bitwise_count((ngram_join.bitmap(a) ^ ngram_join.bitmap(b)).view(np.uint64)).sum())
-        assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - differ) / 2
+    sets = [next(iter(ngram_join.shingle_sets(pa.array([prose(n, s)])))) for s, n in enumerate((6, 9, 20, 30, 40, 75, 80, 200, 260))]
+    maps = ngram_join.Bitmaps([ngram_join.bitmap(s) for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)):
+                differ = int(maps.differ(np.array([i]), np.array([j]))[0])
+                assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - differ) / 2 and (differ == 0) == (i == j)
 
 
 def test_url_parts_and_given_rules(spark):
