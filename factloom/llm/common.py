@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Words of 64 bits in the filter of rows that a step asks for.
+FILTER_WORDS = 1 << 17
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -42,6 +44,59 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def asked_for(rows: DataFrame, keys: DataFrame, flag: str | None = None) -> DataFrame:
+    """``rows`` whose key may be among ``keys``, with all that are, before any of their text is sent; with ``flag`` all rows, that column telling which.
+
+    The filter is a table of FILTER_WORDS rows of 64 bits at most, whatever the
+    data, so it can be broadcast; a fuller one lets more rows pass.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    held = cut(keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    joined = rows.join(F.broadcast(held), word == F.col("__word"), "left" if flag else "inner")
+    asked = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return (joined.withColumn(flag, asked) if flag else joined.filter(asked)).drop("__word", "__bits")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Columns of sorted batches, cut where the first column changes, of about ``rows`` rows or more.
+
+    A group over 16 times ``rows`` comes in pieces, each with True before it.
+    """
+    rest: list[list] = []
+    held, passing = 0, None
+
+    def joined():
+        return [np.concatenate([x[k] for x in rest]) for k in range(len(names))]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+        if passing is not None:
+            end = int(np.searchsorted(new[0], passing, "right"))
+            if end:
+                yield True, [x[:end] for x in new]
+            if end == len(new[0]):
+                continue
+            new, passing = [x[end:] for x in new], None
+        rest.append(new)
+        held += len(new[0])
+        if held < rows:
+            continue
+        columns = joined()
+        last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        if last:
+            yield False, [x[:last] for x in columns]
+        rest, held = [[x[last:] for x in columns]], held - last
+        if held > 16 * rows:
+            passing = columns[0][-1]
+            yield True, rest[0]
+            rest, held = [], 0
+    if held:
+        yield False, joined()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)``, with ``value`` computed once however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -18,14 +18,12 @@ left between classes is compared in full.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WHITE, cut, gram_hashes, hash_words, mix, slices, words_of
+from factloom.llm.common import WHITE, asked_for, cut, gram_hashes, hash_words, mix, slices, whole_groups, words_of
 from factloom.llm.components import components
 
 GRAM = 5
@@ -33,10 +31,10 @@ GRAM = 5
 KEYS, WIDTH = 4, 1 << 16
 #: Sets of a tile's side; a shingle with more has its size bands cut into blocks.
 BLOCK = 1024
-#: Words of 64 bits in the filter of texts that a step asks for.
-FILTER_WORDS = 1 << 17
 #: Two sizes whose ratio is 4/3 at most are in the same band or in neighbouring ones.
 BAND = 1.34
+#: A pair of sets: the keys of their texts, and their classes.
+PAIR = "ka long, kb long, ca long, cb long"
 #: Rows that a worker gathers before it compares them, and bytes of bitmaps that it compares at once.
 GATHERED, COMPARED_BYTES = 4096, 8 << 20
 
@@ -137,20 +135,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` whose key may be among ``keys``, with all that are, before any of their text is read by Python.
-
-    The filter is a table of FILTER_WORDS rows of 64 bits at most, whatever the
-    data, so it can be broadcast; a fuller one lets more rows pass.
-    """
-    place = F.pmod(F.xxhash64("key"), F.lit(64 * FILTER_WORDS))
-    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    held = cut(keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
-    return rows.join(F.broadcast(held), word == F.col("__word")).filter(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
-
-
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of sets that sizes and bitmaps leave open.
+    """Of ``pairs`` (a, b) of sets those that sizes and bitmaps leave open: ka, kb (keys of their texts), ca, cb (classes).
 
     Sets link if 7 times the overlap is 3 times the sum of sizes at least; the
     overlap is half of that sum less the bits that differ at most.
@@ -162,19 +148,18 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 k = batch.num_rows
                 differ = Bitmaps(batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist()).differ(np.arange(k), np.arange(k) + k)
                 total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(total >= 7 * differ))
+                yield batch.select(["ka", "kb", "ca", "cb"]).filter(pa.array(total >= 7 * differ))
 
-    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    one, two = (sets.select(F.col("sid").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("class").alias(f"c{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return near.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long")
+    return near.mapInArrow(keep, PAIR)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """The ``pairs`` (a, b) of sets that link, by exact intersection of their sorted shingles; one text gives each set its array."""
+def verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) between classes from the ``pairs`` (ka, kb, ca, cb) that link, by exact intersection of their texts' sorted shingles."""
 
     def arrays(batches):
-        seen: set[int] = set()  # copies of a text give it once
+        seen: set[int] = set()  # copies of a text give its array once
         for batch in slices(batches):
             keys = batch.column("key").to_pylist()
             new = [k not in seen and not seen.add(k) for k in keys]
@@ -189,13 +174,11 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, n: int) -> Data
             keep = [linked(left[i], np.frombuffer(x, np.uint64)) for i, x in zip(first.indices.to_pylist(), batch.column("one").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = cut(sets.select("sid", "key").join(ids, "sid", "left_semi"))
-    texts = asked_for(rows.select("key", "text"), wanted)
-    found = texts.mapInArrow(arrays, "key long, shingles binary").join(wanted, "key").dropDuplicates(["sid"])
-    one = found.select(F.col("sid").alias("a"), F.col("shingles").alias("one"))
-    two = found.select(F.col("sid").alias("b"), F.col("shingles").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    keys = pairs.select(F.explode(F.array("ka", "kb")).alias("key"))
+    texts = asked_for(rows.select("key", "text"), keys).join(keys.distinct(), "key", "left_semi")
+    found = texts.mapInArrow(arrays, "key long, shingles binary").dropDuplicates(["key"])
+    one, two = found.select(F.col("key").alias("ka"), F.col("shingles").alias("one")), found.select(F.col("key").alias("kb"), F.col("shingles").alias("two"))
+    return pairs.join(one, "ka").join(two, "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "one", "two").mapInArrow(run, "a long, b long")
 
 
 def stars(sets: DataFrame) -> DataFrame:
@@ -227,57 +210,19 @@ def prefixes(rows: DataFrame, times: np.ndarray, n: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "shingle long, sid long")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """Columns of sorted batches, cut where the first column changes, of about ``rows`` rows or more.
-
-    A group over 16 times ``rows`` comes in pieces, each with True before it.
-    """
-    rest: list[list] = []
-    held, passing = 0, None
-
-    def joined():
-        return [np.concatenate([x[k] for x in rest]) for k in range(len(names))]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
-        if passing is not None:
-            end = int(np.searchsorted(new[0], passing, "right"))
-            if end:
-                yield True, [x[:end] for x in new]
-            if end == len(new[0]):
-                continue
-            new, passing = [x[end:] for x in new], None
-        rest.append(new)
-        held += len(new[0])
-        if held < rows:
-            continue
-        columns = joined()
-        last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-        if last:
-            yield False, [x[:last] for x in columns]
-        rest, held = [[x[last:] for x in columns]], held - last
-        if held > 16 * rows:
-            passing = columns[0][-1]
-            yield True, rest[0]
-            rest, held = [], 0
-    if held:
-        yield False, joined()
-
-
 def shared(entries: DataFrame) -> DataFrame:
-    """(tile, sid): the sets that share a shingle, two or more; shingles with the same sets make one tile.
+    """(tile, sid, of): the sets that share a shingle, two or more, and how many they are; shingles with the same sets make one tile.
 
     Reads each partition, sorted by shingle, as a stream. The sets of a shingle
     with very many come as they are, with the shingle for a tile.
     """
 
     def run(batches):
+        names = ["tile", "sid", "of"]
         seen = np.empty(0, np.uint64)
         for piece, (h, s) in whole_groups(batches, ["shingle", "sid"], 1 << 17):
             if piece:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s)], names=["tile", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), pa.array(np.full(len(h), 1 << 30))], names=names)
                 continue
             new = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])]  # a set comes from many tasks
             h, s = h[new], s[new]
@@ -290,55 +235,62 @@ def shared(entries: DataFrame) -> DataFrame:
             seen = np.concatenate([seen, tiles])
             count = sizes[first]
             at = np.repeat(starts[first] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tiles.view(np.int64), count)), pa.array(s[at])], names=["tile", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tiles.view(np.int64), count)), pa.array(s[at]), pa.array(np.repeat(count, count))], names=names)
 
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "sid")
-    return dealt.mapInArrow(run, "tile long, sid long").dropDuplicates(["tile", "sid"])
+    return dealt.mapInArrow(run, "tile long, sid long, of long").dropDuplicates(["tile", "sid"])
 
 
-def tiled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``members`` of two classes or more with class, n, own and block; those of a large tile dealt to tiles by size band and pairs of blocks."""
-    named = cut(members.join(classes, "sid"))
-    sizes = cut(named.groupBy("tile").agg(F.count(F.lit(1)).alias("of"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("tile", "of"))
-    every = named.join(sizes, "tile")
-    few = every.filter(F.col("of") <= BLOCK).select("tile", "sid", "class", "n", F.lit(True).alias("own"), F.lit(0).cast("long").alias("block"))
+def blocked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` of large tiles, dealt to tiles by size band and pairs of blocks, with own and block."""
     band = F.floor(F.log("n") / F.log(F.lit(BAND)))
     banded = (
-        every.filter(F.col("of") > BLOCK).withColumn("band", band)
-        .select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("held")).withColumn("own", F.col("held") == F.col("band"))
+        members.join(sets.select("sid", "n"), "sid").withColumn("band", band)
+        .select("tile", "sid", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("held")).withColumn("own", F.col("held") == F.col("band"))
     )
     parts = banded.groupBy("tile", "held").agg(F.count(F.lit(1)).alias("part"), F.max("own").alias("any")).filter("any")
     blocks = F.ceil(F.col("part") / BLOCK)
-    many = (
+    return (
         banded.join(parts, ["tile", "held"]).withColumn("block", F.pmod(F.xxhash64("sid"), blocks))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select(F.xxhash64("tile", "held", F.least("block", "with"), F.greatest("block", "with")).alias("tile"), "sid", "class", "n", "own", "block")
+        .select(F.xxhash64("tile", "held", F.least("block", "with"), F.greatest("block", "with")).alias("tile"), "sid", "own", "block")
     )
-    return few.unionByName(many)
 
 
-def open_pairs(tiles: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) across classes that sizes and bitmaps leave open in a tile; with ``best`` the closest pair of each class only."""
+def tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tile, sid, own, block) from (tile, sid, of): tiles of BLOCK sets a side at most."""
+    few = members.filter(F.col("of") <= BLOCK).select("tile", "sid", F.lit(True).alias("own"), F.lit(0).cast("long").alias("block"))
+    many = members.filter(F.col("of") > BLOCK)
+    return few if many.isEmpty() else few.unionByName(blocked(many, sets))
+
+
+def open_pairs(tiles: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+    """Pairs (ka, kb, ca, cb) across classes that sizes and bitmaps leave open in a tile; with ``best`` the closest pair of each class only."""
 
     def run(batches):
-        names = ["tile", "n", "sid", "class", "own", "block", "bits"]
-        done = np.empty((0, 2), np.int64)
-        for _, (t, n, s, c, own, block, bits) in whole_groups(batches, names, GATHERED):
+        names = ["tile", "n", "key", "class", "own", "block", "bits"]
+        for _, columns in whole_groups(batches, names, GATHERED):
+            # Tiles of one class are done with.
+            starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+            mixed = np.minimum.reduceat(columns[3], starts) != np.maximum.reduceat(columns[3], starts)
+            kept = np.repeat(mixed, np.diff(np.r_[starts, len(columns[0])]))
+            if not kept.any():
+                continue
+            t, n, k, c, own, block, bits = (x[kept] for x in columns)
             n = n.astype(np.int64)
             number = np.cumsum(np.r_[0, t[1:] != t[:-1]])
-            place = number * (4 << 31) + n  # tiles and sizes rise
-            ends = np.searchsorted(place, number * (4 << 31) + 4 * n // 3, "right")
-            counts = ends - np.arange(len(n)) - 1
-            maps = Bitmaps(bits.tolist())
             starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             two_blocks = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)
+            place = number * (4 << 31) + n  # tiles and sizes rise
+            counts = np.searchsorted(place, number * (4 << 31) + 4 * n // 3, "right") - np.arange(len(n)) - 1
+            maps = Bitmaps(bits.tolist())
             found = []
-            upto = np.cumsum(counts)
-            first = 0
+            upto, first = np.cumsum(counts), 0
             while first < len(n):  # about a million pairs at once
-                last = max(first + 1, int(np.searchsorted(upto, upto[first] - counts[first] + (1 << 20), "right")))
+                before = upto[first] - counts[first]
+                last = max(first + 1, int(np.searchsorted(upto, before + (1 << 20), "right")))
                 one = np.repeat(np.arange(first, last), counts[first:last])
-                two = one + 1 + np.arange(len(one)) - np.repeat(upto[first:last] - counts[first:last] - (upto[first] - counts[first]), counts[first:last])
+                two = one + 1 + np.arange(len(one)) - np.repeat(upto[first:last] - counts[first:last] - before, counts[first:last])
                 fit = (c[one] != c[two]) & (own[one] | own[two]) & (~two_blocks[number[one]] | (block[one] != block[two]))
                 one, two = one[fit], two[fit]
                 differ = maps.differ(one, two)
@@ -347,23 +299,27 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
                 first = last
             found = np.concatenate(found)
             if best and len(found):
-                ends = np.r_[found[:, 0], found[:, 1]]
-                order = np.lexsort((np.r_[found[:, 2], found[:, 2]], c[ends], number[ends]))
-                top = np.r_[True, (number[ends][order][1:] != number[ends][order][:-1]) | (c[ends][order][1:] != c[ends][order][:-1])]
+                ends, far = np.r_[found[:, 0], found[:, 1]], np.r_[found[:, 2], found[:, 2]]
+                order = np.lexsort((far, c[ends], number[ends]))
+                by = np.c_[number[ends], c[ends]][order]
+                top = np.r_[True, (by[1:] != by[:-1]).any(1)]
                 found = found[np.unique(order[top] % len(found))]
-            pairs = np.unique(np.sort(np.c_[s[found[:, 0]], s[found[:, 1]]], axis=1), axis=0)
+            one, two = found[:, 0], found[:, 1]
+            turned = k[one] > k[two]
+            one, two = np.where(turned, two, one), np.where(turned, one, two)
+            pairs = np.unique(np.c_[k[one], k[two], c[one], c[two]], axis=0)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in pairs.T], names=["ka", "kb", "ca", "cb"])
 
-    dealt = tiles.join(sets.select("sid", "bits"), "sid").repartition("tile").sortWithinPartitions("tile", "n")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = tiles.join(classes.select("sid", "key", "n", "class", "bits"), "sid").repartition("tile").sortWithinPartitions("tile", "n")
+    return dealt.mapInArrow(run, PAIR).distinct()
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` (sid, n, class) after ``links`` (a, b) between sets have joined some of them."""
-    a, b = (classes.select(F.col("sid").alias(x), F.col("class").alias(f"c{x}")) for x in "ab")
-    found = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return cut(classes.join(found, F.col("class") == F.col("node"), "left").select("sid", "n", F.coalesce("component", "class").alias("class")))
+    """``classes`` after ``links`` (a, b) have joined some of them."""
+    found = components(links)
+    rest = [c for c in classes.columns if c != "class"]
+    return cut(classes.join(found, F.col("class") == F.col("node"), "left").select(*rest, F.coalesce("component", "class").alias("class")))
 
 
 def ngram_join(docs: DataFrame, n: int = GRAM) -> DataFrame:
@@ -382,23 +338,23 @@ def ngram_join(docs: DataFrame, n: int = GRAM) -> DataFrame:
         times[bucket] = total
     every = first.filter("bucket is null").select("doc_id", "n", "sid", "key", "bits", "keys")
     filled = every.filter("n > 0 and doc_id is not null")
-    sets = cut(filled.groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    sets = cut(
+        filled.groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+        .withColumn("class", F.col("sid"))
+    )
     texts = rows.filter("doc_id is not null")
 
     # Different texts of one id are one document.
     ids = filled.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    same = filled.join(ids, "doc_id").select(F.col("low").alias("a"), F.col("sid").alias("b")).filter("a <> b").distinct()
-    near = verified(cut(bounded(stars(sets), sets)), sets, texts, n)
-    alone = sets.select("sid", "n", F.col("sid").alias("class"))
-    classes = merged(alone, near.unionByName(same))
+    same = filled.join(ids, "doc_id").select(F.col("low").alias("a"), F.col("sid").alias("b")).filter("a <> b")
+    classes = merged(sets.drop("keys"), verified(cut(bounded(stars(sets), sets)), texts, n).unionByName(same))
     members = cut(shared(prefixes(texts, times, n)))
+    tiles = tiled(members, sets)
     for best in (True, False):
-        pairs = cut(open_pairs(tiled(members, classes), sets, best))
-        classes = merged(classes, verified(pairs, sets, texts, n))
+        classes = merged(classes, verified(cut(open_pairs(tiles, classes, best)), texts, n))
 
     # A component's least doc_id is that of one of its sets.
-    least = filled.groupBy("sid").agg(F.min("doc_id").alias("least")).join(classes.select("sid", "class"), "sid")
-    named = cut(least.join(least.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("sid", "component_id"))
+    named = classes.join(classes.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("sid", "component_id")
     return every.select("doc_id", "n", "sid").join(named, "sid", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")
     )

@@ -120,9 +120,9 @@ def test_ngram_join_common_shingle(spark):
     def left_open(count):
         rows = [(i, f"{passage} {prose(20, 10_000 + i)}") for i in range(count)] + [(count + i, f"{prose(40, 3)} end {i}") for i in range(40)]
         table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.xxhash64("text"))
-        first = ngram_join.sketched(table, 5).filter("bucket is null").select("sid", "n", "bits", F.col("sid").alias("class")).cache()
-        tiles = ngram_join.tiled(ngram_join.shared(ngram_join.prefixes(table, np.zeros(ngram_join.WIDTH, np.int64), 5)), first.select("sid", "n", "class"))
-        return ngram_join.open_pairs(tiles, first, False).count(), ngram_join.open_pairs(tiles, first, True).count()
+        sets = ngram_join.sketched(table, 5).filter("bucket is null").select("sid", "key", "n", "bits", F.col("sid").alias("class")).cache()
+        tiles = ngram_join.tiled(ngram_join.shared(ngram_join.prefixes(table, np.zeros(ngram_join.WIDTH, np.int64), 5)), sets)
+        return ngram_join.open_pairs(tiles, sets, False).count(), ngram_join.open_pairs(tiles, sets, True).count()
 
     (small, few), (large, more) = left_open(1500), left_open(3000)
     assert 780 <= small <= large <= 1.2 * small and 20 <= few <= more <= 200
