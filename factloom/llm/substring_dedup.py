@@ -2,12 +2,14 @@
 
 Two equal windows pick the same anchor, the run of ANCHOR words with the least
 hash in them, so what can match meets at an anchor. Around each anchor that
-occurs twice or more lies a segment of the windows that picked it. Distinct
-segments are dealt by anchor into shards; a shard is indexed once (suffix
-array, Burrows-Wheeler transform, wavelet matrix of packed bits with ranks by
-popcount) and its segments are streamed against the index: backward search
-gives matching statistics, and every stretch of at least WINDOW words with two
-occurrences or more is reported as an interval.
+occurs twice or more lies a segment of the windows that picked it. A segment
+that occurs twice as a whole is repeated as a whole. Where an anchor has other
+segments besides, all its distinct segments are dealt by anchor into shards; a
+shard is indexed once (suffix array, Burrows-Wheeler transform, wavelet matrix
+of packed digits with sampled ranks and popcounts), and the segments that
+occur once are streamed against the index: backward search gives matching
+statistics, and every stretch of at least WINDOW words with two occurrences or
+more is reported as an interval.
 
 An anchor's first word is a symbol of its own in the index, so an occurrence is
 found in the segment of its own anchor only and none is counted twice.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, gram_hashes, hash_words, mix, release, slices, words_of
+from factloom.llm.common import asked_for, cut, gram_hashes, hash_words, mix, release, slices, whole_groups, words_of
 
 WINDOW = 35
 ANCHOR = 8
@@ -28,6 +30,10 @@ ANCHOR = 8
 PROBE = 8
 #: Segments in a shard, about.
 SHARD_SEGMENTS = 8192
+#: Anchors that a worker gathers before it looks for repeated ones.
+GATHERED = 1 << 17
+#: Bits for a segment's length and for its anchor's place in it.
+SPOT_BITS = 16
 
 
 def sliding(values: np.ndarray, size: int, best) -> np.ndarray:
@@ -65,49 +71,59 @@ def segment_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, at: n
     powers = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), base, np.uint64)])
     inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), pow(base, -1, 1 << 64), np.uint64)])
     sums = np.r_[np.uint64(0), np.cumsum(mix(hashes) * powers[:-1], dtype=np.uint64)]
-    return mix((sums[end] - sums[start]) * inverse[start] + mix((end - start).astype(np.uint64) * np.uint64(64) + (at - start).astype(np.uint64)))
+    shape = (end - start).astype(np.uint64) * np.uint64(1 << SPOT_BITS) + (at - start).astype(np.uint64)
+    return mix((sums[end] - sums[start]) * inverse[start] + mix(shape))
 
 
-#: The lowest bits of all digits of a word, of its first 0 to 15 digits; each digit in all places of a word.
+#: The lowest bits of all digits of a word, of its first 0 to 16 digits; each digit in all places of a word.
 ONES = 0x1111111111111111
-BELOW = np.array([ONES & ((1 << 4 * i) - 1) for i in range(16)], np.uint64)
+BELOW = np.array([ONES & ((1 << 4 * i) - 1) for i in range(17)], np.uint64)
 SAME = np.array([ONES * d for d in range(16)], np.uint64)
 
 
 class WaveletMatrix:
-    """A sequence of symbols as a wavelet matrix over digits of four bits, packed by sixteen, with ranks by popcount."""
+    """A sequence of symbols as a wavelet matrix over digits of four bits, sixteen to a word, with sampled ranks.
+
+    Ranks are kept for each 256 places whole and for each 32 as the rest in a
+    byte; the places in between are counted. A level takes 1.25 bytes a symbol.
+    """
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.shifts = list(range(4 * ((max(1, int(size - 1).bit_length()) + 3) // 4 - 1), -1, -4))
-        self.words, self.before, self.smaller = [], [], []
-        blocks = len(symbols) // 16 + 1
-        place = np.arange(len(symbols)) >> 4
+        self.words, self.far, self.near, self.smaller = [], [], [], []
+        parts = len(symbols) // 256 + 1
+        place = np.arange(len(symbols)) >> 5
         lift = (4 * np.arange(16)).astype(np.uint64)
         for shift in self.shifts:
             digit = (symbols >> shift & 15).astype(np.uint8)
-            padded = np.zeros(16 * blocks, np.uint64)
+            padded = np.zeros(256 * parts, np.uint64)
             padded[: len(digit)] = digit
             self.words.append(np.bitwise_or.reduce(padded.reshape(-1, 16) << lift, axis=1))
-            counts = np.bincount(place * 16 + digit, minlength=16 * blocks).reshape(-1, 16)
-            self.before.append((np.cumsum(counts, axis=0) - counts).astype(np.int32).ravel())
+            counts = np.bincount(place * 16 + digit, minlength=128 * parts).reshape(-1, 16)
+            before = np.cumsum(counts, axis=0) - counts
+            far = before[::8]
+            self.far.append(far.astype(np.int32).ravel())
+            self.near.append((before - np.repeat(far, 8, axis=0)).astype(np.uint8).ravel())
             total = counts.sum(0)
             self.smaller.append(np.cumsum(total) - total)
             symbols = symbols[np.argsort(digit, kind="stable")]
 
     def follow(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where the first ``place`` entries that equal ``symbol`` end among the sorted leaves."""
-        for shift, words, before, smaller in zip(self.shifts, self.words, self.before, self.smaller, strict=True):
-            digit, block = symbol >> shift & 15, place >> 4
-            other = words[block] ^ SAME[digit]
-            other |= other >> np.uint64(2)
-            other |= other >> np.uint64(1)
-            equal = np.bitwise_count(~other & BELOW[place & 15])
-            place = smaller[digit] + before[block * 16 + digit] + equal
+        for shift, words, far, near, smaller in zip(self.shifts, self.words, self.far, self.near, self.smaller, strict=True):
+            digit, block, rest = symbol >> shift & 15, place >> 5, place & 31
+            equal = np.zeros(len(place), np.int64)
+            for word, below in ((2 * block, np.minimum(rest, 16)), (2 * block + 1, np.maximum(rest - 16, 0))):
+                other = words[word] ^ SAME[digit]
+                other |= other >> np.uint64(2)
+                other |= other >> np.uint64(1)
+                equal += np.bitwise_count(~other & BELOW[below])
+            place = smaller[digit] + far[(place >> 8) * 16 + digit] + near[block * 16 + digit] + equal
         return place
 
 
 class FMIndex:
-    """Segments (rows of words as symbols from 1 on, each ended by 0) with weights, to be searched backwards.
+    """Segments (rows of words as symbols from 1 on, each ended by 0) with weights (2 stands for more), to be searched backwards.
 
     Sorting the suffixes tells on its way which runs of PROBE words have weight
     2 or more; where one has not, no longer one over it can.
@@ -132,8 +148,7 @@ class FMIndex:
         previous = np.where((order > 0) & (owner[order - 1] == owner[order]), text[order - 1], 0)
         self.matrix = WaveletMatrix(previous, size)
         self.start = self.matrix.follow(np.arange(size), np.zeros(size, np.int64))
-        self.weights = np.r_[0, np.cumsum(weight[owner[order]])]
-        self.n = n
+        self.heavy = np.r_[weight[owner[order]] >= 2, False]
 
     def extend(self, symbol, low, high):
         shift = self.first[symbol] - self.start[symbol]
@@ -144,14 +159,15 @@ class FMIndex:
         """The interval of the suffixes that begin with a symbol."""
         return self.first[symbol], self.first[symbol + 1]
 
-    def weight(self, low, high):
-        return self.weights[high] - self.weights[low]
+    def twice(self, low, high):
+        """Whether an interval's suffixes weigh 2 or more together."""
+        return (high - low >= 2) | ((high - low == 1) & self.heavy[low])
 
 
-def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, anchor: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, ask: np.ndarray, anchor: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first, end) of the maximal stretches of ``window`` words or more around the anchor with weight 2 or more.
 
-    All segments are searched at once, between the nearest runs on either side
+    All segments in ``ask`` are searched at once, between the nearest runs on either side
     of the anchor that occur only once. A search reads back from an end until
     the weight falls below 2; no window over that place can match, so the next
     search starts at the end of the next window that can.
@@ -163,13 +179,13 @@ def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
     lone_after = np.minimum.accumulate(np.where(probe, 2 * len(text), everywhere)[::-1])[::-1]
     floor = np.maximum(0, lone_before[start + place] - start + 1)
     end = np.minimum(length, lone_after[start + place] - start + PROBE - 1)
-    live = np.flatnonzero(end - floor >= window)
+    live = np.flatnonzero(ask & (end - floor >= window))
     end, least = end[live], np.maximum(place[live] + anchor, floor[live] + window)
     at = end - 1
     low, high = index.symbol(text[start[live] + at])
     while len(live):
         lower, higher = index.extend(text[start[live] + at - 1], low, high)
-        on = index.weight(lower, higher) >= 2
+        on = index.twice(lower, higher)
         at = at - on
         low, high = np.where(on, lower, low), np.where(on, higher, high)
         whole = on & (at == floor[live])
@@ -188,7 +204,7 @@ def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
 
 
 def search_shard(segments: pa.Array, places: np.ndarray, weight: np.ndarray, anchor_ids: np.ndarray, window: int, anchor: int):
-    """(segment, first, end) for one shard's segments, given each anchor's place and number from 0."""
+    """(segment, first, end) for those of one shard's segments that occur once, given each anchor's place and number from 0."""
     offsets, codes, distinct = words_of(segments)
     lengths = np.diff(offsets)
     owner = np.repeat(np.arange(len(lengths)), lengths + 1)
@@ -200,7 +216,7 @@ def search_shard(segments: pa.Array, places: np.ndarray, weight: np.ndarray, anc
     text[start + places] = len(distinct) + 1 + anchor_ids
     size = int(len(distinct) + 2 + anchor_ids.max())
     index = FMIndex(text, owner, weight, size, max(PROBE, int(lengths.max()) + 1))
-    return repeated(index, text, start, lengths, places, anchor, window)
+    return repeated(index, text, start, lengths, places, weight < 2, anchor, window)
 
 
 def row_key():
@@ -208,7 +224,7 @@ def row_key():
 
 
 def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, spot, anchor, segment) for every anchor; the spot has its word's number in the row, its place in its segment and the segment's length."""
+    """(anchor, segment, key, spot) for every anchor; the spot has its word's number in the row, its place in its segment and the segment's length."""
 
     def run(batches):
         for batch in slices(batches):
@@ -219,34 +235,63 @@ def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
             at, found, begin, end = anchors(offsets, hashes, window, anchor)
             row = np.searchsorted(offsets, at, "right") - 1
             whole = segment_hashes(hashes, begin, end, at) if len(at) else np.empty(0, np.uint64)
-            spot = (at - offsets[row] << 16) | (at - begin << 8) | (end - begin)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(spot), pa.array(found.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "spot", "anchor", "segment"])
+            spot = (at - offsets[row] << 2 * SPOT_BITS) | (at - begin << SPOT_BITS) | (end - begin)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("key").take(pa.array(row)), pa.array(spot)], names=["anchor", "segment", "key", "spot"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, spot long, anchor long, segment long")
+    return rows.select("key", "text").mapInArrow(run, "anchor long, segment long, key long, spot long")
 
 
-def segment_texts(rows: DataFrame, wanted: DataFrame, anchor: int) -> DataFrame:
-    """(anchor, segment, weight, place, words) of the ``wanted`` segments (key, spots: array of spot, segment, weight)."""
+def repeated_anchors(found: DataFrame) -> DataFrame:
+    """The rows of anchors that occur twice or more, with: whole (the segment is known to occur twice) and open (the anchor's segments have to be searched).
+
+    Reads each partition, sorted by anchor and segment, as a stream. Of an
+    anchor with very many rows all are open, and none is known to be whole.
+    """
 
     def run(batches):
-        import xxhash
+        names = ["anchor", "segment", "key", "spot"]
+        for piece, columns in whole_groups(batches, names, GATHERED):
+            a, s = columns[:2]
+            if piece:
+                whole, open_, kept = np.zeros(len(a), bool), np.ones(len(a), bool), np.ones(len(a), bool)
+            else:
+                new_anchor = np.r_[True, a[1:] != a[:-1]]
+                new_segment = new_anchor | np.r_[True, s[1:] != s[:-1]]
+                segment, number = np.cumsum(new_segment) - 1, np.cumsum(new_anchor) - 1
+                weight = np.bincount(segment)
+                of_segment = number[new_segment]  # the anchor of each segment
+                kinds, lightest = np.bincount(of_segment), np.minimum.reduceat(weight, np.flatnonzero(np.r_[True, of_segment[1:] != of_segment[:-1]]))
+                whole = (weight > 1)[segment]
+                open_ = ((kinds > 1) & (lightest == 1))[number]
+                kept = whole | open_
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in columns), pa.array(whole[kept]), pa.array(open_[kept])], names=[*names, "whole", "open"])
+
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "segment")
+    return dealt.mapInArrow(run, "anchor long, segment long, key long, spot long, whole boolean, open boolean")
+
+
+def segment_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(anchor, segment, weight, key, at, place, words) of the ``wanted`` segments (key, spots: array of spot, anchor, segment, weight)."""
 
+    def run(batches):
+        mask = (1 << SPOT_BITS) - 1
         for batch in slices(batches):
-            out: list[list] = [[], [], [], [], []]
-            for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for key, text, spots in zip(*(batch.column(k).to_pylist() for k in ("key", "text", "spots")), strict=True):
                 words = (text or "").encode().split()
                 for x in spots:
-                    at, place, length = x["spot"] >> 16, x["spot"] >> 8 & 255, x["spot"] & 255
-                    meets = xxhash.xxh3_64_intdigest(b" ".join(words[at : at + anchor])) >> 1
-                    for column, value in zip(out, (meets, x["segment"], x["weight"], place, b" ".join(words[at - place : at - place + length])), strict=True):
+                    at, place, length = x["spot"] >> 2 * SPOT_BITS, x["spot"] >> SPOT_BITS & mask, x["spot"] & mask
+                    for column, value in zip(out, (x["anchor"], x["segment"], x["weight"], key, at, place, b" ".join(words[at - place : at - place + length])), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "segment", "weight", "place", "words"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["anchor", "segment", "weight", "key", "at", "place", "words"])
 
-    return rows.select("key", "text").join(wanted, "key").select("spots", "text").mapInArrow(run, "anchor long, segment long, weight long, place int, words binary")
+    found = asked_for(rows.select("key", "text"), wanted).join(wanted, "key").select("key", "spots", "text")
+    return found.mapInArrow(run, "anchor long, segment long, weight int, key long, at long, place int, words binary")
 
 
 def shard_spans(segments: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(segment, first, end): stretches that occur twice or more, counted from the anchor's word."""
+    """(key, first, end): stretches of words that occur twice or more, in segments that occur once."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -255,45 +300,47 @@ def shard_spans(segments: DataFrame, window: int, anchor: int) -> DataFrame:
         shard = pa.Table.from_batches(parts)
         # A row that stands twice in the table gives its segments twice.
         shard = shard.take(pa.array(np.unique(shard["segment"].to_numpy(), return_index=True)[1])).combine_chunks()
-        places = shard["place"].to_numpy().astype(np.int64)
+        places, at, key = (shard[k].to_numpy().astype(np.int64) for k in ("place", "at", "key"))
         ids = np.unique(shard["anchor"].to_numpy(), return_inverse=True)[1].astype(np.int64)
         words = shard["words"].combine_chunks().cast(pa.string())
         which, first, end = search_shard(words, places, shard["weight"].to_numpy(), ids, window, anchor)
-        yield pa.RecordBatch.from_arrays(
-            [shard["segment"].combine_chunks().take(pa.array(which)), pa.array((first - places[which]).astype(np.int32)), pa.array((end - places[which]).astype(np.int32))],
-            names=["segment", "first", "end"],
-        )
+        begin = (at - places)[which]
+        yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(begin + first), pa.array(begin + end)], names=["key", "first", "end"])
         del parts, shard, words, which, first, end
         release()
 
-    return segments.mapInArrow(run, "segment long, first int, end int")
+    return segments.mapInArrow(run, "key long, first long, end long")
 
 
 def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, spans: array of first and end word) for rows (key, text) with repeated stretches."""
-    found = anchor_rows(rows, window, anchor)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("anchor")
-    places = cut(found.join(often, "anchor").select("key", "spot", "segment"))
-    segments = places.groupBy("segment").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "spot")).alias("one"))
-    wanted = segments.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct(F.col("one.spot").alias("spot"), "segment", "weight")).alias("spots"))
-    total = places.agg(F.approx_count_distinct("segment")).first()[0]
+    found = cut(repeated_anchors(anchor_rows(rows, window, anchor)))
+    weighed = found.filter("open").groupBy("segment").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "spot", "anchor")).alias("one"))
+    one = F.struct(F.col("one.spot").alias("spot"), F.col("one.anchor").alias("anchor"), "segment", F.least("weight", F.lit(2)).cast("int").alias("weight"))
+    wanted = cut(weighed.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(one).alias("spots")))
+    total = wanted.agg(F.sum(F.size("spots"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_SEGMENTS))
-    texts = segment_texts(rows, wanted, anchor).repartition(shards, "anchor")
-    spans = cut(shard_spans(texts, window, anchor).groupBy("segment").agg(F.collect_list(F.struct("first", "end")).alias("spans")))
-    at = F.shiftright("spot", 16)
-    own = F.transform("spans", lambda s: F.struct((s["first"] + at).alias("first"), (s["end"] + at).alias("end")))
-    return places.join(spans, "segment").groupBy("key").agg(F.flatten(F.collect_set(own)).alias("spans"))
+    searched = shard_spans(segment_texts(rows, wanted).repartition(shards, "anchor"), window, anchor)
+    first = F.shiftright("spot", 2 * SPOT_BITS) - F.shiftright("spot", SPOT_BITS).bitwiseAND((1 << SPOT_BITS) - 1)
+    span = lambda r: r.select("key", first.alias("first"), (first + F.col("spot").bitwiseAND((1 << SPOT_BITS) - 1)).alias("end"))
+    # Of anchors with very many rows, those that are repeated as a whole are known by now.
+    late = found.filter("open and not whole").join(weighed.filter("weight > 1").select("segment"), "segment")
+    return span(found.filter("whole")).unionByName(span(late)).unionByName(searched).groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, by one space) and spans (removed words), a row for each of ``docs``.
 
-    Null and empty texts have no words. A repeated row is an occurrence of its
-    own, so its long stretches go from both. Other columns are not read.
+    Null and empty texts have no words. Very long texts are taken whole, each in
+    a slice of its own. A repeated row is an occurrence of its own, so its long
+    stretches go from both; equal windows (ties) all go. Other columns are not
+    read, so their names can't clash. A window has less than 32,768 words.
     """
+    if not anchor <= window < 1 << SPOT_BITS - 1:
+        raise ValueError(f"a window has {anchor} words or more and less than {1 << SPOT_BITS - 1}")
     rows = docs.select("doc_id", "text").withColumn("key", row_key())
     kind = dict(rows.dtypes)["doc_id"]
-    spans = repeats(rows, window, anchor)
+    spans = cut(repeats(rows, window, anchor))
 
     def run(batches):
         for batch in slices(batches):
@@ -316,8 +363,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 names=["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
+    # Only texts with something to remove are sent; the filter may let others pass.
+    marked = asked_for(rows, spans, "asked")
+    some = marked.filter("asked").join(spans, "key", "left").select("doc_id", "text", "spans")
+    none = marked.filter("not asked").select("doc_id", "text", F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"))
+    return some.unionByName(none).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:long,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
