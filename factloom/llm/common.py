@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.checkpoints import shared_folder
+
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 4 << 20
 #: Words of 64 bits in the filter of rows that a step asks for.
@@ -26,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder that the session names.
+    """``df`` with its lineage cut by a checkpoint in the shared folder.
 
     What only the cut lineage needed, shuffle files above all, is let go at
     once: Spark removes it when the driver's garbage is collected, and small
@@ -35,9 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        context.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint()
     gc.collect()
     context._jvm.System.gc()
