@@ -3,9 +3,9 @@
 Texts with equal shingle sets are one set, told by a 64-bit hash of its sum of
 hashes. Sets meet in tiles: a tile holds the sets of one size band that share
 a shingle, or a part of them if they are many. In a tile, bitmaps of hashed
-shingles, two bits or more for each shingle, bound the overlap of a pair from
-above by counting bits that differ; pairs that the bound leaves open are
-decided by intersecting sorted arrays.
+shingles, two bits or more for each shingle of all but very long texts, bound
+the overlap of a pair from above by counting bits that differ; pairs that the
+bound leaves open are decided by intersecting sorted arrays.
 
 Two sets that link share a shingle among the first quarter of each, in any
 order of all shingles, so only those make tiles. The order puts shingles last
@@ -27,6 +27,8 @@ from factloom.llm.common import WHITE, asked_for, cut, gram_hashes, hash_words,
 from factloom.llm.components import components
 
 GRAM = 5
+#: Bits of a bitmap at most: a set goes to as many tiles as it has shingles, so what it brings must not grow with them.
+MOST_BITS = 4096
 #: Smallest hashes that make stars; width of the table of counts.
 KEYS, WIDTH = 4, 1 << 16
 #: Sets of a tile's side; a shingle with more has its size bands cut into blocks.
@@ -62,12 +64,12 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """For each of some bits, whether an odd number of shingles falls on it; a power of two of bits, two or more for each shingle.
+    """For each of some bits, whether an odd number of shingles falls on it; a power of two of bits, two or more for each shingle, MOST_BITS at most.
 
     Bits that differ are no more than shingles that differ. A bitmap of half as
     many bits is its two halves, one xor the other.
     """
-    size = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    size = min(MOST_BITS, 1 << max(6, int(2 * len(shingles) - 1).bit_length()))
     odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
