@@ -38,24 +38,28 @@ def thread(rows: DataFrame) -> DataFrame:
 def paths(tree: DataFrame) -> DataFrame:
     """conv_id, leaf, node and up (steps from the leaf to the node) for every root-to-leaf path of conv_id, node, parent.
 
-    A parent that isn't there makes a root. Nodes on a cycle have no leaf and are on no path.
+    A parent that isn't there makes a root. Nodes on a cycle, and those whose
+    ancestors lead to one, are on no path. The joins that double pointers end
+    when no pointer is left, or as many as before: each further doubling loses
+    the pointers of some node unless only cycles are left.
     """
     nodes = tree.select("conv_id", "node", "parent")
     there = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     links = nodes.join(there, F.expr("conv_id <=> c and parent = n"), "left_semi")
     jumps = [cut(links.select("conv_id", "node", F.col("parent").alias("to")))]
-    limit = 0
-    while True:
+    left = jumps[0].count()
+    while left:
         last = jumps[-1]
         further = cut(last.alias("a").join(last.alias("b"), F.expr("a.conv_id <=> b.conv_id and a.to = b.node")).select("a.conv_id", "a.node", F.col("b.to").alias("to")))
-        if further.isEmpty():
+        now = further.count()
+        if now in (0, left):
             break
         jumps.append(further)
-        limit += 1
-        if limit > 62:
-            raise ValueError("the replies hold a cycle")
-    inner = links.select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
-    leaf = nodes.join(inner, F.expr("conv_id <=> c and node = n"), "left_anti")
+        left = now
+    inner = links.select(F.col("conv_id").alias("c"), F.col("parent").alias("n"))
+    if left and now:  # what still has pointers hangs on a cycle
+        inner = inner.unionByName(further.select(F.col("conv_id").alias("c"), F.col("node").alias("n")))
+    leaf = nodes.join(inner.distinct(), F.expr("conv_id <=> c and node = n"), "left_anti")
     reach = leaf.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in range(len(jumps) - 1, -1, -1):
         step = F.array(F.struct(F.col("r.node").alias("node"), F.col("r.up").alias("up")), F.struct(F.col("j.to").alias("node"), (F.col("r.up") + (1 << k)).alias("up")))
@@ -70,12 +74,17 @@ def paths(tree: DataFrame) -> DataFrame:
 def format_trees(tree: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, branch (rank from 1), leaf, score, formatted, n_turns and loss (spans of code points under the loss mask).
 
-    ``tree`` has conv_id, node (unique in its conversation), parent, role, text
-    and score. A path's score is the sum of its nodes'; equal scores go by leaf.
-    Null texts and roles are empty. The loss mask covers the texts of assistant
-    turns. A conversation's paths come together in one row each, its output.
+    ``tree`` has conv_id, node, parent, role, text and score; other columns are
+    not read. A path's score is the sum of its nodes', null being 0; equal
+    scores go by leaf. Null texts and roles are empty; rows without node are
+    left out; of rows with one node the least by parent, role, text and score
+    stands. Nodes on cycles are on no path, so a conversation without any other
+    root has no row. The loss mask covers the texts of assistant turns. A
+    conversation's paths come together in one row each, its output, however
+    long it is.
     """
-    tree = cut(tree)
+    least = F.min(F.struct("parent", "role", "text", "score")).alias("one")
+    tree = cut(tree.filter("node is not null").groupBy("conv_id", "node").agg(least).select("conv_id", "node", "one.*"))
     every = cut(paths(tree))
     said = tree.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text", "score")
     best = (
