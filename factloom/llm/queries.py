@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import chat, decontaminate, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity, url_filters
-from factloom.llm.common import table
+from factloom.llm.common import shared_folder, table
 from factloom.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -48,7 +50,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard(table(spark, sf_dir, "documents"))
+    placed = sharding.reshard(table(spark, sf_dir, "documents"), carry=("text", "lang", "source", "n_chars"))
+    written = sharding.rewritten(placed, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    return written.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Resharding by minimum-cost flow.
 
-From the old shards' sizes and the new shards' capacities a flow of least cost
-says how many rows each old shard gives to each new one; the rows that go are
-each giver's smallest, so the fewest bytes move. Only files of shards that
-lose or get rows are written anew.
+The new shards hold equal numbers of rows, at most one apart. A flow of least
+cost from old shards to new ones says how many rows each old shard keeps and
+gives away, a row's cost being its bytes: an old shard gives its smallest rows,
+and one that may keep one row more saves the largest of those. Rows go in
+blocks, a stretch of a giver's smallest rows to one taker. Only files of
+shards that lose or get rows are written anew.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +25,15 @@ BIN_ROWS = 4096
 
 
 class Flow:
-    """Successive shortest paths on a graph of a few hundred arcs."""
+    """Successive shortest paths; here on graphs with a few arcs for each shard."""
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[float] = []
+        self.cost: list[int] = []
 
-    def arc(self, a: int, b: int, room: int, cost: float = 0) -> int:
+    def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
         for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
             self.out[x].append(len(self.to))
             self.to.append(y)
@@ -37,16 +41,19 @@ class Flow:
             self.cost.append(c)
         return len(self.to) - 2
 
+    def used(self, arc: int) -> int:
+        return self.room[arc ^ 1]
+
     def run(self, source: int, sink: int) -> None:
         while True:
-            far = [float("inf")] * len(self.out)
-            via: list[int] = [-1] * len(self.out)
-            far[source], queue, waiting = 0.0, [source], {source}
+            far: list[float] = [float("inf")] * len(self.out)
+            via = [-1] * len(self.out)
+            far[source], queue, waiting = 0, deque([source]), {source}
             while queue:
-                x = queue.pop(0)
+                x = queue.popleft()
                 waiting.discard(x)
                 for e in self.out[x]:
-                    if self.room[e] and far[x] + self.cost[e] < far[y := self.to[e]] - 1e-9:
+                    if self.room[e] and far[x] + self.cost[e] < far[y := self.to[e]]:
                         far[y], via[y] = far[x] + self.cost[e], e
                         if y not in waiting:
                             waiting.add(y)
@@ -63,29 +70,49 @@ class Flow:
                 self.room[e ^ 1] += most
 
 
-def transfers(old: dict[int, tuple[int, int]], shards: int) -> dict[tuple[int, int], int]:
-    """Rows to move by (old shard, new shard), for old shards of (rows, bytes).
+def forced(rows: dict[int, int], shards: int) -> dict[int, int]:
+    """By old shard, how many rows it gives at most: all, or what is over the smaller of the new sizes."""
+    least = sum(rows.values()) // shards
+    return {s: n if s >= shards else max(0, n - least) for s, n in rows.items()}
+
+
+def transfers(rows: dict[int, int], last: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """Blocks (old shard, first rank, end rank, new shard) of the rows that move, ranked from the smallest, in the fewest bytes.
 
-    New shards hold equal numbers of rows, at most one apart. Rows that stay in
-    the shard of their number cost nothing, others the mean bytes of a row there.
+    ``rows`` has each old shard's rows and ``last`` the size of the last of the
+    rows that it would give at most (``forced``): the only ones that may stay,
+    one for each shard, since new sizes are one apart. All other rows that
+    ``forced`` counts move in any case.
     """
-    rows = sum(n for n, _ in old.values())
-    names = sorted(old)
-    at = {s: 2 + i for i, s in enumerate(names)}
-    new = [2 + len(names) + j for j in range(shards)]
-    spare = 2 + len(names) + shards
-    flow, ways = Flow(spare + 1), {}
+    total, most = sum(rows.values()), forced(rows, shards)
+    names = sorted(rows)
+    at = {s: 3 + i for i, s in enumerate(names)}
+    new = [3 + len(names) + j for j in range(shards)]
+    pool, spare = 2, 3 + len(names) + shards
+    flow = Flow(spare + 1)
+    leaves: dict[int, tuple[int, int]] = {}
     for s in names:
-        n, size = old[s]
-        flow.arc(0, at[s], n)
-        for j in range(shards):
-            ways[s, j] = flow.arc(at[s], new[j], n, 0 if s == j else size / max(n, 1))
+        flow.arc(0, at[s], rows[s])
+        one = 1 if s < shards and most[s] else 0
+        leaves[s] = flow.arc(at[s], pool, most[s] - one), flow.arc(at[s], pool, one, last.get(s, 0))
+        if s < shards:
+            flow.arc(at[s], new[s], rows[s])
+    takes = [flow.arc(pool, j, total) for j in new]
     for j in new:
-        flow.arc(j, 1, rows // shards)
+        flow.arc(j, 1, total // shards)
         flow.arc(j, spare, 1)
-    flow.arc(spare, 1, rows % shards)
+    flow.arc(spare, 1, total % shards)
     flow.run(0, 1)
-    return {way: moved for way, e in ways.items() if way[0] != way[1] and (moved := flow.room[e ^ 1])}
+    blocks, wanted = [], deque((j, n) for j, e in enumerate(takes) if (n := flow.used(e)))
+    for s in names:
+        given, left = 0, sum(flow.used(e) for e in leaves[s])
+        while left:
+            j, n = wanted.popleft()
+            if n > left:
+                wanted.appendleft((j, n - left))
+            blocks.append((s, given, given + min(n, left), j))
+            given, left = given + min(n, left), left - min(n, left)
+    return blocks
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, total: int) -> DataFrame:
@@ -108,56 +135,66 @@ def old_shard(shards: int = OLD_SHARDS) -> Column:
     return F.pmod(F.xxhash64(F.lit("old"), "doc_id"), F.lit(shards)).cast("int")
 
 
+def sized(rows: DataFrame, most: dict[int, int]) -> DataFrame:
+    """__old, __gives, __edge and __below for each old shard in ``most`` (rows to give, by old shard): the size of the last of its smallest rows to give, and how many are smaller."""
+    spark = rows.sparkSession
+    gives = spark.createDataFrame([(s, n) for s, n in most.items() if n], "__old int, __gives long")
+    by_size = Window.partitionBy("__old").orderBy("__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.groupBy("__old", "__size").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__upto", F.sum("__n").over(by_size))
+        .join(F.broadcast(gives), "__old")  # a row for each old shard
+        .filter("__upto >= __gives and __upto - __n < __gives")
+        .select("__old", "__gives", F.col("__size").alias("__edge"), (F.col("__upto") - F.col("__n")).alias("__below"))
+    )
+
+
 def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and moved, a row for each of ``docs``.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, moved and old_shard, a row for each of ``docs``.
 
     The law is ``rows``: shards hold equal numbers of rows, at most one apart;
     slots go from 0 without gaps in each shard. Null and empty texts have no
-    bytes, size 8 and the checksum 0. Repeated rows each get a slot. Of other
-    columns those in ``carry`` are put out too, if their names don't clash.
+    bytes, size 8 and the checksum 0; very long ones count whole. Repeated rows
+    each get a slot. Which of several rows of one size goes follows a hash of
+    the row. Columns of ``docs`` named in ``carry`` are put out too, but for
+    those with the name of a result, which the result takes; columns may have
+    any name that does not begin with two underscores. ``docs`` is read anew for
+    them, so it has to give the same rows each time.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = cut(docs.select(
-        "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        (old_shard() if old is None else old).cast("int").alias("old_shard"), *carry,
-    ))
-    slim = rows.select("doc_id", "size", "text_crc32", "old_shard")
-    # One row for each old shard: as many as there are shards, whatever the data.
-    sizes = {r[0]: (r[1], r[2]) for r in slim.groupBy("old_shard").agg(F.count(F.lit(1)), F.sum("size")).collect()}
-    total = sum(n for n, _ in sizes.values())
-    moves = transfers(sizes, shards)
+    results = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "moved", "old_shard")
+    carry = tuple(c for c in carry if c not in results)
+    held = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
+    rows = docs.select(
+        F.col("doc_id").alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(text).alias("__crc"),
+        (old_shard() if old is None else old).cast("int").alias("__old"), held.alias("__held"),
+    )
+    slim = cut(rows.drop("__held"))
+    if not carry:
+        rows = slim.withColumn("__held", F.lit(None).cast("string"))
+    # Rows of one number for each old shard: as many as there are shards, whatever the data.
+    counts = {r[0]: r[1] for r in slim.groupBy("__old").agg(F.count(F.lit(1))).collect()}
+    total = sum(counts.values())
+    last = {r["__old"]: r["__edge"] for r in sized(slim, forced(counts, shards)).collect()} if total else {}
+    blocks = transfers(counts, last, shards)
     gives: dict[int, int] = {}
-    plan = []
-    for (s, j), n in sorted(moves.items()):
-        plan.append((s, gives.get(s, 0), gives.get(s, 0) + n, j))
-        gives[s] = gives.get(s, 0) + n
+    for s, _, end, _ in blocks:
+        gives[s] = max(gives.get(s, 0), end)
     spark = docs.sparkSession
-    # Both tables have a row for each pair of shards at most.
-    plan_rows = spark.createDataFrame(plan, "old_shard int, low long, high long, new_shard int")
-    give_rows = spark.createDataFrame(list(gives.items()), "old_shard int, gives long")
-    by_size = Window.partitionBy("old_shard").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        slim.groupBy("old_shard", "size").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(by_size))
-        .join(F.broadcast(give_rows), "old_shard")
-        .filter("upto >= gives and upto - n < gives")
-        .select("old_shard", "gives", F.col("size").alias("edge"), (F.col("upto") - F.col("n")).alias("below"))
-    )
-    edge = spark.createDataFrame(edge.collect(), "old_shard int, gives long, edge long, below long")  # a row for each old shard
-    marked = rows.join(F.broadcast(edge), "old_shard", "left")
-    small = marked.filter("size <= edge").withColumn("tied", F.col("size") == F.col("edge"))
-    order = ["doc_id", "text_crc32", "size"]
-    first = ranked(small, ["old_shard", "tied"], order, "rank", total).withColumn("rank", F.col("rank") + F.when(F.col("tied"), F.col("below")).otherwise(0))
-    stay = F.col("old_shard")
-    going = (
-        first.join(F.broadcast(plan_rows.withColumnRenamed("old_shard", "from")), F.expr("old_shard = from and rank >= low and rank < high"), "left")
-        .withColumn("shard", F.coalesce("new_shard", stay))
-    )
-    kept = ["doc_id", "size", "text_crc32", "old_shard", *carry]
-    placed = marked.filter("edge is null or size > edge").select(*kept, stay.alias("shard")).unionByName(going.select(*kept, "shard"))
-    return ranked(placed, ["shard"], order, "slot", total).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-        (F.col("shard") != F.col("old_shard")).alias("moved"), "old_shard", *(c for c in carry if c != "doc_id"),
+    # As many blocks as there are shards, old and new, at most; an edge for each old shard.
+    plan = spark.createDataFrame(blocks, "__old int, __low long, __high long, __to int")
+    edge = spark.createDataFrame(sized(slim, gives).collect(), "__old int, __gives long, __edge long, __below long")
+    marked = rows.join(F.broadcast(edge), "__old", "left")
+    small = marked.filter("__size <= __edge").withColumn("__tied", F.col("__size") == F.col("__edge"))
+    order = ["__id", "__crc", "__size"]
+    first = ranked(small, ["__old", "__tied"], order, "__rank", total).withColumn("__rank", F.col("__rank") + F.when(F.col("__tied"), F.col("__below")).otherwise(0))
+    p = plan.withColumnRenamed("__old", "__from")
+    going = first.join(F.broadcast(p), F.expr("__old = __from and __rank >= __low and __rank < __high"), "left").withColumn("__shard", F.coalesce("__to", "__old"))
+    kept = ["__id", "__size", "__crc", "__old", "__held"]
+    placed = marked.filter("__edge is null or __size > __edge").select(*kept, F.col("__old").alias("__shard")).unionByName(going.select(*kept, "__shard"))
+    return ranked(placed, ["__shard"], order, "__slot", total).select(
+        F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), (F.col("__shard") != F.col("__old")).alias("moved"), F.col("__old").alias("old_shard"), *(F.col("__held")[c].alias(c) for c in carry),
     )
 
 
@@ -168,3 +205,13 @@ def rewrite(sharded: DataFrame, path: str) -> list[int]:
     rows = sharded.filter(F.col("shard").isin(numbers)).drop("moved", "old_shard")
     rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return numbers
+
+
+def rewritten(sharded: DataFrame, path: str) -> DataFrame:
+    """``sharded`` with the rows of rewritten shards read back from their new files; ``moved`` and ``old_shard`` are left out."""
+    numbers = rewrite(sharded, path)
+    stayed = sharded.filter(~F.col("shard").isin(numbers)).drop("moved", "old_shard")
+    if not numbers:
+        return stayed
+    files = sharded.sparkSession.read.schema(stayed.schema).parquet(path).filter(F.col("shard").isin(numbers))
+    return stayed.unionByName(files.select(stayed.columns))
