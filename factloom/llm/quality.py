@@ -2,7 +2,7 @@
 
 A line's words are normalised and hashed; per host the distinct documents with
 that line are counted; lines above the host's limit are removed, and documents
-depleted by that are rejected. Copies of one text count as one document.
+depleted by that are rejected. Rows with one id, source and text are one document.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WHITE, let, word_array
+from factloom.llm.common import WHITE, cut, let, word_array
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -19,6 +19,8 @@ LINE_DOCUMENTS = 20
 LINE_SHARE = 0.002
 #: A document is rejected if fewer than so many of 100 words are left.
 LEFT_PERCENT = 40
+#: Parts into which a frequent line's documents are dealt.
+SALTS = 16
 SYMBOLS = "#*$%&|<>"
 
 
@@ -59,55 +61,57 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(normal_line(line))
 
 
+def document_key() -> Column:
+    """What tells rows apart: id, source and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("source", F.lit("\x00")), F.coalesce("text", F.lit("")))
+
+
 def frequent_lines(rows: DataFrame, line_documents: int, line_share: float) -> DataFrame:
-    """doc_id, host, content, n_removed (words) and removed (hashes of lines over the host's limit) of rows that hold such lines.
+    """key, n_removed (words) and removed (hashes of lines over the host's limit) of the documents that hold such lines.
 
-    ``rows`` has doc_id, text, host and content, a hash of the text.
+    ``rows`` has key, host and text. Lines are cut out of the texts once; a row
+    for each document and line follows, so documents are counted before any
+    shuffle by line, and a line that half of a host's documents hold is no hot
+    key. What joins these rows with the lines over the limit is salted.
     """
-    one = lambda x, i: let(normal_line(x), lambda t: F.struct(F.xxhash64(t).alias("line"), i.alias("at"), F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).alias("n")))
-    lines = rows.select("doc_id", "content", "host", F.explode(F.transform(F.split("text", "\n"), one)).alias("one")).select("doc_id", "content", "host", "one.*").filter("n > 0")
-    seen = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
-    hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    over = (
-        seen.filter(F.col("documents") > line_documents)
-        .join(hosts, "host")
-        .filter(F.col("documents") > F.col("of") * line_share)
-        .select("host", "line")
-    )
-    return (
-        lines.join(over, ["host", "line"])
-        .distinct()  # a repeated row has its lines once
-        .groupBy("doc_id", "host", "content")
-        .agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("removed"))
-    )
+    one = lambda x: let(normal_line(x), lambda t: F.struct(F.xxhash64(t).alias("line"), F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).alias("n")))
+    every = rows.select("key", "host", F.explode(F.transform(F.split("text", "\n"), one)).alias("one")).select("key", "host", "one.*").filter("n > 0")
+    lines = cut(every.groupBy("key", "host", "line").agg(F.sum("n").alias("n")))
+    documents = cut(rows.groupBy("key", "host").agg(F.count(F.lit(1)).alias("copies")))  # rows that are equal
+    seen = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > line_documents)
+    over = seen.join(documents.groupBy("host").agg(F.count(F.lit(1)).alias("of")), "host").filter(F.col("documents") > F.col("of") * line_share)
+    salted = over.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = lines.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
+    found = held.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("line").alias("removed"))
+    return found.join(documents.select("key", "copies"), "key").select("key", F.expr("n div copies").alias("n_removed"), "removed")
 
 
 def judged(docs: DataFrame, line_documents: int, line_share: float, left_percent: int) -> DataFrame:
     """``docs`` with one more column, the struct __quality."""
-    names = docs.columns
-    rows = docs.withColumn("__content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__host", F.coalesce("source", F.lit("\x00")))
-    removed = frequent_lines(rows.select("doc_id", "text", F.col("__content").alias("content"), F.col("__host").alias("host")), line_documents, line_share)
-    b, r = rows.withColumn("__base", base_rules(F.col("text"))).alias("b"), removed.alias("r")
-    joined = b.join(r, F.expr("b.doc_id <=> r.doc_id and b.__host = r.host and b.__content = r.content"), "left")
-    n, again = F.col("b.__base.n_words"), F.col("b.__base.n_repeat_words")
+    rows = docs.withColumn("__key", document_key())
+    removed = frequent_lines(rows.select(F.col("__key").alias("key"), F.coalesce("source", F.lit("\x00")).alias("host"), "text"), line_documents, line_share)
+    r = removed.select(F.col("key").alias("__key"), F.struct("n_removed", "removed").alias("__found"))
+    n, again, n_removed = F.col("__base.n_words"), F.col("__base.n_repeat_words"), F.coalesce(F.col("__found.n_removed"), F.lit(0))
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
-    n_removed = F.coalesce(F.col("r.n_removed"), F.lit(0))
     quality = F.struct(
-        "b.__base.*",
+        "__base.*",
         failed.alias("base_failed"),
         n_removed.alias("n_removed"),
         (~failed & (100 * (n - n_removed) >= left_percent * n)).alias("kept"),
-        F.col("r.removed").alias("removed"),
+        F.col("__found.removed").alias("removed"),
     )
-    return joined.select(*(F.col(f"b.`{c}`") for c in names), quality.alias("__quality"))
+    joined = rows.withColumn("__base", base_rules(F.col("text"))).join(r, "__key", "left")
+    return joined.withColumn("__quality", quality).drop("__key", "__base", "__found")
 
 
 def quality_rules(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed (words in removed lines) and kept, for each row of ``docs``.
 
     Null and empty texts have no words, so they fail the base rules. A null
-    source is a host of its own. Rows are told apart by doc_id and text: equal
-    rows get equal results, each once. Other columns are not read.
+    source is a host of its own. Very long texts are judged whole; a line in
+    as many documents as a limit says stays. Rows are told apart by id, source
+    and text: equal rows count once and get equal results, each of them. Other
+    columns are not read.
     """
     found = judged(docs.select("doc_id", "text", "source"), line_documents, line_share, left_percent)
     return found.select("doc_id", "__quality.*").drop("removed")

@@ -89,8 +89,8 @@ lines as (
   from (select *, unnest(string_split(text, chr(10))) raw from docs)),
 words as (select *, len(string_split(line, ' ')) n from lines where line <> ''),
 dup as (select doc_id, count(*) - count(distinct raw) n from words group by 1),
-seen as (select source, line, count(distinct text) documents from words group by 1, 2),
-hosts as (select source, count(distinct text) n from docs group by 1),
+seen as (select source, line, count(distinct (doc_id, text)) documents from words group by 1, 2),
+hosts as (select source, count(distinct (doc_id, text)) n from docs group by 1),
 frequent as (
   select s.source, s.line from seen s join hosts h on s.source is not distinct from h.source
   where s.documents > {quality.LINE_DOCUMENTS} and s.documents > h.n * {quality.LINE_SHARE}),
