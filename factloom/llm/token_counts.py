@@ -1,88 +1,163 @@
 """Token counts without token ids.
 
-Each text is cut into pre-tokens; a distinct pre-token is encoded once and its
-number of pieces is joined to the pre-token's frequency in every document.
-The join is done where the document is, against a table of pieces that each
-worker keeps, so no row leaves its partition.
+Pre-tokens are counted over all texts first, and each distinct one is encoded
+once. Its number of pieces is then joined to its frequency in every document
+and summed. The join goes two ways, so that no frequent pre-token makes a hot
+key: the most frequent ones, a fixed number of short ones, are a table that is
+sent to the documents; rows of the others are shuffled to the rest of the
+table.
+
+Texts are cut into units first, runs of characters after a run of spaces and
+line feeds. No pre-token reaches over such a cut, and units repeat, so the
+pre-token pattern is applied once to each distinct unit of a slice.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import slices
+from factloom.llm.common import cut, slices
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of a worker's table of pieces; a full table is emptied and built anew.
-TABLE_ENTRIES = 400_000
-#: Longer pre-tokens are counted, but not kept.
-KEPT_LENGTH = 64
+#: Pre-tokens in the table that is sent to the documents, and the longest among them.
+SENT, SENT_BYTES = 1 << 16, 64
+UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: From here on character classes differ between the Unicode versions of libraries.
+NEWER = re.compile("[԰-\U0010ffff]")
 
 
-def counter(tokenizer_path: str):
-    """A function from a text to its number of tokens.
+class Cutter:
+    """Cuts texts into pre-tokens by the rules of a tokenizer, given as its JSON."""
 
-    A text with characters from U+0530 on is cut by the library itself, since
-    the character classes of later Unicode versions differ between libraries.
-    """
-    import re
-
-    import regex
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    at_special = re.compile("|".join(map(re.escape, special)))
-    newer = re.compile("[԰-\U0010ffff]").search
-    find = regex.compile(PATTERN).findall
-    pieces: dict[str, int] = {}
-
-    def cut(text: str) -> list[str]:
-        if newer(text):
-            return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return find(text)
-
-    def count(text: str) -> int:
-        parts = at_special.split(text) if special else [text]
-        frequency: Counter = Counter()
+    def __init__(self, rules: str):
+        import regex
+
+        self.rules, self.library = rules, None
+        special = sorted((t["content"] for t in json.loads(rules).get("added_tokens", [])), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.find = regex.compile(PATTERN).findall
+
+    def units(self, text: str) -> tuple[Counter, int]:
+        """How often the text has each unit, and its number of special tokens."""
+        parts = self.special.split(text) if self.special else [text]
+        counts: Counter = Counter()
         for part in parts:
-            frequency.update(cut(part))
-        new = [p for p in frequency if p not in pieces]
-        if len(pieces) + len(new) > TABLE_ENTRIES:
-            pieces.clear()
-            new = list(frequency)
-        lengths = {p: len(e) for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        pieces.update((p, n) for p, n in lengths.items() if len(p) <= KEPT_LENGTH)
-        return len(parts) - 1 + sum(f * (lengths[p] if p in lengths else pieces[p]) for p, f in frequency.items())
+            own = Counter(UNIT.findall(part))
+            # A cut between two white characters could part a run of them.
+            counts.update([part] if any(u[-1].isspace() and u[-1] not in " \n" for u in own) else own)
+        return counts, len(parts) - 1
 
-    return count
+    def pre_tokens(self, unit: str) -> list[str]:
+        if not NEWER.search(unit):
+            return self.find(unit)
+        if self.library is None:
+            from tokenizers import Tokenizer
 
+            self.library = Tokenizer.from_str(self.rules).pre_tokenizer
+        return [unit[a:b] for _, (a, b) in self.library.pre_tokenize_str(unit)]
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row.
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
-    each; other columns are not read, so their names can't clash.
-    """
+def frequencies(rows: DataFrame, rules: str) -> DataFrame:
+    """(piece, times): each distinct pre-token of all texts and how often they have it."""
+
+    def run(batches):
+        cutter = Cutter(rules)
+        for batch in slices(batches):
+            units: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                units.update(cutter.units(text or "")[0])
+            pieces: Counter = Counter()
+            for unit, n in units.items():
+                for p in cutter.pre_tokens(unit):
+                    pieces[p] += n
+            yield pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], names=["piece", "times"])
+
+    return rows.select("text").mapInArrow(run, "piece string, times long").groupBy("piece").agg(F.sum("times").alias("times"))
+
+
+def encoded(pieces: DataFrame, rules: str) -> DataFrame:
+    """(piece, times, n): how many tokens each distinct pre-token has; each is encoded once."""
 
     def run(batches):
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = counter(tokenizer_path)
+        tokenizer = Tokenizer.from_str(rules)
+        for batch in slices(batches, "piece"):
+            n = [len(e) for e in tokenizer.encode_batch(batch.column("piece").to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("times"), pa.array(n, pa.int64())], names=["piece", "times", "n"])
+
+    return pieces.mapInArrow(run, "piece string, times long, n long")
+
+
+def summed(rows: DataFrame, table: dict[str, int], rules: str) -> DataFrame:
+    """A row for each of ``rows`` (id, key, text): id, key, n_bytes and known (tokens of special strings and of pre-tokens in ``table``); and rows (key, piece, of): how often the text of that key has a pre-token that isn't there."""
+
+    def run(batches):
+        cutter = Cutter(rules)
+        seen: set[int] = set()  # copies of a text give its rest once
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens = [count(t) for t in texts]
+            cuts: dict[str, tuple[int, list[str]]] = {}
+            known, rest_key, rest_piece, rest_of = [], [], [], []
+            for text, key in zip(texts, batch.column("key").to_pylist(), strict=True):
+                units, total = cutter.units(text)
+                rest: Counter = Counter()
+                for unit, n in units.items():
+                    if unit not in cuts:
+                        pieces = cutter.pre_tokens(unit)
+                        cuts[unit] = sum(table.get(p, 0) for p in pieces), [p for p in pieces if p not in table]
+                    of_table, others = cuts[unit]
+                    total += n * of_table
+                    for p in others:
+                        rest[p] += n
+                known.append(total)
+                if key not in seen:
+                    seen.add(key)
+                    rest_key += [key] * len(rest)
+                    rest_piece += rest.keys()
+                    rest_of += rest.values()
+            k, m = len(texts), len(rest_key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                names=["id", "n_bytes", "n_tokens", "over_limit"],
+                [
+                    pa.array(np.r_[np.zeros(k, bool), np.ones(m, bool)]),
+                    pa.concat_arrays([batch.column("id"), pa.nulls(m, batch.column("id").type)]), pa.concat_arrays([batch.column("key"), pa.array(rest_key, pa.int64())]),
+                    pa.array([len(t.encode()) for t in texts] + [None] * m, pa.int64()), pa.array(known + [None] * m, pa.int64()),
+                    pa.array([None] * k + rest_piece, pa.string()), pa.array([None] * k + rest_of, pa.int64()),
+                ],
+                names=["is_rest", "id", "key", "n_bytes", "known", "piece", "of"],
             )
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(run, f"is_rest boolean, id {dict(rows.dtypes)['id']}, key long, n_bytes long, known long, piece string, of long")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text", sent: int = SENT) -> DataFrame:
+    """``id``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row.
+
+    Null and empty texts have 0 bytes and 0 tokens; very long texts are counted
+    whole, each in a slice of its own; repeated rows are counted each; texts
+    with ``limit`` tokens are not over it; other columns are not read, so their
+    names can't clash. The tokenizer's file is read by the driver only.
+    """
+    with open(tokenizer_path, encoding="utf-8") as file:
+        rules = file.read()
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64("text"))
+    pieces = cut(encoded(cut(frequencies(rows, rules)), rules))
+    # SENT rows of SENT_BYTES at most, whatever the data.
+    common = pieces.filter(F.octet_length("piece") <= SENT_BYTES).orderBy(F.desc("times"), "piece").limit(sent).select("piece", "n")
+    table = {r[0]: r[1] for r in common.collect()}
+    found = cut(summed(rows, table, rules))
+    every, rest = found.filter("not is_rest").select("id", "key", "n_bytes", "known"), found.filter("is_rest").select("key", "piece", "of").distinct()
+    more = rest.join(pieces.select("piece", "n"), "piece").groupBy("key").agg(F.sum(F.col("of") * F.col("n")).alias("more"))
+    n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
+    return every.join(more, "key", "left").select(F.col("id").alias(id_column), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
