@@ -50,3 +50,24 @@ def test_stages(spark, folder):
     whole = corpus_pipeline.run(spark, folder)
     assert {(r.doc_id, r.text) for r in whole.collect()} == {(i, rows[i]) for i in counts}
     assert whole.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 2").count() == 0
+
+
+CLASHES = ["edge", "moved", "law", "size", "shard", "slot", "rank", "tied", "old_shard", "text_crc32", "component_id", "items", "kept", "copies", "key", "class", "a", "b", "host", "line", "n", "target"]
+
+
+def test_empty_table(spark, folder, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copytree(f"{folder}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_any_names(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain = {(r.doc_id, r.text, r.shard, r.slot) for r in corpus_pipeline.run(spark, folder).collect()}
+    docs.select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHES)).write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copytree(f"{folder}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(got.columns)) == len(got.columns) and set(got.columns) >= set(docs.columns) | set(CLASHES)
+    rows = got.collect()
+    assert {(r.doc_id, r.text, r.shard, r.slot) for r in rows} == plain
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in ("edge", "rank", "tied", "component_id", "key", "a", "host", "n"))
