@@ -3,9 +3,8 @@
 Pre-tokens are counted over all texts first, and each distinct one is encoded
 once. Its number of pieces is then joined to its frequency in every document
 and summed. The join goes two ways, so that no frequent pre-token makes a hot
-key: the most frequent ones, a fixed number of short ones, are a table that is
-sent to the documents; rows of the others are shuffled to the rest of the
-table.
+key: the most frequent ones, a fixed number, are a table of hashes that is sent
+to the documents; rows of the others are shuffled to the rest of the table.
 
 Texts are cut into units first, runs of characters after a run of spaces and
 line feeds. No pre-token reaches over such a cut, and units repeat, so the
@@ -17,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,11 @@ from factloom.llm.common import cut, slices
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens in the table that is sent to the documents, and the longest among them.
-SENT, SENT_BYTES = 1 << 16, 64
+#: Pre-tokens at most in the table that is sent to the documents, twelve bytes each.
+SENT = 1 << 21
 UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: Where a cut would part a run of white space.
+ODD = re.compile(r"[^\S \n][ \n]")
 #: From here on character classes differ between the Unicode versions of libraries.
 NEWER = re.compile("[԰-\U0010ffff]")
 
@@ -45,15 +47,10 @@ class Cutter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.find = regex.compile(PATTERN).findall
 
-    def units(self, text: str) -> tuple[Counter, int]:
-        """How often the text has each unit, and its number of special tokens."""
+    def units(self, text: str) -> tuple[list[str], int]:
+        """The text's units, and its number of special tokens."""
         parts = self.special.split(text) if self.special else [text]
-        counts: Counter = Counter()
-        for part in parts:
-            own = Counter(UNIT.findall(part))
-            # A cut between two white characters could part a run of them.
-            counts.update([part] if any(u[-1].isspace() and u[-1] not in " \n" for u in own) else own)
-        return counts, len(parts) - 1
+        return [u for part in parts for u in ((part,) if ODD.search(part) else UNIT.findall(part)) if u], len(parts) - 1
 
     def pre_tokens(self, unit: str) -> list[str]:
         if not NEWER.search(unit):
@@ -100,39 +97,69 @@ def encoded(pieces: DataFrame, rules: str) -> DataFrame:
     return pieces.mapInArrow(run, "piece string, times long, n long")
 
 
-def summed(rows: DataFrame, table: dict[str, int], rules: str) -> DataFrame:
+def most_frequent(pieces: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent pieces, ``most`` at most, and their numbers of tokens: all with a frequency above some bound."""
+    bucket = F.floor(F.log2("times") * 8)  # a few hundred, whatever the data
+    sizes = sorted(pieces.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    held, least = 0, None
+    for b, n in sizes:
+        held += n
+        if held > most:
+            break
+        least = b
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    table = pieces.filter(bucket >= least).select(F.xxhash64("piece").alias("hash"), F.col("n").cast("int").alias("n")).toArrow()
+    order = np.argsort(table["hash"].to_numpy())
+    return table["hash"].to_numpy()[order], table["n"].to_numpy()[order]
+
+
+def summed(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], rules: str) -> DataFrame:
     """A row for each of ``rows`` (id, key, text): id, key, n_bytes and known (tokens of special strings and of pre-tokens in ``table``); and rows (key, piece, of): how often the text of that key has a pre-token that isn't there."""
+    hashes, numbers = table
 
     def run(batches):
+        import xxhash
+
         cutter = Cutter(rules)
         seen: set[int] = set()  # copies of a text give its rest once
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            cuts: dict[str, tuple[int, list[str]]] = {}
-            known, rest_key, rest_piece, rest_of = [], [], [], []
-            for text, key in zip(texts, batch.column("key").to_pylist(), strict=True):
-                units, total = cutter.units(text)
-                rest: Counter = Counter()
-                for unit, n in units.items():
-                    if unit not in cuts:
-                        pieces = cutter.pre_tokens(unit)
-                        cuts[unit] = sum(table.get(p, 0) for p in pieces), [p for p in pieces if p not in table]
-                    of_table, others = cuts[unit]
-                    total += n * of_table
-                    for p in others:
-                        rest[p] += n
-                known.append(total)
-                if key not in seen:
-                    seen.add(key)
-                    rest_key += [key] * len(rest)
-                    rest_piece += rest.keys()
-                    rest_of += rest.values()
+            units, special = zip(*map(cutter.units, texts), strict=True)
+            ends = np.cumsum([len(u) for u in units])
+            coded = pa.array(chain.from_iterable(units), pa.string()).dictionary_encode()
+            codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            pieces = [cutter.pre_tokens(u) for u in distinct]
+            of = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+            flat = list(chain.from_iterable(pieces))
+            asked = np.array([xxhash.xxh64_intdigest(p, 42) for p in flat], np.uint64).view(np.int64)
+            at = np.minimum(np.searchsorted(hashes, asked), max(0, len(hashes) - 1))
+            there = hashes[at] == asked if len(hashes) else np.zeros(len(asked), bool)
+            worth = np.bincount(of[there], numbers[at[there]], len(distinct)) if len(distinct) else np.zeros(0)
+            total = np.r_[0, np.cumsum(worth[codes])][np.r_[0, ends]]
+            known = np.diff(total).astype(np.int64) + np.array(special)
+            lacking: dict[int, list[str]] = {}
+            for i in np.flatnonzero(~there).tolist():
+                lacking.setdefault(int(of[i]), []).append(flat[i])
+            rest_key, rest_piece, rest_of = [], [], []
+            keys = batch.column("key").to_pylist()
+            if lacking:
+                places = np.flatnonzero(np.isin(codes, list(lacking)))
+                by_text: dict[int, Counter] = {}
+                for row, code in zip(np.searchsorted(ends, places, "right").tolist(), codes[places].tolist(), strict=True):
+                    by_text.setdefault(row, Counter()).update(lacking[code])
+                for row, rest in by_text.items():
+                    if keys[row] not in seen:
+                        seen.add(keys[row])
+                        rest_key += [keys[row]] * len(rest)
+                        rest_piece += rest.keys()
+                        rest_of += rest.values()
             k, m = len(texts), len(rest_key)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[np.zeros(k, bool), np.ones(m, bool)]),
                     pa.concat_arrays([batch.column("id"), pa.nulls(m, batch.column("id").type)]), pa.concat_arrays([batch.column("key"), pa.array(rest_key, pa.int64())]),
-                    pa.array([len(t.encode()) for t in texts] + [None] * m, pa.int64()), pa.array(known + [None] * m, pa.int64()),
+                    pa.array([len(t.encode()) for t in texts] + [None] * m, pa.int64()), pa.array(known.tolist() + [None] * m, pa.int64()),
                     pa.array([None] * k + rest_piece, pa.string()), pa.array([None] * k + rest_of, pa.int64()),
                 ],
                 names=["is_rest", "id", "key", "n_bytes", "known", "piece", "of"],
@@ -147,16 +174,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_colu
     Null and empty texts have 0 bytes and 0 tokens; very long texts are counted
     whole, each in a slice of its own; repeated rows are counted each; texts
     with ``limit`` tokens are not over it; other columns are not read, so their
-    names can't clash. The tokenizer's file is read by the driver only.
+    names can't clash. The tokenizer's file is read by the driver only. Of the
+    distinct pre-tokens ``sent`` at most, told by 64-bit hashes, are sent to the
+    documents; the rest are joined by themselves.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         rules = file.read()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64("text"))
-    pieces = cut(encoded(cut(frequencies(rows, rules)), rules))
-    # SENT rows of SENT_BYTES at most, whatever the data.
-    common = pieces.filter(F.octet_length("piece") <= SENT_BYTES).orderBy(F.desc("times"), "piece").limit(sent).select("piece", "n")
-    table = {r[0]: r[1] for r in common.collect()}
-    found = cut(summed(rows, table, rules))
+    pieces = cut(encoded(frequencies(rows, rules), rules))
+    found = cut(summed(rows, most_frequent(pieces, sent), rules))
     every, rest = found.filter("not is_rest").select("id", "key", "n_bytes", "known"), found.filter("is_rest").select("key", "piece", "of").distinct()
     more = rest.join(pieces.select("piece", "n"), "piece").groupBy("key").agg(F.sum(F.col("of") * F.col("n")).alias("more"))
     n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
