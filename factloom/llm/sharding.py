@@ -20,8 +20,8 @@ from factloom.llm.common import cut
 OLD_SHARDS = 16
 SHARDS = 24
 ROW_BYTES = 8
-#: Rows of all groups together in one bin of a ranking.
-BIN_ROWS = 4096
+#: Rows of all old shards together in one bin when the smallest are ranked; rows of a new shard that one task numbers and writes to one file, about.
+BIN_ROWS, FILE_ROWS = 4096, 20_000
 
 
 class Flow:
@@ -115,13 +115,13 @@ def transfers(rows: dict[int, int], last: dict[int, int], shards: int) -> list[t
     return blocks
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, total: int) -> DataFrame:
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, bins: int) -> DataFrame:
     """``rows`` with their rank from 0 within ``group``, in an order by hash, without a task for a whole group.
 
-    Rows are dealt into bins by a hash of ``order``; a rank is the rows of the
-    group in the bins before, and the place in the own bin.
+    Rows are dealt into ``bins`` by a hash of ``order``; a rank is the rows of
+    the group in the bins before, and the place in the own bin. Rows come out
+    dealt by group and bin.
     """
-    bins = max(1, -(-total // BIN_ROWS))
     rows = rows.withColumn("__bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
     counts = rows.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
@@ -187,23 +187,27 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, ca
     marked = rows.join(F.broadcast(edge), "__old", "left")
     small = marked.filter("__size <= __edge").withColumn("__tied", F.col("__size") == F.col("__edge"))
     order = ["__id", "__crc", "__size"]
-    first = ranked(small, ["__old", "__tied"], order, "__rank", total).withColumn("__rank", F.col("__rank") + F.when(F.col("__tied"), F.col("__below")).otherwise(0))
+    first = ranked(small, ["__old", "__tied"], order, "__rank", max(1, -(-total // BIN_ROWS))).withColumn("__rank", F.col("__rank") + F.when(F.col("__tied"), F.col("__below")).otherwise(0))
     p = plan.withColumnRenamed("__old", "__from")
     going = first.join(F.broadcast(p), F.expr("__old = __from and __rank >= __low and __rank < __high"), "left").withColumn("__shard", F.coalesce("__to", "__old"))
     kept = ["__id", "__size", "__crc", "__old", "__held"]
     placed = marked.filter("__edge is null or __size > __edge").select(*kept, F.col("__old").alias("__shard")).unionByName(going.select(*kept, "__shard"))
-    return ranked(placed, ["__shard"], order, "__slot", total).select(
+    return ranked(placed, ["__shard"], order, "__slot", max(1, -(-total // (shards * FILE_ROWS)))).select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), (F.col("__shard") != F.col("__old")).alias("moved"), F.col("__old").alias("old_shard"), *(F.col("__held")[c].alias(c) for c in carry),
     )
 
 
 def rewrite(sharded: DataFrame, path: str) -> list[int]:
-    """Writes the shards that lost or got rows, as ``path``/shard=N, and returns their numbers; files of others stay."""
+    """Writes the shards that lost or got rows, as ``path``/shard=N, and returns their numbers; files of others stay.
+
+    Rows are written as ``reshard`` has dealt them, a file for FILE_ROWS rows of
+    a shard or so, without another shuffle.
+    """
     touched = sharded.filter("moved").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     numbers = sorted(r[0] for r in touched.collect())  # shard numbers
     rows = sharded.filter(F.col("shard").isin(numbers)).drop("moved", "old_shard")
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return numbers
 
 
