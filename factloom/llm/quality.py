@@ -75,7 +75,8 @@ def frequent_lines(rows: DataFrame, line_documents: int, line_share: float) -> D
     key. What joins these rows with the lines over the limit is salted.
     """
     one = lambda x: let(normal_line(x), lambda t: F.struct(F.xxhash64(t).alias("line"), F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).alias("n")))
-    every = rows.select("key", "host", F.explode(F.transform(F.split("text", "\n"), one)).alias("one")).select("key", "host", "one.*").filter("n > 0")
+    # An outer explode: with an inner one Spark would make all lines a second time, in a filter that there are any.
+    every = rows.select("key", "host", F.explode_outer(F.transform(F.split("text", "\n"), one)).alias("one")).select("key", "host", "one.*").filter("n > 0")
     lines = cut(every.groupBy("key", "host", "line").agg(F.sum("n").alias("n")))
     documents = cut(rows.groupBy("key", "host").agg(F.count(F.lit(1)).alias("copies")))  # rows that are equal
     seen = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > line_documents)
