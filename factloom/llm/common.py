@@ -44,13 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def asked_for(rows: DataFrame, keys: DataFrame, flag: str | None = None) -> DataFrame:
-    """``rows`` whose key may be among ``keys``, with all that are, before any of their text is sent; with ``flag`` all rows, that column telling which.
+def asked_for(rows: DataFrame, keys: DataFrame, flag: str | None = None, key: str = "key") -> DataFrame:
+    """``rows`` whose ``key`` may be among ``keys`` (of the same name), with all that are, before any of their text is sent; with ``flag`` all rows, that column telling which.
 
     The filter is a table of FILTER_WORDS rows of 64 bits at most, whatever the
     data, so it can be broadcast; a fuller one lets more rows pass.
     """
-    place = F.pmod(F.xxhash64("key"), F.lit(64 * FILTER_WORDS))
+    place = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     held = cut(keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
     joined = rows.join(F.broadcast(held), word == F.col("__word"), "left" if flag else "inner")

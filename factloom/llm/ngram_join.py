@@ -28,7 +28,7 @@ from factloom.llm.components import components
 
 GRAM = 5
 #: Bits of a bitmap at most: a set goes to as many tiles as it has shingles, so what it brings must not grow with them.
-MOST_BITS = 4096
+MOST_BITS = 2048
 #: Smallest hashes that make stars; width of the table of counts.
 KEYS, WIDTH = 4, 1 << 16
 #: Sets of a tile's side; a shingle with more has its size bands cut into blocks.
@@ -369,12 +369,17 @@ def one_of_each(docs: DataFrame, n: int = GRAM) -> DataFrame:
     texts under one id are judged each, and so are texts without id. Rows with
     neither id nor words stay. Which row stays does not hang on partitions;
     rows equal in id and text differ in other columns at most, and of them any
-    one stays. Columns may have any names but __key.
+    one stays. Columns may have any name that does not begin with two underscores.
     """
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     found = ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("__key"), "component_id").distinct()
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")
     keep = keyed.select("doc_id", "__key").join(found, "__key").groupBy("component_id").agg(F.min(order)["__key"].alias("__key"))
+    keep = cut(keep.select("__key"))
     nothing = F.col("doc_id").isNull() & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE))) == 0)
-    kept = keyed.filter(~nothing).join(keep.select("__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
-    return kept.unionByName(docs.filter(nothing))
+    rows = keyed.filter(~nothing)
+    # Only rows that may go are sent: those of keys that aren't kept, and those of keys with several rows.
+    doubtful = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).join(keep.withColumn("stays", F.lit(True)), "__key", "left").filter("n > 1 or stays is null")
+    marked = asked_for(rows, doubtful.select("__key"), "__asked", "__key")
+    kept = marked.filter("__asked").join(keep, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.unionByName(marked.filter("not __asked").select(kept.columns)).drop("__key", "__asked").unionByName(docs.filter(nothing))
