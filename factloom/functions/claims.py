@@ -96,9 +96,13 @@ def split_sentences(text: Column, least: int = 5) -> Column:
 
 
 def distinct_by(values: Column, key) -> Column:
-    """First of each key, in order."""
-    keys = F.transform(values, key)
-    return let(F.struct(values.alias("v"), keys.alias("k")), lambda s: F.filter(s["v"], lambda x, i: F.array_position(s["k"], key(x)) == i + 1))
+    """First of each key, in order; keys are sorted, so the work is no square of the number of values."""
+    def firsts(v: Column) -> Column:
+        keyed = F.array_sort(F.transform(v, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        starts = let(keyed, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
+        return F.transform(F.array_sort(F.transform(starts, lambda x: x["i"])), lambda i: F.get(v, i))
+
+    return let(values, firsts)
 
 
 def extract_claims(text: Column, most: int = 6, least_words: int = 4) -> Column:
@@ -241,10 +245,6 @@ def decompose(text: Column) -> Column:
     ))
 
 
-def focus(decomposed: Column) -> Column:
-    return F.slice(F.when(F.size(decomposed["entities"]) > 0, decomposed["entities"]).otherwise(decomposed["words"]), 1, 3)
-
-
 # ---- events ----------------------------------------------------------------
 
 
@@ -261,10 +261,9 @@ def opposites(event_list: Column) -> Column:
 
 def surface_forms(text: Column) -> Column:
     """Surface forms by their first place, without a form that is part of an earlier one."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    forms = words(dict.fromkeys(f for fs in L.EVENT_SURFACES.values() for f in fs))
-    place = lambda f: F.regexp_instr(low, F.concat(F.lit(r"(?<![a-z])\Q"), f, F.lit(r"\E(?![a-z])")))
-    found = F.array_sort(F.filter(F.transform(F.filter(forms, low.contains), lambda f: F.struct(place(f).alias("at"), f.alias("form"))), lambda s: s["at"] > 0))
+    forms = dict.fromkeys(f for fs in L.EVENT_SURFACES.values() for f in fs)
+    place = lambda low, f: F.when(low.contains(f), F.regexp_instr(low, F.lit(whole(f)))).otherwise(0)
+    found = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_sort(F.filter(F.array(*(F.struct(place(low, f).alias("at"), F.lit(f).alias("form")) for f in forms)), lambda s: s["at"] > 0)))
     return F.aggregate(F.transform(found, lambda s: s["form"]), F.array().cast("array<string>"), lambda kept, f: F.when(F.exists(kept, lambda k: k.contains(f) & (k != f)), kept).otherwise(F.concat(kept, F.array(f))))
 
 
@@ -292,11 +291,11 @@ def resolve_mode(claim: Column, requested: Column, submitted: Column) -> Column:
     said = F.when(asked != "auto", "").when(by_label, label).otherwise(F.coalesce(marker, F.lit("")))
     mode = F.when(anchor == "recent", "recent").otherwise("historical")
     reason = (
-        F.when(asked != "auto", F.concat(F.lit("you selected "), mode, F.lit(" coverage")))
-        .when(by_label, F.concat(F.lit('it was submitted as "'), F.upper(said), F.lit('"')))
-        .when(said != "", F.concat(F.lit('the claim says "'), said, F.lit('"')))
-        .when(anchor == "dated", "the claim names a specific date")
-        .otherwise("the claim is not anchored to a particular time")
+        F.when(asked != "auto", F.format_string(L.ANCHOR_REASONS["asked"], mode))
+        .when(by_label, F.format_string(L.ANCHOR_REASONS["label"], F.upper(said)))
+        .when(said != "", F.format_string(L.ANCHOR_REASONS["marker"], said))
+        .when(anchor == "dated", L.ANCHOR_REASONS["dated"])
+        .otherwise(L.ANCHOR_REASONS["none"])
     )
     return F.struct(
         anchor.alias("anchor"), said.alias("marker"), asked.alias("requested"), by_label.alias("from_label"), mode.alias("mode"),
@@ -387,6 +386,4 @@ def known_fact(statement: Column, with_arithmetic: bool = True) -> Column:
 
 def usable_headline(title: Column) -> Column:
     """Whether a headline asserts something that can be checked: no question, opinion, list or live page."""
-    kind = r"^(?:opinion|analysis|comment|editorial|live|watch|video)\b"
-    shape = r"\b(?:here'?s what|what to know|everything we know|explained|best \d+|\d+ best|top \d+|\d+ things|how to|we tried|ranked|deals?)\b"
-    return (word_total(title) >= 5) & ~F.rtrim(title).endswith("?") & ~has(title, kind) & ~has(title, shape) & (triage(title)["kind"] == "checkable")
+    return (word_total(title) >= 5) & ~F.rtrim(title).endswith("?") & ~has(title, L.HEADLINE_KINDS) & ~has(title, L.HEADLINE_SHAPES) & (triage(title)["kind"] == "checkable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORE, KEEP = "(?iU)", "(?U)"
@@ -36,6 +36,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(rows: DataFrame, kept: list, values: Column, name: str, place: str | None = None) -> DataFrame:
+    """``kept`` and a row for each of ``values``, which are made once.
+
+    An inner explode makes Spark infer a filter that they aren't empty and push
+    it down with the whole expression in it, lambdas' outer columns written out
+    for each element; an outer one, filtered after, is left alone.
+    """
+    if place is None:
+        return rows.select(*kept, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+    return rows.select(*kept, F.posexplode_outer(values).alias(place, name)).filter(F.col(place).isNotNull())
+
+
 def whole(surface: str) -> str:
     """A surface form that no letter a-z touches on either side."""
     import re

@@ -33,14 +33,12 @@ def opposite_forms() -> dict[str, str]:
 
 
 def base_forms() -> dict[str, str]:
-    """The base of each regular form, as the stems of the vocabulary give it."""
+    """The base of each regular form, if the event has it as a form too."""
     table = {}
-    for stems in L.EVENTS.values():
-        for entry in stems.split():
-            stem, *ends = entry.split("/")
-            forms = {stem + e for e in ends if e}
-            base = stem if ends[:1] != [""] else stem + ends[1] if len(ends) > 1 else stem
-            table |= {f: base for f in forms if re.search(r"(?<!s)s$|ed$", f) and "_" not in base and f in (base + "s", base + "es", base + "ed", base + "d", base[:-1] + "ies", base[:-1] + "ied")}
+    for forms in L.EVENT_SURFACES.values():
+        for base in forms:
+            regular = {base + "s", base + "es", base + "ed", base + "d", base[:-1] + "ies", base[:-1] + "ied"}
+            table |= {f: base for f in forms if f in regular and re.search(r"(?<!s)s$|ed$", f) and " " not in f}
     return table
 
 
@@ -92,6 +90,21 @@ def build_cases(headlines: DataFrame, text: str = "headline") -> DataFrame:
     return rows.mapInPandas(run, "origin string, claim string, truth string, strategy string")
 
 
+#: Searches that give headlines, and how old these may be.
+TOPICS, HEADLINE_DAYS = ("world news", "politics", "economy", "technology", "health"), 1
+
+
+def sample_headlines(articles: DataFrame, limit: int, topic: str | None = None) -> DataFrame:
+    """The first ``limit`` usable headlines of (ord, topic, title), one for each title key, of all topics or one."""
+    from factloom.operators.search import title_key
+
+    rows = articles.filter(usable_headline(F.col("title")))
+    if topic is not None:
+        rows = rows.filter(F.col("topic") == topic)
+    first = rows.withColumn("key", title_key(F.col("title"))).groupBy("key").agg(F.min_by(F.struct(*articles.columns), "ord").alias("one")).select("one.*")
+    return first.orderBy("ord").limit(limit)
+
+
 def outcome(truth: Column, status: Column) -> Column:
     against = status.isin("contradicted", "unsupported_no_coverage")
     for_it = status == "supported"
@@ -103,3 +116,10 @@ def tally(cases: DataFrame) -> DataFrame:
     """n, correct, missed, wrong and the rate of wrong answers by truth."""
     rows = cases.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("correct", "missed", "wrong")))
     return rows.withColumn("wrong_rate", F.col("wrong") / F.col("n"))
+
+
+def run_cases(cases: DataFrame, check) -> DataFrame:
+    """``cases`` (claim, truth) with the status that ``check`` (claim_id, statement to claim_id, status) gives them, and the outcome."""
+    numbered = cases.withColumn("claim_id", F.xxhash64("claim", "truth"))
+    judged = check(numbered.select("claim_id", F.col("claim").alias("statement"))).select("claim_id", "status")
+    return numbered.join(judged, "claim_id", "left").withColumn("outcome", outcome(F.col("truth"), F.coalesce("status", F.lit("")))).drop("claim_id")

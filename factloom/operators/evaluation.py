@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.features import positions
+
 
 def grid(spark, values, name: str = "threshold") -> DataFrame:
     return spark.createDataFrame([(float(v),) for v in values], f"{name} double")
@@ -53,11 +55,10 @@ def roc_curve(scores: DataFrame, points: int = 200) -> DataFrame:
 
 
 def auc(scores: DataFrame) -> DataFrame:
-    """The exact rank statistic, ties averaged; 0.5 with one class only. Ranks run over distinct scores."""
-    order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_score(scores).withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
+    """The exact rank statistic, ties averaged; 0.5 with one class only. Ranks run over distinct scores, ranged over partitions."""
+    rows = positions(by_score(scores), ["p"], "below", "n").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = rows.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
-    return sums.select(F.when((F.col("pos") == 0) | (F.col("neg") == 0), 0.5).otherwise((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
+    return sums.select(F.when((F.col("pos") == 0) | (F.col("neg") == 0) | F.col("pos").isNull(), 0.5).otherwise((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
 def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -75,39 +76,52 @@ def probability_losses(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
-def bootstrap(scores: DataFrame, threshold: float = 0.5, repeats: int = 2000, seed: int = 7) -> DataFrame:
-    """Low and high ends of a 95 % interval of accuracy, by resampling.
+def calibration_error(scores: DataFrame, bins: int = 10) -> DataFrame:
+    """ece: the gaps of the bins, weighted by their rows."""
+    rows = calibration(scores, bins)
+    return rows.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+
+
+def resampled(cells: DataFrame, values: dict[str, Column], repeats: int, seed: int) -> DataFrame:
+    """rep and, by name, the mean of each of ``values`` (sums of a cell's rows, n of them) over resamples.
 
-    Rows are pooled by a hash of doc_id into 256 cells first. Each cell, with
-    all of its rows, stands in a resample a Poisson number of times, drawn from
-    a hash of cell and repeat: one draw for a cell, not for a row or outcome.
+    A cell, with all of its rows, stands in a resample a Poisson number of
+    times, drawn from a hash of cell and repeat: one draw for a cell.
     """
-    right = ((F.col("p") >= threshold) == (F.col("y") == 1)).cast("long")
-    cells = scores.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"))
-    draws = cells.crossJoin(F.broadcast(scores.sparkSession.range(repeats).withColumnRenamed("id", "rep")))
+    draws = cells.crossJoin(F.broadcast(cells.sparkSession.range(repeats).withColumnRenamed("id", "rep")))
     u = (F.pmod(F.xxhash64("cell", "rep", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     times, total, term = F.lit(0), 0.0, float(np.exp(-1))
     for k in range(8):
         total += term
         times = times + F.when(u > total, 1).otherwise(0)
         term /= k + 1
-    rows = draws.withColumn("times", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("right") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("accuracy"))
-    return rows.agg(F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
+    rows = draws.withColumn("times", times).groupBy("rep")
+    return rows.agg(*(F.try_divide(F.sum(v * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias(name) for name, v in values.items()))
+
+
+def cell() -> Column:
+    """Rows are pooled by a hash of doc_id into 256 cells before they are resampled."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("cell")
+
 
+def bootstrap(scores: DataFrame, threshold: float = 0.5, repeats: int = 2000, seed: int = 7) -> DataFrame:
+    """Low and high ends of a 95 % interval of accuracy, by resampling."""
+    right = ((F.col("p") >= threshold) == (F.col("y") == 1)).cast("long")
+    cells = scores.groupBy(cell()).agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"))
+    return resampled(cells, {"accuracy": F.col("right")}, repeats, seed).agg(F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
 
-def paired_bootstrap(both: DataFrame, repeats: int = 2000, seed: int = 7) -> DataFrame:
-    """The interval of the difference in accuracy of two sets of scores (doc_id, y, p, q), resampled alike."""
-    ok = lambda c: ((F.col(c) >= 0.5) == (F.col("y") == 1)).cast("long")
-    cells = both.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(ok("q") - ok("p")).alias("gain"))
-    draws = cells.crossJoin(F.broadcast(both.sparkSession.range(repeats).withColumnRenamed("id", "rep")))
-    times = F.pmod(F.xxhash64("cell", "rep", F.lit(seed)), F.lit(3))
-    rows = draws.withColumn("times", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("gain") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("gain"))
-    return rows.agg(F.avg("gain").alias("mean"), F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"))
+
+def paired_bootstrap(both: DataFrame, threshold: float = 0.5, repeats: int = 2000, seed: int = 7) -> DataFrame:
+    """The gain in accuracy of the scores q, cut at ``threshold``, over the scores p, cut at 0.5 (doc_id, y, p, q), and its interval: both are resampled alike."""
+    ok = lambda c, cutoff: ((F.col(c) >= cutoff) == (F.col("y") == 1)).cast("long")
+    cells = both.groupBy(cell()).agg(F.count(F.lit(1)).alias("n"), F.sum(ok("q", threshold) - ok("p", 0.5)).alias("gain"))
+    ends = resampled(cells, {"gain": F.col("gain")}, repeats, seed).agg(F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"))
+    return cells.agg(F.try_divide(F.sum("gain"), F.sum("n")).alias("gain")).crossJoin(ends)
 
 
 def folds(rows: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
-    """``rows`` with a fold by hash of doc_id: even in expectation, the same on every run, and no global sort."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(k)).cast("int"))
+    """``rows`` with a fold: dealt in turn in the order of a hash of doc_id, so sizes are one apart at most and the same on every run."""
+    return positions(rows.withColumn("__h", F.xxhash64("doc_id", F.lit(seed))), ["__h", "doc_id"], "__at").withColumn("fold", F.pmod("__at", F.lit(k)).cast("int")).drop("__h", "__at")
 
 
 def multiclass(scores: DataFrame) -> DataFrame:
@@ -117,6 +131,63 @@ def multiclass(scores: DataFrame) -> DataFrame:
     return rows.select("label", "support", "guessed", "tp", ratio(F.col("tp"), F.col("guessed")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("support") + F.col("guessed")).alias("f1"))
 
 
+def weighted(classes: DataFrame) -> DataFrame:
+    """precision, recall and f1 of ``multiclass`` rows, weighted by support; 0 without any."""
+    total = F.sum("support")
+    return classes.agg(*(ratio(F.sum(F.col(c) * F.col("support")), total).alias(c) for c in ("precision", "recall", "f1")), total.alias("support"))
+
+
+def confusion_shares(scores: DataFrame) -> DataFrame:
+    """truth, guess, n, the cell's share of all rows, and its intensity, the share of the largest cell. One row for each cell."""
+    cells = scores.groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
+    sums = cells.agg(F.sum("n").alias("__all"), F.max("n").alias("__most"))
+    return cells.crossJoin(F.broadcast(sums)).select("truth", "guess", "n", (F.col("n") / F.col("__all")).alias("share"), (F.col("n") / F.col("__most")).alias("intensity"))
+
+
+def accuracy_by_label(scores: DataFrame) -> DataFrame:
+    """label, n and accuracy of rows (truth, guess); labels that no row has are left out."""
+    return scores.groupBy(F.col("truth").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("truth") == F.col("guess")).cast("double")).alias("accuracy"))
+
+
+def label_distribution(rows: DataFrame, labels) -> DataFrame:
+    """label and n for each of ``labels``, 0 where no row has it."""
+    named = rows.sparkSession.createDataFrame([(i, x) for i, x in enumerate(labels)], f"place int, label {dict(rows.dtypes)['label']}")
+    return named.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "left").select("place", "label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def majority_baseline(scores: DataFrame) -> DataFrame:
+    """baseline: the accuracy of always saying the larger class of (y)."""
+    share = F.avg(F.col("y").cast("double"))
+    return scores.agg(F.greatest(share, 1 - share).alias("baseline"))
+
+
+def assessment(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """All measures of a set of scores in one row, with the baseline, and whether the interval of accuracy lies above it."""
+    rows = metrics(confusion(scores, threshold)).crossJoin(bootstrap(scores, threshold)).crossJoin(auc(scores)).crossJoin(probability_losses(scores)).crossJoin(calibration_error(scores)).crossJoin(majority_baseline(scores))
+    return rows.withColumn("beats_baseline", F.col("low") > F.col("baseline")).withColumn("threshold", F.lit(float(threshold)))
+
+
+def best_values(metrics_by_model: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """metric, best and the models that reach it, for a wide table (model, a column for each metric); a few rows."""
+    long = metrics_by_model.select("model", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("model", "x.*")
+    most = long.groupBy("metric").agg(F.max("value").alias("best"))
+    return most.join(long, "metric").filter("value = best").groupBy("metric", "best").agg(F.array_sort(F.collect_list("model")).alias("models"))
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Evaluation rows as one JSON file; they are few."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def merge_results(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``stored`` rows, those with the model of a ``new`` row replaced by it."""
+    return stored.join(new.select("model"), "model", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def stance_sweep(scored: DataFrame, thresholds, dominances) -> DataFrame:
     """Accuracy, precision, recall and invented stances of the stance rule over a grid, for (support, contradiction, label)."""
     from factloom.operators.evidence import document_stance

@@ -14,16 +14,16 @@ from factloom.functions import claims as C
 from factloom.functions import dates as D
 from factloom.functions import lexicon as L
 from factloom.functions import quantities as Q
+from factloom.functions.patterns import exploded
 from factloom.operators import evaluation as V
 from factloom.operators import evidence as E
 from factloom.operators import features as T
 from factloom.operators import passages as P
-from factloom.operators import relevance as R
 from factloom.operators import search as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "claim_verdicts"
+FLAGSHIP = "checked_claims"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,7 +195,7 @@ select claim_id, unnest(range(1, len(parts) + 1))::int part, unnest(parts) claim
 
 @register(SPLIT_SQL)
 def claim_parts(spark, sf_dir):
-    rows = claims_view(spark, sf_dir).select("claim_id", F.posexplode(C.extract_claims(F.col("claim"))).alias("i", "claim_part"))
+    rows = exploded(claims_view(spark, sf_dir), ["claim_id"], C.extract_claims(F.col("claim")), "claim_part", "i")
     return rows.select("claim_id", (F.col("i") + 1).alias("part"), "claim_part")
 
 
@@ -301,26 +301,10 @@ select claim_id, split_part(v, ':', 1) verdict, split_part(v, ':', 2) claim_type
 
 @register(FACTS_SQL)
 def claim_facts(spark, sf_dir):
-    rows = claims_view(spark, sf_dir).select("claim_id", C.known_fact(F.col("claim"), with_arithmetic=False).alias("x"))
+    rows = claims_view(spark, sf_dir).select("claim_id", C.known_fact(F.col("claim")).alias("x"))
     return rows.filter("x is not null").select("claim_id", "x.*")
 
 
-@register()
-def claim_quantities(spark, sf_dir):
-    rows = claims_view(spark, sf_dir).select("claim_id", F.explode(Q.quantities(F.col("claim"))).alias("q"))
-    return rows.select("claim_id", "q.value", "q.kind", F.array_join("q.attribute", " ").alias("attribute"), F.col("q.text").alias("quantity"))
-
-
-@register()
-def claim_surface_forms(spark, sf_dir):
-    return claims_view(spark, sf_dir).select("claim_id", F.array_join(C.surface_forms(F.col("claim")), "|").alias("forms"))
-
-
-@register()
-def claim_queries(spark, sf_dir):
-    return S.generate_queries(claims_view(spark, sf_dir))
-
-
 # ---- sources and evidence --------------------------------------------------
 
 HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
@@ -537,7 +521,10 @@ def document_ages(spark, sf_dir):
 
 RESULTS = (
     "o_custkey as claim_id", "cast(substr(o_orderpriority, 1, 1) as int) as job_order", "o_orderkey as ord", "concat('https://example.com/', cast(o_orderkey % 40 as varchar(20))) as url",
-    "case o_orderkey % 4 when 0 then 'Reuters: Rates RISE again!' when 1 then 'Rates rise again' when 2 then concat('Story ', cast(o_orderkey as varchar(20))) else '' end as title",
+    "case o_orderkey % 9 when 0 then 'Reuters: Rates RISE again!' when 1 then 'Rates rise again' when 2 then concat('Story ', cast(o_orderkey as varchar(20))) when 3 then '' "
+    "when 4 then 'Central bank raises interest rates by half a point today after months of debate in parliament' when 5 then 'Central bank again raises interest rates by half a point today after months of debate in parliament' "
+    "when 6 then 'Central bank lowers interest rates by half a point today after months of debate in parliament' when 7 then 'Central bank never raises interest rates by half a point today after months of debate in parliament' "
+    "else 'The central bank raises interest rates by half a point after months of debate in parliament' end as title",
 )
 MERGE_RESULTS_SQL = f"""
 with r as (select {", ".join(RESULTS)} from orders),
@@ -555,10 +542,18 @@ def merged_results(spark, sf_dir):
     return S.merge_results(results_view(spark, sf_dir)).withColumn("title_key", S.title_key(F.col("title")))
 
 
+ONE_WORD = {e: [f for f in forms if " " not in f] for e, forms in L.EVENT_SURFACES.items()}
+TURNED = " or ".join(f"(list_has_any(o.toks, {listed(ONE_WORD[p])}) and list_has_any(k, {listed(ONE_WORD[q])}))" for x, y in L.OPPOSITES for p, q in ((x, y), (y, x)))
+NEAR_SQL = f"""len(o.toks) >= 6 and len(list_filter(f.kept, lambda k: len(k) >= 6 and len(list_intersect(o.toks, k)) >= 0.85 * len(list_distinct(list_concat(o.toks, k)))
+  and not (list_has_any(list_concat(list_filter(o.toks, lambda x: not list_contains(k, x)), list_filter(k, lambda x: not list_contains(o.toks, x))), {listed(L.POLARITY)}) or {TURNED}))) > 0"""
 DEDUP_SQL = f"""
-with m as ({MERGE_RESULTS_SQL}),
-k as (select *, row_number() over (partition by claim_id, case when title_key = '' then url else title_key end, title_key = '' order by job_order, ord) n from m)
-select claim_id, url, job_order, ord, title from k where n = 1
+with recursive m as ({MERGE_RESULTS_SQL}),
+k as (select *, row_number() over (partition by claim_id, case when title_key = '' then url else title_key end, title_key = '' order by job_order, ord) n from m),
+o as (select *, list_distinct(string_split(title_key, ' ')) toks, row_number() over (partition by claim_id order by job_order, ord) rn from k where n = 1),
+f as (
+  select claim_id, rn, [toks] kept, true keep from o where rn = 1
+  union all select o.claim_id, o.rn, case when {NEAR_SQL} then f.kept else list_append(f.kept, o.toks) end, not ({NEAR_SQL}) from f join o on o.claim_id = f.claim_id and o.rn = f.rn + 1)
+select o.claim_id, o.url, o.job_order, o.ord, o.title from o join f using (claim_id, rn) where f.keep
 """
 
 
@@ -628,28 +623,12 @@ def document_sentences(spark, sf_dir):
     )
 
 
-@register()
-def document_passages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.lit("").alias("snippet"))
-    return P.extract_passages(docs.withColumn("claim_id", F.col("doc_id")).withColumn("claim", F.substring("text", -200, 200)))
-
-
-@register()
-def relevant_documents(spark, sf_dir):
-    """Every claim against the texts of its block of eight order keys, which stand for its search results."""
-    claims = R.claim_features(claims_view(spark, sf_dir))
-    docs = claims_view(spark, sf_dir).select(F.expr("claim_id div 8").alias("block"), F.col("claim_id").alias("doc_id"), F.col("claim").alias("title"), F.lit("").alias("snippet"), F.concat("claim", F.lit(" More was reported by the BBC.")).alias("text"))
-    scored = R.score_pairs(claims.withColumn("block", F.expr("claim_id div 8")).join(docs, "block"))
-    yes, no = R.reasons()
-    return scored.select("claim_id", "doc_id", *(F.round(c, 6).alias(c) for c in ("entity", "action", "predicate", "coherence", "specificity", "relevance")), R.included().alias("included"), F.array_join(yes, "; ").alias("reasons_included"), F.array_join(no, "; ").alias("reasons_excluded"))
-
-
 @register()
 def article_texts(spark, sf_dir):
     from factloom.sources import payloads
 
     rows = payloads.articles(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "title", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", " ").alias("article"))
+    return rows.select("page_id", "title", F.size("paragraphs").alias("n_paragraphs"), F.col("text").alias("article"))
 
 
 # ---- features and evaluation -----------------------------------------------
@@ -710,7 +689,7 @@ g as (select doc_id, w, unnest([3, 4, 5]) n from p), h as (select doc_id, w[i :
 select doc_id, gram, count(*) n from h group by 1, 2
 """)
 def character_grams(spark, sf_dir):
-    rows = benchmark_docs(spark, sf_dir).select("doc_id", F.explode(T.char_grams(T.clean_words(F.col("text")))).alias("g"))
+    rows = exploded(benchmark_docs(spark, sf_dir), ["doc_id"], T.char_grams(T.clean_words(F.col("text"))), "g")
     return rows.select("doc_id", F.substring("g", 2, 9).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -749,7 +728,7 @@ def document_sparse_product(spark, sf_dir):
 
 @register()
 def document_character_grams(spark, sf_dir):
-    rows = document_texts(spark, sf_dir).select("doc_id", F.explode(T.char_grams(T.clean_words(F.col("text")))).alias("g"))
+    rows = exploded(document_texts(spark, sf_dir), ["doc_id"], T.char_grams(T.clean_words(F.col("text"))), "g")
     return rows.select("doc_id", F.substring("g", 2, 9).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -780,11 +759,11 @@ def threshold_search(spark, sf_dir):
 
 
 @register(f"""
-with s as ({SCORES_SQL}), g as (select i / 10.0e0 threshold from range(0, 11) r(i))
-select threshold, sum(case when p >= threshold and y <> 1 then 1 else 0 end) / sum(case when y <> 1 then 1 else 0 end) fpr, sum(case when p >= threshold and y = 1 then 1 else 0 end) / sum(case when y = 1 then 1 else 0 end) tpr from s, g group by 1
+with s as ({SCORES_SQL}), g as (select i * (1e0 / 199e0) threshold from range(0, 199) r(i) union all select 1e0)
+select round(threshold, 6) threshold, sum(case when p >= threshold and y <> 1 then 1 else 0 end) / sum(case when y <> 1 then 1 else 0 end) fpr, sum(case when p >= threshold and y = 1 then 1 else 0 end) / sum(case when y = 1 then 1 else 0 end) tpr from s, g group by 1
 """)
 def roc_points(spark, sf_dir):
-    return V.roc_curve(scores_view(spark, sf_dir), 11).withColumn("threshold", F.round("threshold", 6))
+    return V.roc_curve(scores_view(spark, sf_dir)).withColumn("threshold", F.round("threshold", 6))
 
 
 @register(f"""
@@ -814,11 +793,6 @@ def accuracy_interval(spark, sf_dir):
     return V.bootstrap(scores_view(spark, sf_dir))
 
 
-@register()
-def fold_sizes(spark, sf_dir):
-    return V.folds(scores_view(spark, sf_dir)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("""
 with s as (select lang truth, case when n_chars % 5 = 0 then 'en' else lang end guess from documents),
 l as (select distinct truth label from s union select distinct guess from s),
@@ -893,3 +867,6 @@ select statement_id, arg_min(retrieval_status, r) retrieval_status from m group
 """)
 def worst_retrieval(spark, sf_dir):
     return E.worst_retrieval(retrieval_statuses(spark, sf_dir).withColumn("statement_id", F.expr("claim_id div 3")))
+
+
+from factloom import more_queries  # noqa: E402,F401  registers the rest

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 PAGE, MOST = 50, 100
-NAMES = {"ml_score": "mlScore", "combined_score": "combinedScore", "combined_verdict": "combinedVerdict", "assessment_status": "assessmentStatus", "top_evidence": "topEvidence", "claim_assessments": "claimAssessments", "created_at": "createdAt", "user_id": "userId"}
 
 
 def paging(limit: str | int | None = None, skip: str | int | None = None) -> tuple[int, int]:
@@ -35,10 +35,36 @@ def detail(checks: DataFrame, user, check_id) -> DataFrame:
     return checks.filter((F.col("check_id") == F.lit(check_id).try_cast("long")) & (F.col("user_id") == user))
 
 
-def save_checks(checks: DataFrame, path: str) -> None:
-    """Appends checks under their stored names, a folder for each user bucket; anonymous ones are not kept."""
-    rows = checks.filter("user_id is not null").withColumnsRenamed({k: v for k, v in NAMES.items() if k in checks.columns})
-    rows.withColumn("bucket", F.pmod(F.xxhash64("userId"), F.lit(64))).write.mode("append").partitionBy("bucket").parquet(path)
+def camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
+def renamed(kind: DataType) -> DataType:
+    """A type with the stored names of its fields, at every depth."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(camel(f.name), renamed(f.dataType), f.nullable) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(renamed(kind.elementType), kind.containsNull)
+    return kind
+
+
+def documents(checks: DataFrame) -> DataFrame:
+    """``checks`` under their stored names, nested fields included; without those of anonymous users."""
+    return checks.filter("user_id is not null").select(*(F.col(f"`{f.name}`").cast(renamed(f.dataType)).alias(camel(f.name)) for f in checks.schema.fields))
+
+
+def save_checks(checks: DataFrame, path: str) -> bool:
+    """Appends checks' documents, a folder for each user bucket; whether that worked, since a failed write must not fail the check."""
+    try:
+        documents(checks).withColumn("bucket", F.pmod(F.xxhash64("userId"), F.lit(64))).write.mode("append").partitionBy("bucket").parquet(path)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+def with_owner(checks: DataFrame, users: DataFrame) -> DataFrame:
+    return checks.join(users, "user_id")
 
 
 def delete_check(checks: DataFrame, user, check_id) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +73,16 @@ def delete_check(checks: DataFrame, user, check_id) -> tuple[DataFrame, DataFram
     return checks.filter(~F.coalesce(gone, F.lit(False))), checks.filter(gone).agg(F.count(F.lit(1)).alias("deleted"))
 
 
-def with_user(users: DataFrame, new: DataFrame) -> DataFrame:
-    """``users`` and those of ``new`` whose id isn't there yet."""
-    return users.unionByName(new.dropDuplicates(["google_id"]).join(users, "google_id", "left_anti"))
+def with_user(users: DataFrame, new: DataFrame, key: str = "google_id") -> DataFrame:
+    """``users`` and those of ``new`` whose key isn't there yet, the least row of each."""
+    rest = [c for c in new.columns if c != key]
+    first = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("__one")).select(key, "__one.*")
+    return users.unionByName(first.join(users, key, "left_anti"))
+
+
+def find_user(users: DataFrame, value, key: str = "google_id") -> DataFrame:
+    """The row of a user, or none; the filter reaches the scan."""
+    return users.filter(F.col(key) == F.lit(value))
 
 
 def response(row: dict[str, Column]) -> Column:

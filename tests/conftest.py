@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .appName("factloom-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.default.parallelism", "8")
