@@ -412,6 +412,199 @@ def checks_with_users(spark, sf_dir):
     return history.with_owner(checks, users)
 
 
+# ---- providers -------------------------------------------------------------
+
+#: Items of made-up provider pages, a page for each customer; both dialects.
+KEY = "cast(o_orderkey as varchar(20))"
+ITEMS = (
+    "o_custkey as page", "o_orderkey as k", f"case when o_orderkey % 13 = 0 then '' else concat('https://news.example/', {KEY}) end as url",
+    f"case when o_orderkey % 17 = 0 then '' else concat('Story ', {KEY}) end as title", f"concat('About ', {KEY}, case o_orderkey % 3 when 0 then ' [+12 chars]' when 1 then '…' else ' […] ' end) as about",
+    f"case when o_orderkey % 2 = 0 then concat('A longer body of story ', {KEY}, '… [+9 chars]') else '' end as body", "o_orderdate as t", "concat('Desk ', cast(o_orderkey % 5 as varchar(20))) as desk",
+)
+ITEMS_SQL = f"select *, (row_number() over (partition by page order by k) - 1)::int ord, strftime(t, '%Y-%m-%d') dated from (select {', '.join(ITEMS)} from orders)"
+
+
+def pages_of(spark, sf_dir, item, before: str, after: str, glue: str):
+    """page and payload: each customer's items, made to text by ``item``, in order of key."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*ITEMS)
+    listed_items = F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("one")))), lambda x: x["one"])
+    return rows.groupBy("page").agg(F.concat(F.lit(before), F.array_join(listed_items, glue), F.lit(after)).alias("payload"))
+
+
+def plain(rows, *columns):
+    return rows.select("page", "ord", *columns, F.col("published").cast("timestamp_ntz").alias("published"))
+
+
+def iso():
+    return F.date_format("t", "yyyy-MM-dd'T'00:00:00'Z'")
+
+
+@register(f"""
+with i as ({ITEMS_SQL}), x as (select *, 'About ' || k || case when k % 3 = 1 then '' else '' end about_clean, case when body = '' then '' else 'A longer body of story ' || k || '…' end body_clean from i)
+select page, ord, url, title, case when length(body_clean) > length(about_clean) then body_clean else about_clean end snippet, desk as source, 'newsapi' as provider, dated::timestamp published
+from x where page % 7 <> 0 and url <> '' and title <> ''
+""")
+def news_payloads(spark, sf_dir):
+    from factloom.sources import payloads
+
+    item = F.to_json(F.struct("url", "title", F.col("about").alias("description"), F.col("body").alias("content"), iso().alias("publishedAt"), F.struct(F.col("desk").alias("name")).alias("source")))
+    pages = pages_of(spark, sf_dir, item, '{"articles":[', "]}", ",")
+    refused = F.concat(F.lit('{"status":"error",'), F.substring("payload", 2, 1 << 30))
+    return plain(payloads.news_items(pages.withColumn("payload", F.when(F.col("page") % 7 == 0, refused).otherwise(F.col("payload"))), "newsapi"), "url", "title", "snippet", "source", "provider")
+
+
+@register(f"""
+with i as ({ITEMS_SQL}), x as (select *, (row_number() over (partition by page order by dated desc, ord) - 1)::int place from i where url <> '' and title <> '' and dated >= '1997-01-01')
+select page, place as ord, url, dated::timestamp published from x
+""")
+def dated_payloads(spark, sf_dir):
+    """News limited to what was published since a day, the newest first."""
+    from factloom.sources import payloads
+
+    item = F.to_json(F.struct("url", "title", iso().alias("publishedAt")))
+    return plain(payloads.news_items(pages_of(spark, sf_dir, item, '{"articles":[', "]}", ","), "newsapi", F.lit("1997-01-01").cast("timestamp")), "url")
+
+
+@register(f"""
+with i as ({ITEMS_SQL})
+select page, ord, url, case when k % 2 = 0 then 'Headline ' || k else title end title, 'Trail of ' || k as snippet, body as text, 'guardian' as provider, 'The Guardian' as source, dated::timestamp published
+from i where url <> '' and (title <> '' or k % 2 = 0)
+""")
+def full_text_payloads(spark, sf_dir):
+    from factloom.sources import payloads
+
+    fields = F.struct(
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit("Headline "), F.col("k").cast("string"))).alias("headline"), F.concat(F.lit("<p>Trail  of <b>"), F.col("k").cast("string"), F.lit("</b></p>")).alias("trailText"), F.col("body").alias("bodyText"),
+    )
+    item = F.to_json(F.struct(F.col("url").alias("webUrl"), F.col("title").alias("webTitle"), iso().alias("webPublicationDate"), fields.alias("fields")))
+    return plain(payloads.full_text_items(pages_of(spark, sf_dir, item, '{"response":{"results":[', "]}}", ",")), "url", "title", "snippet", "text", "provider", "source")
+
+
+@register(f"""
+with i as ({ITEMS_SQL})
+select page, ord, 'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') url, title, 'Rate of ' || k as snippet, 'wikipedia' as provider, 'Wikipedia' as source, null::timestamp published from i where ord < 3
+""")
+def encyclopaedia_payloads(spark, sf_dir):
+    from factloom.sources import payloads
+
+    item = F.to_json(F.struct("title", F.concat(F.lit('<span class="m">Rate</span>  of '), F.col("k").cast("string")).alias("snippet")))
+    return plain(payloads.encyclopaedia_items(pages_of(spark, sf_dir, item, '{"query":{"search":[', "]}}", ",")), "url", "title", "snippet", "provider", "source")
+
+
+@register(f"""
+with i as ({ITEMS_SQL})
+select page, ord, 'https://www.Site' || (k % 4) || '.com/' || k as url, case k % 4 when 0 then 'Rates rise ' || k when 1 then 'Rates rise ' || k when 2 then 'Rates rise ' || k || ' - what the bank said, and why it matters now!' else 'Rates rise ' || k end title,
+  'So it is ' || k as snippet, 'google_news' as provider, case k % 4 when 0 then 'BBC News' when 1 then 'The Times' when 2 then 'site2.com' else 'site3.com' end as source, dated::timestamp published
+from i where ord < 5
+""")
+def feed_payloads(spark, sf_dir):
+    """Feeds whose items name their publisher by an element, by the title's end, or by the link's host alone."""
+    from factloom.sources import payloads
+
+    k = F.col("k").cast("string")
+    kind = F.col("k") % 4
+    end = F.when(kind == 0, " - BBC News").when(kind == 1, " - The Times").when(kind == 2, " - what the bank said, and why it matters now!").otherwise("")
+    item = F.concat(
+        F.lit("<item><title>Rates rise "), k, end, F.lit("</title><link>https://www.Site"), kind.cast("string"), F.lit(".com/"), k, F.lit("</link><pubDate>"), F.date_format("t", "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT</pubDate>"),
+        F.lit("<description>&lt;b&gt;So&lt;/b&gt;  it is "), k, F.lit("</description>"), F.when(kind == 0, "<source>BBC News</source>").otherwise(""), F.lit("</item>"),
+    )
+    # Two items at least: with one alone it is no array.
+    blank = "<item><title>t</title><link>https://x.org/</link></item>"
+    pages = pages_of(spark, sf_dir, item, "<rss><channel>", f"{blank * 6}</channel></rss>", "")
+    return plain(payloads.feed_items(pages).filter("url <> 'https://x.org/'"), "url", "title", "snippet", "provider", "source")
+
+
+@register(f"""
+with i as ({ITEMS_SQL}), f as (select page, k // 2 * 2 as pair, min(ord) ord, min(k) k from i group by 1, 2), n as (select *, (row_number() over (partition by page order by ord) - 1)::int place from f)
+select page, place as ord, 'https://a.com/' || pair as url, 'A story ' || k as title, 'about ' || k as snippet from n where place < 10
+""")
+def search_page_payloads(spark, sf_dir):
+    """Search pages with redirecting links, every other one to the page of the link before it."""
+    from factloom.sources import payloads
+
+    k, pair = F.col("k").cast("string"), F.expr("k div 2 * 2").cast("string")
+    item = F.concat(F.lit('<div><a class="x result__a" href="//d.com/l/?uddg=https%3A%2F%2Fa.com%2F'), pair, F.lit('">A <b>story</b> '), k, F.lit('</a><a class="result__snippet">about '), k, F.lit("</a></div>"))
+    return payloads.search_page_items(pages_of(spark, sf_dir, item, "<html>", "</html>", "")).select("page", "ord", "url", "title", "snippet")
+
+
+REQUESTS = ("o_orderkey as k", "case o_orderkey % 6 when 0 then 'gnews' when 1 then 'guardian' when 2 then 'newsapi' when 3 then 'google_news' when 4 then 'wikipedia' else 'duckduckgo' end as provider", "case when o_orderkey % 2 = 0 then 7 end as days", "concat('(rates OR \"rise\") NOT ', cast(o_orderkey as varchar(20))) as query")
+
+
+@register(f"""
+with r as (select {", ".join(REQUESTS)} from orders)
+select k, case when provider = 'google_news' and days is not null then query || ' when:' || days || 'd' else query end asked, case when provider in ('gnews', 'guardian', 'newsapi') and days is not null then strftime(date '2024-06-01' - days, '%Y-%m-%d') end since,
+  case when provider = 'newsapi' then case when days is null then 'relevancy' else 'publishedAt' end end sort, 'rates rise ' || k as plain from r
+""")
+def provider_requests(spark, sf_dir):
+    from factloom.sources import payloads
+
+    rows = table(spark, sf_dir, "orders").selectExpr(*REQUESTS).withColumn("r", S.request(F.col("provider"), F.col("query"), F.col("days"), F.lit("2024-06-01").cast("date")))
+    return rows.select("k", F.col("r.query").alias("asked"), F.col("r.since").cast("string").alias("since"), "r.sort", payloads.plain_query(F.col("query")).alias("plain"))
+
+
+def sentences(text: str) -> str:
+    """The sentences of a text as in SENTENCES_SQL, for another column."""
+    part = SENTENCES_SQL[SENTENCES_SQL.index("list_filter(string_split("):SENTENCES_SQL.index(" s from d)")]
+    return part.replace("replace(t, ", f"replace(trim(regexp_replace({text}, '\\s+', ' ', 'g')), ", 1) if "replace(t, " in part else part
+
+
+def left_over(text: str) -> str:
+    """Words of a text without its stock sentences."""
+    return f"coalesce(list_sum(list_transform(list_filter(list_transform({sentences(text)}, lambda x: trim(replace(x, chr(1), '.'))), lambda s: not (regexp_matches(lower(s), {STOCK}) and not list_has_any({content('s')}, asked))), lambda s: len(string_split(s, ' ')))), 0)"
+
+
+@register(f"""
+with d as (select doc_id, text as whole, left(text, 400) part, {content("right(text, 200)")} asked from documents where text is not null),
+w as (select *, case when trim(regexp_replace(part, '\\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace(part, '\\s+', ' ', 'g')), ' ')) end n, {left_over("whole")} n_whole, {left_over("part")} n_part from d)
+select doc_id, n < 120 needs_fetch, whole <> '' and n_whole > n_part takes_fetched from w
+""")
+def article_choices(spark, sf_dir):
+    """Whether the first 400 characters of a document would be fetched anew, and whether the whole would then stand."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", F.substring("text", 1, 400).alias("part"), F.substring("text", -200, 200).alias("claim"))
+    chosen = P.choose_text(F.col("part"), F.concat("text", F.lit("\x01")), F.col("claim"))
+    return rows.select("doc_id", P.needs_fetch(F.col("part")).alias("needs_fetch"), (chosen == F.concat("text", F.lit("\x01"))).alias("takes_fetched"))
+
+
+# ---- models ----------------------------------------------------------------
+
+HISTORY_ROWS = ("o_orderkey as doc_id", "case o_orderkey % 6 when 0 then 'pants-fire' when 1 then 'false' when 2 then 'barely-true' when 3 then 'half-true' when 4 then 'mostly-true' else 'true' end as label", *(
+    f"cast(o_orderkey % {m} as int) as {c}" for m, c in ((3, "barely_true"), (4, "false"), (5, "half_true"), (7, "mostly_true"), (2, "pants_fire"))
+))
+
+
+@register(f"""
+with r as (select {", ".join(HISTORY_ROWS).replace(" as false", ' as "false"')} from orders)
+select doc_id, {", ".join(f"""round(ln(1 + greatest(0, "{c}" - case when label = '{lab}' then 1 else 0 end)), 9) h_{c}""" for lab, c in (("barely-true", "barely_true"), ("false", "false"), ("half-true", "half_true"), ("mostly-true", "mostly_true"), ("pants-fire", "pants_fire")))},
+  case label when 'pants-fire' then 0 when 'false' then 1 when 'barely-true' then 2 when 'half-true' then 3 when 'mostly-true' then 4 else 5 end number, case when label in ('true', 'mostly-true', 'half-true') then 1e0 else 0e0 end as binary_label
+from r
+""")
+def speaker_history(spark, sf_dir):
+    from factloom.operators import models as M
+
+    rows = table(spark, sf_dir, "orders").selectExpr(*(x.replace(" as false", " as `false`") for x in HISTORY_ROWS))
+    counts = M.history_counts(rows)
+    return counts.join(rows.select("doc_id", M.labels_to_numbers(F.col("label")).alias("number"), M.labels_to_binary(F.col("label")).alias("binary_label")), "doc_id").withColumns({c: F.round(c, 9) for c in counts.columns if c != "doc_id"})
+
+
+@register(f"""
+select doc_id, case when p >= 0.5 then 'True-ish' else 'Fake-ish' end as label,
+  case when p < 0.2 then 'very likely incorrect' when p < 0.4 then 'probably incorrect' when p < 0.6 then 'uncertain or mixed' when p < 0.8 then 'probably correct' else 'very likely correct' end words, 0.5e0 threshold from ({SCORES_SQL})
+""")
+def named_scores(spark, sf_dir):
+    from factloom.operators import models as M
+
+    return M.named_statement(scores_view(spark, sf_dir)).select("doc_id", "label", "words", "threshold")
+
+
+@register()
+def linear_model(spark, sf_dir):
+    """Out-of-fold scores of the linear model on labelled documents, fifty steps each."""
+    from factloom.operators import models as M
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
+    return M.out_of_fold(V.folds(rows, 2), 2, M.MODERN | {"epochs": 50})
+
+
 # ---- the product query -----------------------------------------------------
 
 

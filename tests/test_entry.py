@@ -43,6 +43,6 @@ def test_query(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in "orders events documents benchmark labels pages".split():
+    for t in "orders customer events documents benchmark labels pages".split():
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     assert rows(got.toPandas()) == rows(con.sql(queries.ORACLE_SQL[name]).df())
