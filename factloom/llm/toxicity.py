@@ -252,7 +252,14 @@ def fit_sample(rows: DataFrame) -> Model:
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted, a row for each of ``docs``; null and empty texts get the bias alone."""
+    """doc_id, held_out, score and predicted, a row for each of ``docs``.
+
+    Null and empty texts get the bias alone, and never 1. Very long texts are
+    read whole, window by window, and have the score of their worst one. A row
+    without doc_id is not held out. Repeated rows get equal scores, each of
+    them; a score of exactly 0.5 is predicted 1. Other columns are not read, so
+    their names can't clash.
+    """
 
     def run(batches):
         for batch in slices(batches):
@@ -263,9 +270,17 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) == 0).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted for each of ``docs``, by a model of ``labels`` (doc_id, toxic) outside the held-out fold.
+
+    The model is fitted on about ``sample`` documents of each class, all if
+    there are fewer, drawn by a hash of doc_id, so reruns agree. Labels that are
+    null, or of no document, don't count; a document labelled both ways is
+    toxic. Without labels of either class all scores are alike, and without
+    documents there are none. Rows are scored as ``score_texts`` says.
+    """
     return score_texts(docs, fit_sample(labelled_sample(docs, labels, sample)))
