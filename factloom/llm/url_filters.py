@@ -48,6 +48,23 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(places, general, keys, rest)))
 
 
+def token_classes(tokens: DataFrame) -> DataFrame:
+    """token and its class, the least token that the same of ``tokens`` (tokens) hold.
+
+    Tokens of one class make the same rules. They are mined as one, or a
+    template with many fixed tokens would give a rule for each of its subsets.
+    """
+    sets = tokens.select("tokens").distinct().select("tokens", F.xxhash64("tokens").alias("set"))
+    covers = sets.select("set", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("cover"))
+    names = covers.groupBy("n", "cover").agg(F.min("token").alias("class"))
+    return covers.join(names, ["n", "cover"]).select("token", "class")
+
+
+def in_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (key, tokens) of distinct keys with the classes of their tokens instead; tokens without a class are left out."""
+    return rows.select("key", F.explode("tokens").alias("token")).join(classes, "token").groupBy("key").agg(F.array_sort(F.collect_set("class")).alias("tokens"))
+
+
 def mine(tokens: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """rule_id, tokens, verdict, confidence and support of rules from ``tokens`` (tokens, verdict), all of its rows."""
     baskets = tokens.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
@@ -88,16 +105,22 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = "allow", min_suppor
     """page_id, host, path, rule, verdict and mined (what decided if no given rule fits), a row for each of ``pages``.
 
     Null urls, and urls without ``://``, have an empty host and path, no tokens,
-    and get ``default``, as do urls that no rule of either kind fits. Equal urls
-    are judged alike, each row once. Other columns are not read.
+    and get ``default``, as do urls that no rule of either kind fits. Very long
+    urls are read whole. Of given rules that fit the longest wins; of mined ones
+    the most confident, then the best supported, the shortest, and the one of
+    the least hash. Equal urls are judged alike, each row once. Other columns
+    are not read. ``mined`` names one token for all that occur with it always.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("fit", rule_column(F.col("host"), F.col("path"), rules))
     # What the verdict hangs on is the token set: each is judged once.
     rows = cut(rows.withColumn("tokens", F.array_sort(url_tokens(F.col("url"), F.col("host"), F.col("path")))).withColumn("key", F.xxhash64("tokens")).drop("url"))
-    mined = mine(rows.filter("fit is not null").select("tokens", F.col("fit.verdict").alias("verdict")), min_support, min_confidence)
+    labelled = rows.filter("fit is not null")
+    classes = cut(token_classes(labelled))
+    named = in_classes(labelled.select("key", "tokens").distinct(), classes)
+    mined = mine(labelled.join(named.withColumnRenamed("tokens", "named"), "key", "left").select(F.coalesce("named", F.array().cast("array<string>")).alias("tokens"), F.col("fit.verdict").alias("verdict")), min_support, min_confidence)
     open_sets = rows.filter("fit is null and size(tokens) > 0").select("key", "tokens").distinct()
-    found = match(open_sets, mined).select(F.col("key").alias("k"), F.col("verdict").alias("learnt"), "mined")
+    found = match(in_classes(open_sets, classes), mined).select(F.col("key").alias("k"), F.col("verdict").alias("learnt"), "mined")
     return rows.join(found, F.expr("key = k and fit is null"), "left").select(
         "page_id", "host", "path", "fit.rule", F.coalesce("fit.verdict", "learnt", F.lit(default)).alias("verdict"), "mined"
     )
