@@ -115,7 +115,7 @@ def most_frequent(pieces: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def summed(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], rules: str) -> DataFrame:
-    """A row for each of ``rows`` (id, key, text): id, key, n_bytes and known (tokens of special strings and of pre-tokens in ``table``); and rows (key, piece, of): how often the text of that key has a pre-token that isn't there."""
+    """A row for each of ``rows`` (id, key, text): id, key, n_bytes, known (tokens of special strings and of pre-tokens in ``table``), and rest, the pre-tokens that aren't there with how often the text has them; of a task's copies the first has the rest."""
     hashes, numbers = table
 
     def run(batches):
@@ -141,31 +141,23 @@ def summed(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], rules: str) ->
             lacking: dict[int, list[str]] = {}
             for i in np.flatnonzero(~there).tolist():
                 lacking.setdefault(int(of[i]), []).append(flat[i])
-            rest_key, rest_piece, rest_of = [], [], []
-            keys = batch.column("key").to_pylist()
+            rest: list[list | None] = [None] * len(texts)
             if lacking:
+                keys = batch.column("key").to_pylist()
                 places = np.flatnonzero(np.isin(codes, list(lacking)))
                 by_text: dict[int, Counter] = {}
                 for row, code in zip(np.searchsorted(ends, places, "right").tolist(), codes[places].tolist(), strict=True):
                     by_text.setdefault(row, Counter()).update(lacking[code])
-                for row, rest in by_text.items():
+                for row, counts in by_text.items():
                     if keys[row] not in seen:
                         seen.add(keys[row])
-                        rest_key += [keys[row]] * len(rest)
-                        rest_piece += rest.keys()
-                        rest_of += rest.values()
-            k, m = len(texts), len(rest_key)
+                        rest[row] = [{"piece": p, "of": n} for p, n in counts.items()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[np.zeros(k, bool), np.ones(m, bool)]),
-                    pa.concat_arrays([batch.column("id"), pa.nulls(m, batch.column("id").type)]), pa.concat_arrays([batch.column("key"), pa.array(rest_key, pa.int64())]),
-                    pa.array([len(t.encode()) for t in texts] + [None] * m, pa.int64()), pa.array(known.tolist() + [None] * m, pa.int64()),
-                    pa.array([None] * k + rest_piece, pa.string()), pa.array([None] * k + rest_of, pa.int64()),
-                ],
-                names=["is_rest", "id", "key", "n_bytes", "known", "piece", "of"],
+                [batch.column("id"), batch.column("key"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(known), pa.array(rest, pa.list_(pa.struct([("piece", pa.string()), ("of", pa.int64())])))],
+                names=["id", "key", "n_bytes", "known", "rest"],
             )
 
-    return rows.mapInArrow(run, f"is_rest boolean, id {dict(rows.dtypes)['id']}, key long, n_bytes long, known long, piece string, of long")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key long, n_bytes long, known long, rest array<struct<piece:string,of:long>>")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text", sent: int = SENT) -> DataFrame:
@@ -183,7 +175,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_colu
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64("text"))
     pieces = cut(encoded(frequencies(rows, rules), rules))
     found = cut(summed(rows, most_frequent(pieces, sent), rules))
-    every, rest = found.filter("not is_rest").select("id", "key", "n_bytes", "known"), found.filter("is_rest").select("key", "piece", "of").distinct()
+    every, rest = found.select("id", "key", "n_bytes", "known"), found.filter("rest is not null").select("key", F.explode("rest").alias("one")).select("key", "one.*").distinct()
     more = rest.join(pieces.select("piece", "n"), "piece").groupBy("key").agg(F.sum(F.col("of") * F.col("n")).alias("more"))
     n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
     return every.join(more, "key", "left").select(F.col("id").alias(id_column), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
