@@ -186,6 +186,15 @@ def test_url_rules_from_far_host_labels(spark):
     assert got[60].verdict == "block"
 
 
+def test_url_rules_from_a_template_of_many_tokens(spark):
+    """Tokens that always come together are mined as one, and each of them can fit an ungoverned url."""
+    fixed = "/".join(f"seg{chr(97 + i)}" for i in range(14)) + "?" + "&".join(f"k{chr(97 + i)}=1" for i in range(14))
+    urls = [f"http://a{i}.net/es/{fixed}" for i in range(40)] + [f"http://b{i}.com/home" for i in range(40)] + ["http://x.org/segc", "http://y.org/other?kb=2", "http://z.org/home", "http://q.org/none"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages).collect()}
+    assert [got[i] for i in (0, 40, 80, 81, 82, 83)] == ["block", "allow", "block", "block", "allow", "allow"]
+
+
 def test_contamination_spans_and_blocks(spark, docs):
     tests = spark.createDataFrame([(1, prose(30, 60)), (2, "Ünï TURN"), (3, None), (4, "..."), (5, prose(120, 120)[:200]), (5, prose(60, 60))], "item_id long, text string")
     whole = decontaminate.contamination(docs, tests)
@@ -458,6 +467,41 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert {x.predicted for x in toxicity.toxicity(docs.limit(5), labelled.limit(0)).collect()} == {0}
 
 
+def test_toxicity_scores_recomputed_word_by_word():
+    """Document scores against a plain loop over windows, words and n-grams."""
+    import xxhash
+
+    def buckets(word):
+        out = [xxhash.xxh3_64_intdigest(word, 0) % toxicity.BUCKETS]
+        marked = f"<{word}>"
+        for size in toxicity.GRAMS:
+            for i in range(len(marked) - size + 1):
+                total = size
+                for c in marked[i : i + size]:
+                    total = int(common.mix(np.array([(total * 0x100000001B3 + ord(c)) % 2**64], np.uint64))[0])
+                out.append(total % toxicity.BUCKETS)
+        return out
+
+    draw = np.random.default_rng(4)
+    model = toxicity.Model(draw.normal(0, 1, toxicity.BUCKETS), -0.3)
+    texts = ["One two THREE", None, "", prose(40, 7), "é日本 a\tb\u00a0c", "x", prose(13, 8) + " grubling"]
+    got = model.document_logits(toxicity.bags(pa.array(texts, pa.string())), len(texts))
+    for text, z in zip(texts, got, strict=True):
+        said = words((text or "").lower())
+        windows = [said[i : i + toxicity.WINDOW] for i in range(0, len(said), toxicity.WINDOW)]
+        logits = [np.mean([model.value[b] for w in window for b in buckets(w)]) + model.bias for window in windows]
+        assert z == pytest.approx(max(logits) if logits else min(model.bias, 0.0), abs=1e-9)
+
+
+def test_toxicity_ties_and_odd_tables(spark):
+    rows = [(1, "bad word " * 30, 9), (1, "bad word " * 30, 9), (None, "bad word", 9), (2, None, 9), (3, "good text " * 4000, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("predicted", F.lit("clash")).withColumn("held_out", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (77, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1 and all(0 <= r.score <= 1 for r in got)
+    assert [r.predicted for r in got if r.doc_id == 2] == [0]
+
+
 def quality_base(text):
     w = words(text)
     grams = {}
