@@ -9,12 +9,15 @@ from factloom.functions import lexicon as L
 from factloom.functions import quantities as Q
 from factloom.functions.patterns import exploded
 from factloom.operators import evaluation as V
+from factloom.operators import evidence as E
 from factloom.operators import passages as P
 from factloom.operators import relevance as R
 from factloom.operators import reporting as W
 from factloom.operators import search as S
+from factloom.plans import verdict
 from factloom.queries import (
-    CLAIMS_SQL, DECOMPOSED_SQL, EVENT_LIST, EVIDENCE_SQL, OPPOSITE_CASE, PREDICATE_SQL, SCORES_SQL, SENTENCES_SQL, UNIQUE, claims_view, evidence_view, found, listed, register, rx, scores_view, sql_text, table,
+    CLAIM_STANCE_SQL, CLAIMS_SQL, DECOMPOSED_SQL, DEDUP_SQL, EVENT_LIST, EVIDENCE_SQL, FACTS_SQL, JUDGED_SQL, MARKER_SQL, OPPOSITE_CASE, PREDICATE_SQL, RESULTS, SCORES_SQL, SENTENCES_SQL, STANCE, TRIAGE_SQL, UNIQUE,
+    claims_view, evidence_view, listed, normalise_sql, register, rx, scores_view, sql_text, table,
 )
 
 FORMS = list(dict.fromkeys(f for forms in L.EVENT_SURFACES.values() for f in forms))
@@ -607,10 +610,88 @@ def linear_model(spark, sf_dir):
 
 # ---- the product query -----------------------------------------------------
 
+NORMAL = f"select claim_id, normalised as claim from ({normalise_sql()})"
+DOC_HOST = "case d.claim_id % 5 " + " ".join(f"when {i} then '{h}'" for i, h in enumerate(verdict.HOSTS)) + " end"
+BODY = "case when a.doc_id is not null then '' else d.claim || '. More was reported on Monday, officials said.' end"
+CAND = f"""select x.claim_id, d.claim_id % 4 job_order, d.claim_id ord, {DOC_HOST} || '/' || d.claim_id url, d.claim title, {BODY} body, e.ts published
+from ({CLAIMS_SQL}) x join ({CLAIMS_SQL}) d on x.claim_id // 8 = d.claim_id // 8 left join documents a on a.doc_id = d.claim_id left join events e on e.event_id = d.claim_id"""
+BLOCKS = RELEVANCE_SQL[RELEVANCE_SQL.index("d as (select o_orderkey doc_id"):RELEVANCE_SQL.index("f as (select doc_id, block")]
+CANDIDATE_RELEVANCE = RELEVANCE_SQL.replace(BLOCKS, f"d as (select d.claim_id doc_id, d.claim_id // 8 block, d.claim title, {BODY} body from ({CLAIMS_SQL.replace('o_orderkey as claim_id', 'o_orderkey + 0 as claim_id')}) d left join documents a on a.doc_id = d.claim_id),\n").replace(CLAIMS_SQL, NORMAL)
+CANDIDATE_DEDUP = DEDUP_SQL.replace(f"select {', '.join(RESULTS)} from orders", f"select claim_id, job_order, ord, url, title from ({CAND})")
+DENIES = r"'\b(?:denied|denies|false|did not|never)\b'"
+QUANTITY_ROWS = QUANTITIES_SQL.replace(f"select claim_id, lower(claim) low from ({CLAIMS_SQL})", "select {0} claim_id, lower({1}) low from {2}".replace("{0}", "@id").replace("{1}", "@text").replace("{2}", "@from"))
+
+
+def quantity_rows(key: str, text: str, source: str) -> str:
+    return QUANTITY_ROWS.replace("@id", key).replace("@text", text).replace("@from", source)
+
+
+SAY = L.REASONING
+JUDGED_CLAIMS_SQL = f"""
+with cl as (
+  select n.claim_id, n.normalised as claim, t.kind, t.claim_type, t.salience, t.negated, f.verdict fv, f.confidence fc, n.recent_label or m.m is not null recent,
+    case when f.verdict is not null then 'rule' when not t.search_worthwhile then 'none' else 'search' end route
+  from ({normalise_sql()}) n join ({TRIAGE_SQL.replace(CLAIMS_SQL, NORMAL)}) t using (claim_id) join (select claim_id, {MARKER_SQL} m from ({NORMAL})) m using (claim_id) left join ({FACTS_SQL.replace(CLAIMS_SQL, NORMAL)}) f using (claim_id)),
+cand as ({CAND}),
+sel as (
+  select cl.claim_id, cl.claim, cl.recent, c.ord doc, c.url, c.title, c.body, c.published, {content("cl.claim")} asked
+  from ({CANDIDATE_DEDUP}) k join cand c on c.claim_id = k.claim_id and c.ord = k.ord join ({CANDIDATE_RELEVANCE}) r on r.claim_id = k.claim_id and r.doc_id = k.ord and r.included join cl on cl.claim_id = k.claim_id where cl.route = 'search'),
+fet as (select sel.*, coalesce(a.text, '') fetched from sel left join documents a on a.doc_id = sel.doc),
+art as (select *, case when fetched <> '' and {left_over("fetched")} > {left_over("body")} then fetched else body end as text from fet),
+sen as (select *, list_transform({sentences("text")}, lambda x: trim(replace(x, chr(1), '.'))) s from art),
+rnk as (select *, list_sort(list_transform(s, lambda x, i: {{'n': -len(list_intersect({content("x")}, asked)), 'i': i, 's': x}})) r from sen),
+evy as (select *, list_concat([title, ''], list_filter(list_transform(r, lambda x: x.s), lambda s: not (regexp_matches(lower(s), {STOCK}) and not list_has_any({content("s")}, asked)))) every from rnk),
+uns as (select claim_id, doc, claim, asked, unnest(every) passage, unnest(range(1, len(every) + 1)) i from evy),
+kys as (select *, trim(regexp_replace(lower(passage), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+', ' ', 'g')) key from uns),
+nth as (select *, row_number() over (partition by claim_id, doc, key order by i) n from kys where key <> ''),
+pas as (select *, row_number() over (partition by claim_id, doc order by i) p from nth where n = 1 qualify p <= 8),
+mrk as (select *, len(list_intersect({content("passage")}, asked)) >= 0.6e0 * len(asked) near, regexp_matches(lower(passage), {DENIES}) and not regexp_matches(lower(claim), {DENIES}) denies, {rx("passage", L.REPORTING_FRAME)} frame from pas),
+sco as (select claim_id, doc, coalesce(max(case when near and not denies then 0.93e0 else 0.04e0 end) filter (not frame), max(case when near and not denies then 0.93e0 else 0.04e0 end)) support, max(case when near and denies then 0.91e0 else 0.03e0 end) contradiction from mrk group by 1, 2),
+cq as (select claim_id, row_number() over () q, "value" v, kind, list_filter(string_split(attribute, ' '), lambda x: x <> '') atts from ({quantity_rows("claim_id", "claim", "cl")})),
+dq as (select claim_id // 1000000 claim_id, claim_id % 1000000 doc, "value" v, kind, list_filter(string_split(attribute, ' '), lambda x: x <> '') atts from ({quantity_rows("claim_id * 1000000 + doc", "body", "(select claim_id, doc, string_agg(passage, chr(10) order by p) body from pas group by 1, 2)")})),
+cmp as (select cq.claim_id, dq.doc, q, bool_or(abs(cq.v - dq.v) <= 0.02e0 * greatest(abs(cq.v), abs(dq.v))) near from cq join dq on cq.claim_id = dq.claim_id and cq.kind = dq.kind and list_has_any(cq.atts, dq.atts) group by 1, 2, 3),
+con as (select claim_id, doc, bool_or(not near) conflict from cmp group by 1, 2),
+jud as (select s.*, sel.url, sel.recent and sel.published < timestamp '{verdict.NOW}' - interval 45 day old, coalesce(con.conflict, false) conflict, {STANCE} said from sco s join sel using (claim_id, doc) left join con using (claim_id, doc)),
+evi as (select claim_id, url, '' publisher, case doc % 5 when 2 then 0e0 when 4 then 1e0 else 0.8e0 end source_weight, support, contradiction, true nli_available,
+  case when said = 'supports' and (conflict or coalesce(old, false)) then 'unclear' else said end stance, said = 'supports' and not conflict and coalesce(old, false) stale from jud),
+sta as ({CLAIM_STANCE_SQL.replace(f"({JUDGED_SQL})", "evi")}),
+cnt as (select cand.claim_id, count(*) candidates, (select count(*) from sel where sel.claim_id = cand.claim_id) relevant from cand group by 1),
+old as (select claim_id, count(*) filter (stale) stale from evi group by 1),
+j as (
+  select cl.*, case when cl.claim_id % 9 = 0 then false else true end answered, candidates, relevant, coalesce(old.stale, 0) stale, coalesce(sta.status, 'insufficient_evidence') st, coalesce(sta.net, 0e0) net, coalesce(sta.nli_available, false) ready,
+    coalesce(evidence_count, 0) evidence_count, coalesce(supporting_count, 0) sc, coalesce(contradicting_count, 0) cc, coalesce(independent_supporting, 0) isup, coalesce(independent_contradicting, 0) icon
+  from cl join cnt using (claim_id) left join sta using (claim_id) left join old using (claim_id)),
+a as (select *, case when relevant = 0 then 'NO_RELEVANT_RESULTS' when answered then 'SEARCH_SUCCESS' else 'SEARCH_FAILED' end retrieval_status, kind = 'prospective' prospective from j),
+b as (select *, route = 'search' and not negated and retrieval_status in ({listed(L.SEARCH_WORKED)[1:-1]}) and candidates >= 4 and answered and salience = 'high' and sc = 0 and cc = 0 and stale = 0 absent from a),
+d as (select *, case when route = 'rule' then case fv when 'true' then 'supported' when 'false' then 'contradicted' else 'not_objectively_verifiable' end when route = 'none' then case when kind = 'opinion' then 'not_objectively_verifiable' else 'not_a_claim' end
+  when absent then 'unsupported_no_coverage' when prospective and st = 'supported' then 'reported_plan' when prospective and st = 'insufficient_evidence' then 'not_verifiable_yet' else st end status from b),
+i as (select *, case when status = 'contradicted' then icon when status = 'supported' then isup else greatest(isup, icon) end backing from d),
+w as (select *, {filled(SAY["searched"], "candidates", "case when candidates = 1 then '' else 's' end")} || case when relevant > 0 then {filled(SAY["compared"], "relevant", "evidence_count", "case when evidence_count = 1 then 'was' else 'were' end")} else '' end || '.' scope from i)
+select claim_id, claim, route, status, retrieval_status, evidence_count,
+  case when absent and prospective then 'no credible source reports such a plan' else case status {" ".join(f"when {sql_text(k)} then {sql_text(v)}" for k, v in E.PHRASES.items())} end end verdict,
+  coalesce(fc, case when status in ('not_a_claim', 'not_objectively_verifiable') then 'high' when status = 'unsupported_no_coverage' then case when candidates >= 15 then 'high' when candidates >= 8 then 'medium' else 'low' end
+    when status in ('insufficient_evidence', 'not_verifiable_yet') or not ready then 'low' when backing >= 3 then 'high' when backing >= 2 then 'medium' else 'low' end) confidence,
+  case when status in ({listed(E.NON_NUMERIC)[1:-1]}) then 50 else round_even(greatest(5e0, least(95e0, 50 + 45 * greatest(-1e0, least(1e0, net)))), 0)::int end balance,
+  case when route <> 'search' then claim_type when retrieval_status = 'SEARCH_FAILED' then {sql_text(SAY["search_failed"])} else scope || case
+    when status = 'unsupported_no_coverage' then {filled(SAY["no_coverage"], "case when prospective then 'A plan' else 'An event' end")}
+    when status = 'reported_plan' then {sql_text(SAY["reported_plan"])} when status = 'not_verifiable_yet' then {filled(SAY["not_verifiable_yet"], "claim_type")}
+    when status in ('supported', 'contradicted', 'mixed') then {filled(SAY["direction"], "case when backing > 0 then " + filled(SAY["publishers"], "backing", "case when backing = 1 then '' else 's' end") + " else '' end", "case status when 'supported' then 'support' when 'contradicted' then 'contradict' else 'point both ways on' end")}
+    when relevant = 0 and candidates > 0 then {sql_text(SAY["nothing_relevant"])} else {sql_text(SAY["nothing_strong"])} end end reasoning
+from w
+"""
+
+
+@register(JUDGED_CLAIMS_SQL)
+def judged_claims(spark, sf_dir):
+    """The flagship, claims to verdicts: candidates from a claim's block, texts of ``documents`` as the articles of some; a word scorer stands for the model."""
+    articles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return verdict.demonstration(claims_view(spark, sf_dir), articles, table(spark, sf_dir, "events"))
+
 
 @register()
 def checked_claims(spark, sf_dir):
-    """Claims to verdicts: candidates from the results of a claim's block, some of whose articles are fetched from ``pages``; a word scorer stands for the model."""
-    from factloom.plans import verdict
+    """The same with the articles read from ``pages``."""
+    from factloom.sources import payloads
 
-    return verdict.demonstration(claims_view(spark, sf_dir), table(spark, sf_dir, "pages"), table(spark, sf_dir, "events"))
+    articles = payloads.articles(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc"), "text")
+    return verdict.demonstration(claims_view(spark, sf_dir), articles, table(spark, sf_dir, "events"))

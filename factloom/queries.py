@@ -23,7 +23,7 @@ from factloom.operators import search as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "checked_claims"
+FLAGSHIP = "judged_claims"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
