@@ -28,7 +28,7 @@ from factloom.llm.components import components
 
 GRAM = 5
 #: Bits of a bitmap at most: a set goes to as many tiles as it has shingles, so what it brings must not grow with them.
-MOST_BITS = 2048
+MOST_BITS = 8192
 #: Smallest hashes that make stars; width of the table of counts.
 KEYS, WIDTH = 4, 1 << 16
 #: Sets of a tile's side; a shingle with more has its size bands cut into blocks.
@@ -176,8 +176,8 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
             keep = [linked(left[i], np.frombuffer(x, np.uint64)) for i, x in zip(first.indices.to_pylist(), batch.column("one").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    keys = pairs.select(F.explode(F.array("ka", "kb")).alias("key"))
-    texts = asked_for(rows.select("key", "text"), keys).join(keys.distinct(), "key", "left_semi")
+    # No join with the keys themselves: Spark would move it below the filter, and send all texts.
+    texts = asked_for(rows.select("key", "text"), pairs.select(F.explode(F.array("ka", "kb")).alias("key")))
     found = texts.mapInArrow(arrays, "key long, shingles binary").dropDuplicates(["key"])
     one, two = found.select(F.col("key").alias("ka"), F.col("shingles").alias("one")), found.select(F.col("key").alias("kb"), F.col("shingles").alias("two"))
     return pairs.join(one, "ka").join(two, "kb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "one", "two").mapInArrow(run, "a long, b long")
