@@ -94,11 +94,13 @@ def judged(docs: DataFrame, line_documents: int, line_share: float, left_percent
     r = removed.select(F.col("key").alias("__key"), F.struct("n_removed", "removed").alias("__found"))
     n, again, n_removed = F.col("__base.n_words"), F.col("__base.n_repeat_words"), F.coalesce(F.col("__found.n_removed"), F.lit(0))
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
+    # As one comparison: of two conditions Spark would test the first below the join, and count all words again for it.
+    kept = F.least(F.when(failed, -1).otherwise(0), 100 * (n - n_removed) - left_percent * n) >= 0
     quality = F.struct(
         "__base.*",
         failed.alias("base_failed"),
         n_removed.alias("n_removed"),
-        (~failed & (100 * (n - n_removed) >= left_percent * n)).alias("kept"),
+        kept.alias("kept"),
         F.col("__found.removed").alias("removed"),
     )
     joined = rows.withColumn("__base", base_rules(F.col("text"))).join(r, "__key", "left")
