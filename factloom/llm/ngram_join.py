@@ -27,6 +27,8 @@ from factloom.llm.common import WHITE, asked_for, cut, gram_hashes, hash_words,
 from factloom.llm.components import components
 
 GRAM = 5
+#: Sets link if their intersection has so many of 100 shingles of their union.
+PERCENT = 75
 #: Bits of a bitmap at most: a set goes to as many tiles as it has shingles, so what it brings must not grow with them.
 MOST_BITS = 8192
 #: Smallest hashes that make stars; width of the table of counts.
@@ -132,17 +134,22 @@ def sketched(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n int, sid long, bits binary, keys array<long>, bucket int, times long")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 75 * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) of sets those that sizes and bitmaps leave open: ka, kb (keys of their texts), ca, cb (classes).
+def may_link(total: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``total`` shingles together, with bitmaps that differ in ``differ`` bits, can link.
 
-    Sets link if 7 times the overlap is 3 times the sum of sizes at least; the
-    overlap is half of that sum less the bits that differ at most.
+    Sets link if the overlap is percent / (100 + percent) of the sum of sizes
+    at least; the overlap is half of that sum less the bits that differ at most.
     """
+    return (100 - percent) * total >= (100 + percent) * differ
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of ``pairs`` (a, b) of sets those that sizes and bitmaps leave open: ka, kb (keys of their texts), ca, cb (classes)."""
 
     def keep(batches):
         for batch in batches:
@@ -150,14 +157,14 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 k = batch.num_rows
                 differ = Bitmaps(batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist()).differ(np.arange(k), np.arange(k) + k)
                 total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-                yield batch.select(["ka", "kb", "ca", "cb"]).filter(pa.array(total >= 7 * differ))
+                yield batch.select(["ka", "kb", "ca", "cb"]).filter(pa.array(may_link(total, differ, percent)))
 
     one, two = (sets.select(F.col("sid").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("class").alias(f"c{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    near = pairs.join(one, "a").join(two, "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    near = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return near.mapInArrow(keep, PAIR)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes from the ``pairs`` (ka, kb, ca, cb) that link, by exact intersection of their texts' sorted shingles."""
 
     def arrays(batches):
@@ -173,7 +180,7 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches, "one"):
             first = batch.column("two").dictionary_encode()
             left = [np.frombuffer(x, np.uint64) for x in first.dictionary.to_pylist()]
-            keep = [linked(left[i], np.frombuffer(x, np.uint64)) for i, x in zip(first.indices.to_pylist(), batch.column("one").to_pylist(), strict=True)]
+            keep = [linked(left[i], np.frombuffer(x, np.uint64), percent) for i, x in zip(first.indices.to_pylist(), batch.column("one").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # No join with the keys themselves: Spark would move it below the filter, and send all texts.
@@ -266,7 +273,7 @@ def tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
     return few if many.isEmpty() else few.unionByName(blocked(many, sets))
 
 
-def open_pairs(tiles: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+def open_pairs(tiles: DataFrame, classes: DataFrame, best: bool, percent: int = PERCENT) -> DataFrame:
     """Pairs (ka, kb, ca, cb) across classes that sizes and bitmaps leave open in a tile; with ``best`` the closest pair of each class only."""
 
     def run(batches):
@@ -284,7 +291,7 @@ def open_pairs(tiles: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
             two_blocks = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)
             place = number * (4 << 31) + n  # tiles and sizes rise
-            counts = np.searchsorted(place, number * (4 << 31) + 4 * n // 3, "right") - np.arange(len(n)) - 1
+            counts = np.searchsorted(place, number * (4 << 31) + 100 * n // percent, "right") - np.arange(len(n)) - 1
             maps = Bitmaps(bits.tolist())
             found = []
             upto, first = np.cumsum(counts), 0
@@ -296,7 +303,7 @@ def open_pairs(tiles: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
                 fit = (c[one] != c[two]) & (own[one] | own[two]) & (~two_blocks[number[one]] | (block[one] != block[two]))
                 one, two = one[fit], two[fit]
                 differ = maps.differ(one, two)
-                left = n[one] + n[two] >= 7 * differ
+                left = may_link(n[one] + n[two], differ, percent)
                 found.append(np.c_[one[left], two[left], differ[left] * 1000 // (n[one[left]] + n[two[left]])])
                 first = last
             found = np.concatenate(found)

@@ -7,19 +7,22 @@ from factloom.llm import quality
 #: The operators' words of a text: runs of characters other than ASCII white space.
 WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 
-OP1 = """
+
+def near(words: int, percent: int) -> str:
+    """Sizes of the sets of shingles and the components of their links."""
+    return f"""
 with recursive docs as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) w
   from documents),
 grams as (
-  select distinct doc_id, array_to_string(w[p : p + 4], ' ') || case when len(w) < 5 then '/' || len(w) else '' end g
-  from (select *, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) p from docs)),
+  select distinct doc_id, array_to_string(w[p : p + {words - 1}], ' ') || case when len(w) < {words} then '/' || len(w) else '' end g
+  from (select *, unnest(range(1, greatest(len(w) - {words - 1}, least(len(w), 1)) + 1)) p from docs)),
 sizes as (select doc_id, count(*) n from grams group by 1),
 shared as (
   select x.doc_id a, y.doc_id b, count(*) n from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
 links as (
   select a, b from shared s join sizes p on p.doc_id = s.a join sizes q on q.doc_id = s.b
-  where 100 * s.n >= 75 * (p.n + q.n - s.n)),
+  where 100 * s.n >= {percent} * (p.n + q.n - s.n)),
 both_ways as (select a, b from links union all select b, a from links),
 reach as (select doc_id node, doc_id root from documents union select b.b, r.root from reach r join both_ways b on b.a = r.node),
 least_of as (select node, min(root) component_id from reach group by 1)
@@ -27,6 +30,10 @@ select d.doc_id, coalesce(s.n, 0) n_shingles, l.component_id
 from docs d left join sizes s using (doc_id) join least_of l on l.node = d.doc_id
 """
 
+
+OP1 = near(5, 75)
+OP13 = f"select *, doc_id = component_id kept from ({near(4, 80)})"
+
 OP3 = """
 with items as (
   select cast(item_id as varchar) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w
@@ -106,4 +113,4 @@ select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_R
 from base
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1, "op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op6_substring_dedup": OP6, "op9_quality_rules": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1, "op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op6_substring_dedup": OP6, "op9_quality_rules": OP9, "op13_superminhash": OP13}
