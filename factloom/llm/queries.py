@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, mixing, ngram_join, quality, sharding, substring_dedup, superminhash, token_counts, toxicity, url_filters
+from factloom.llm import chat, decontaminate, mixing, ngram_join, quality, row_patterns, sharding, substring_dedup, superminhash, token_counts, toxicity, url_filters, vector_codes
 from factloom.llm.common import shared_folder, table
 from factloom.llm.sql import ORACLE_SQL
 
@@ -67,8 +67,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_patterns.digest(row_patterns.row_patterns(table(spark, sf_dir, "clicks")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_benchmark_decontamination, op4_mix_sources, op5_chat_formatting, op6_substring_dedup, op7_sharding, op8_toxicity, op9_quality_rules, op10_token_counts, op13_superminhash)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filters, op3_benchmark_decontamination, op4_mix_sources, op5_chat_formatting, op6_substring_dedup, op7_sharding, op8_toxicity, op9_quality_rules, op10_token_counts, op11_row_patterns, op12_vector_codes, op13_superminhash)}

@@ -113,4 +113,66 @@ select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_R
 from base
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1, "op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op6_substring_dedup": OP6, "op9_quality_rules": OP9, "op13_superminhash": OP13}
+#: Two rounds and a last assignment; whole numbers throughout, so sums, floors and ties are exact.
+OP12 = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+points as (
+  select vec_id, label, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] x from (select *, unnest(range(16)) part from kept)),
+book0 as (
+  select part, row_number() over (partition by part order by vec_id) - 1 entry, x c from points where vec_id in (select vec_id from kept order by vec_id limit 64)),
+{"".join(f"""
+assigned{k} as (
+  select vec_id, any_value(label) label, p.part, any_value(x) x,
+    min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * 64 + entry) best
+  from points p join book{k} b on p.part = b.part group by vec_id, p.part),
+sums{k} as (
+  select part, best % 64 entry, dim, sum(x[dim])::bigint s, count(*) n
+  from (select *, unnest(range(1, len(x) + 1)) dim from assigned{k}) group by all),
+means{k} as (select part, entry, list((s - ((s % n) + n) % n) // n order by dim) m from sums{k} group by all),
+book{k + 1} as (select b.part, b.entry, coalesce(m, c) c from book{k} b left join means{k} using (part, entry)),""" for k in range(2))}
+last as (
+  select vec_id, any_value(label) label, p.part,
+    min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * 64 + entry) best
+  from points p join book2 b on p.part = b.part group by vec_id, p.part),
+coded as (
+  select vec_id, any_value(label) label, string_agg(lower(printf('%02x', (best % 64)::int)), '' order by part) code, sum(best // 64)::bigint error
+  from last group by vec_id)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error,
+  (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from book2) codebooks_sha256
+from coded
+"""
+
+#: Steps and goals by the row before; a row's goal by a join within its segment; the chain of first rows by recursion.
+OP11 = """
+with recursive clean as (
+  select *, floor(100 * value + 0.5)::bigint c, row_number() over (partition by client_id order by ts, click_id) p
+  from (select distinct * from clicks where client_id is not null and ts is not null)),
+compared as (
+  select *, coalesce(kind <> 'error', false) and coalesce(c <> pc, false) and coalesce(ts - pt <= interval 15 minute, false) step,
+    coalesce(kind = 'view', false) and c is not null and pc is not null and coalesce(ts - pt <= interval 15 minute, false) goal
+  from (select *, lag(c) over w pc, lag(ts) over w pt from clean window w as (partition by client_id order by p))),
+parts as (
+  select client_id, click_id, p, c, step, goal, step and c < pc down,
+    sum((not step)::int) over (partition by client_id order by p) seg, sum((not (step and c < pc))::int) over (partition by client_id order by p) fall
+  from compared),
+goals as (select client_id, p, c, fall, case when step then seg else seg - 1 end seg from parts where goal),
+ends as (select client_id, fall, max(p) k from parts group by all),
+chosen as (
+  select a.client_id, a.p i, max(g.p) j, max_by(g.fall, g.p) fall
+  from parts a join goals g on g.client_id = a.client_id and g.seg = a.seg and g.p > a.p and g.c >= a.c where a.c is not null group by all),
+matches as (select client_id, i, j, k from chosen join ends using (client_id, fall)),
+chain as (
+  select client_id, min(i) i from matches group by 1
+  union all
+  select c.client_id, (select min(n.i) from matches n where n.client_id = c.client_id and n.i >= m.k)
+  from chain c join matches m on m.client_id = c.client_id and m.i = c.i where c.i is not null),
+taken as (select m.*, row_number() over (partition by m.client_id order by m.i) match_no from chain c join matches m on m.client_id = c.client_id and m.i = c.i)
+select t.client_id, match_no, min_by(r.click_id, r.p) first_id, max_by(r.click_id, r.p) last_id, count(*) n_rows, sum(r.c)::bigint sum_cents,
+  sha256(string_agg(case when r.p = i then 'A' when r.p = j then 'P' when down then 'D' else 'U' end, '' order by r.p)) labels_sha256
+from taken t join parts r on r.client_id = t.client_id and r.p between i and k
+group by t.client_id, match_no
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1, "op3_benchmark_decontamination": OP3, "op5_chat_formatting": OP5, "op6_substring_dedup": OP6, "op9_quality_rules": OP9, "op11_row_patterns": OP11, "op12_vector_codes": OP12, "op13_superminhash": OP13}
