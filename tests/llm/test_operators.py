@@ -308,6 +308,38 @@ def test_thread_orders_ties_and_long_conversations(spark):
     assert got[2].n_turns == 2 and got[3].n_turns == 2
 
 
+def test_digest_reads_the_loss_mask(spark):
+    """What is learnt is cut out of the output by the mask: an empty or shifted mask gives another digest."""
+    rows = [(1, 0, "user", "q <&>"), (1, 1, "assistant", "a <b> &amp; </turn>"), (1, 2, "user", "ü"), (1, 3, "assistant", ""), (1, 4, "assistant", "end é")]
+    whole = chat.format_trees(chat.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).cache()
+    said = "a <b> &amp; </turn>end é"
+    got = chat.digest(whole).first()
+    assert (got.loss_chars, got.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    emptied = chat.digest(whole.withColumn("loss", F.slice("loss", 1, 0))).first()
+    assert emptied.loss_chars == 0 and emptied.loss_sha256 == hashlib.sha256(b"").hexdigest() and emptied.turns_sha256 == got.turns_sha256
+    shifted = F.transform("loss", lambda x: F.struct((x["start"] + 1).alias("start"), (x["end"] + 1).alias("end")))
+    assert chat.digest(whole.withColumn("loss", shifted)).first().loss_sha256 != got.loss_sha256
+    spans = whole.first()
+    assert [spans.formatted[x.start : x.end] for x in spans.loss] == ["a &lt;b&gt; &amp;amp; &lt;/turn&gt;", "", "end é"]
+
+
+def test_branches_ranked_before_their_paths_are_listed(spark):
+    """Scores of all paths against a plain walk, in a tree with many leaves."""
+    r = random.Random(6)
+    rows = [("t", 0, None, "user", "n0", 0.5)] + [("t", i, r.randrange(max(0, i - 9), i), r.choice(["user", "assistant"]), f"n{i}", r.randrange(8) / 2) for i in range(1, 120)]
+    parent, score = {x[1]: x[2] for x in rows}, {x[1]: x[5] for x in rows}
+
+    def path(i):
+        return [] if i is None else [*path(parent[i]), i]
+
+    leaves = set(parent) - set(parent.values())
+    want = sorted(((-sum(score[n] for n in path(i)), i) for i in leaves))[:3]
+    tree = spark.createDataFrame(rows, "conv_id string, node long, parent long, role string, text string, score double")
+    got = sorted(chat.format_trees(tree, branches=3).collect(), key=lambda x: x.branch)
+    assert [(x.score, x.leaf, x.n_turns) for x in got] == [(-s, i, len(path(i))) for s, i in want]
+    assert [re.findall(r"n\d+", x.formatted) for x in got] == [[f"n{n}" for n in path(i)] for _, i in want]
+
+
 def removed_by_force(texts, n):
     all_words = [words(t) for t in texts]
     seen = {}
