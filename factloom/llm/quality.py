@@ -14,9 +14,8 @@ from factloom.llm.common import WHITE, cut, let, word_array
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is removed if more than so many distinct documents of its host hold it, and more than that share of them.
+#: A line is removed if more than so many distinct documents of its host hold it, however many the host has.
 LINE_DOCUMENTS = 20
-LINE_SHARE = 0.002
 #: A document is rejected if fewer than so many of 100 words are left.
 LEFT_PERCENT = 40
 #: Parts into which a frequent line's documents are dealt.
@@ -66,7 +65,7 @@ def document_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("source", F.lit("\x00")), F.coalesce("text", F.lit("")))
 
 
-def frequent_lines(rows: DataFrame, line_documents: int, line_share: float) -> DataFrame:
+def frequent_lines(rows: DataFrame, line_documents: int) -> DataFrame:
     """key, n_removed (words) and removed (hashes of lines over the host's limit) of the documents that hold such lines.
 
     ``rows`` has key, host and text. Lines are cut out of the texts once; a row
@@ -79,18 +78,17 @@ def frequent_lines(rows: DataFrame, line_documents: int, line_share: float) -> D
     every = rows.select("key", "host", F.explode_outer(F.transform(F.split("text", "\n"), one)).alias("one")).select("key", "host", "one.*").filter("n > 0")
     lines = cut(every.groupBy("key", "host", "line").agg(F.sum("n").alias("n")))
     documents = cut(rows.groupBy("key", "host").agg(F.count(F.lit(1)).alias("copies")))  # rows that are equal
-    seen = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > line_documents)
-    over = seen.join(documents.groupBy("host").agg(F.count(F.lit(1)).alias("of")), "host").filter(F.col("documents") > F.col("of") * line_share)
+    over = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > line_documents)
     salted = over.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     held = lines.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
     found = held.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("line").alias("removed"))
     return found.join(documents.select("key", "copies"), "key").select("key", F.expr("n div copies").alias("n_removed"), "removed")
 
 
-def judged(docs: DataFrame, line_documents: int, line_share: float, left_percent: int) -> DataFrame:
+def judged(docs: DataFrame, line_documents: int, left_percent: int) -> DataFrame:
     """``docs`` with one more column, the struct __quality."""
     rows = docs.withColumn("__key", document_key())
-    removed = frequent_lines(rows.select(F.col("__key").alias("key"), F.coalesce("source", F.lit("\x00")).alias("host"), "text"), line_documents, line_share)
+    removed = frequent_lines(rows.select(F.col("__key").alias("key"), F.coalesce("source", F.lit("\x00")).alias("host"), "text"), line_documents)
     r = removed.select(F.col("key").alias("__key"), F.struct("n_removed", "removed").alias("__found"))
     n, again, n_removed = F.col("__base.n_words"), F.col("__base.n_repeat_words"), F.coalesce(F.col("__found.n_removed"), F.lit(0))
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
@@ -107,22 +105,22 @@ def judged(docs: DataFrame, line_documents: int, line_share: float, left_percent
     return joined.withColumn("__quality", quality).drop("__key", "__base", "__found")
 
 
-def quality_rules(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def quality_rules(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed (words in removed lines) and kept, for each row of ``docs``.
 
     Null and empty texts have no words, so they fail the base rules. A null
     source is a host of its own. Very long texts are judged whole; a line in
-    as many documents as a limit says stays. Rows are told apart by id, source
+    as many documents as a limit says stays, and the limit is the same for hosts of any size. Rows are told apart by id, source
     and text: equal rows count once and get equal results, each of them. Other
     columns are not read.
     """
-    found = judged(docs.select("doc_id", "text", "source"), line_documents, line_share, left_percent)
+    found = judged(docs.select("doc_id", "text", "source"), line_documents, left_percent)
     return found.select("doc_id", "__quality.*").drop("removed")
 
 
-def clean(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def clean(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """The kept rows of ``docs``, all columns, without the lines above the limits; n_chars, if there, follows the text."""
-    found = judged(docs, line_documents, line_share, left_percent).filter("__quality.kept")
+    found = judged(docs, line_documents, left_percent).filter("__quality.kept")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__quality.removed", line_hash(x))), "\n")
     out = found.withColumn("text", F.when(F.col("__quality.removed").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:

@@ -97,10 +97,7 @@ lines as (
 words as (select *, len(string_split(line, ' ')) n from lines where line <> ''),
 dup as (select doc_id, count(*) - count(distinct raw) n from words group by 1),
 seen as (select source, line, count(distinct (doc_id, text)) documents from words group by 1, 2),
-hosts as (select source, count(distinct (doc_id, text)) n from docs group by 1),
-frequent as (
-  select s.source, s.line from seen s join hosts h on s.source is not distinct from h.source
-  where s.documents > {quality.LINE_DOCUMENTS} and s.documents > h.n * {quality.LINE_SHARE}),
+frequent as (select source, line from seen where documents > {quality.LINE_DOCUMENTS}),
 removed as (select w.doc_id, sum(w.n) n from words w join frequent f on w.line = f.line and w.source is not distinct from f.source group by 1),
 base as (
   select d.doc_id, len(w) n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) word_chars,

@@ -561,15 +561,26 @@ def test_quality_line_limits(spark):
     rows = [(i, f"{own(i)}\nStock  Line of the host\n{own(i + 500)}", "a") for i in range(30)] + [(100, "\n".join(["Stock line of the host"] * 4 + [own(7), own(8)]), "a"), (101, f"{own(1)}\n{own(2)}\nstock line of the host", "b")]
     rows += [(200 + i, f"{own(4)}\n{own(5)}\ncopied text of many documents", "c") for i in range(40)] + [(300, f"{own(1)}\n{own(2)}", "c")]
     table = spark.createDataFrame([*rows, rows[0], *[rows[31]] * 15], "doc_id long, text string, source string").withColumn("n_chars", F.length("text")).withColumn("key", F.lit(1)).withColumn("host", F.lit("clash"))
-    found = quality.quality_rules(table, line_documents=10, line_share=0.0).collect()
+    found = quality.quality_rules(table, line_documents=10).collect()
     got = {r.doc_id: r for r in found}
     assert len(found) == table.count() and got[0].n_removed == 5 and got[100].n_removed == 20 and got[101].n_removed == 0 and got[300].n_removed == 0
     assert got[200].n_removed == 65 and not got[200].kept  # copies are documents, rows that are equal are one
-    kept = {r.doc_id: r for r in quality.clean(table, line_documents=10, line_share=0.0).collect()}
+    kept = {r.doc_id: r for r in quality.clean(table, line_documents=10).collect()}
     assert kept[0].text == f"{own(0)}\n{own(500)}" and kept[0].n_chars == len(kept[0].text) and kept[101].text.endswith("host")
     assert quality.quality_rules(empty(spark)).count() == 0
 
 
+def test_quality_limit_is_the_same_for_large_hosts(spark):
+    """On a host of 12,000 documents a line in 21 of them goes and one in 20 stays, as on a small one."""
+    line = lambda i: f"line {'of' if i % 2 else 'in'} document number {i} here"
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("host").alias("source"), F.concat_ws(
+        "\n", F.concat(F.lit("own words of text "), "id"), F.when(F.col("id") < 21, "a line that goes"), F.when((F.col("id") >= 10) & (F.col("id") < 30), "A line  that stays here"),
+    ).alias("text"))
+    small = spark.createDataFrame([(20_000 + i, "small", f"{line(i)}\na line that goes") for i in range(21)], "doc_id long, source string, text string")
+    got = {r.doc_id: r.n_removed for r in quality.quality_rules(rows.unionByName(small)).collect()}
+    assert got == {**dict.fromkeys(range(12_000), 0), **dict.fromkeys(range(21), 4), **dict.fromkeys(range(20_000, 20_021), 4)}
+
+
 def test_token_counts_against_the_library(spark, docs):
     from tokenizers import Tokenizer
 
@@ -582,8 +593,9 @@ def test_token_counts_against_the_library(spark, docs):
     for r in got:
         n = len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
-    some = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table, queries.tokenizer_path(), sent=40).collect()}  # most by the shuffled join
-    assert some == {r.doc_id: r.n_tokens for r in got}
+    for sent in (0, 40):  # all, or most, by the shuffled join
+        some = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table, queries.tokenizer_path(), sent=sent).collect()}
+        assert some == {r.doc_id: r.n_tokens for r in got}
     assert token_counts.token_counts(empty(spark), queries.tokenizer_path()).count() == 0
 
 
