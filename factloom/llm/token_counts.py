@@ -2,9 +2,10 @@
 
 Pre-tokens are counted over all texts first, and each distinct one is encoded
 once. Its number of pieces is then joined to its frequency in every document
-and summed. The join goes two ways, so that no frequent pre-token makes a hot
-key: the most frequent ones, a fixed number, are a table of hashes that is sent
-to the documents; rows of the others are shuffled to the rest of the table.
+and summed. A small table of the most frequent ones, the same number at every
+size, is sent to the documents, so that no pre-token left is a hot key: of all
+that is counted, each has one part in that number at most. Rows of the others
+are shuffled to their counts. Both ways compare the strings themselves.
 
 Texts are cut into units first, runs of characters after a run of spaces and
 line feeds. No pre-token reaches over such a cut, and units repeat, so the
@@ -27,8 +28,8 @@ from factloom.llm.common import cut, slices
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens at most in the table that is sent to the documents, twelve bytes each.
-SENT = 1 << 21
+#: Pre-tokens at most in the table that is sent to the documents.
+SENT = 1 << 16
 UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Where a cut would part a run of white space.
 ODD = re.compile(r"[^\S \n][ \n]")
@@ -97,8 +98,8 @@ def encoded(pieces: DataFrame, rules: str) -> DataFrame:
     return pieces.mapInArrow(run, "piece string, times long, n long")
 
 
-def most_frequent(pieces: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent pieces, ``most`` at most, and their numbers of tokens: all with a frequency above some bound."""
+def most_frequent(pieces: DataFrame, most: int) -> dict[str, int]:
+    """The most frequent pieces, ``most`` at most, with their numbers of tokens: all with a frequency above some bound."""
     bucket = F.floor(F.log2("times") * 8)  # a few hundred, whatever the data
     sizes = sorted(pieces.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
     held, least = 0, None
@@ -107,20 +108,13 @@ def most_frequent(pieces: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
         if held > most:
             break
         least = b
-    if least is None:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    table = pieces.filter(bucket >= least).select(F.xxhash64("piece").alias("hash"), F.col("n").cast("int").alias("n")).toArrow()
-    order = np.argsort(table["hash"].to_numpy())
-    return table["hash"].to_numpy()[order], table["n"].to_numpy()[order]
+    return {} if least is None else {r.piece: r.n for r in pieces.filter(bucket >= least).select("piece", "n").collect()}
 
 
-def summed(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], rules: str) -> DataFrame:
+def summed(rows: DataFrame, table: dict[str, int], rules: str) -> DataFrame:
     """A row for each of ``rows`` (id, key, text): id, key, n_bytes, known (tokens of special strings and of pre-tokens in ``table``), and rest, the pre-tokens that aren't there with how often the text has them; of a task's copies the first has the rest."""
-    hashes, numbers = table
 
     def run(batches):
-        import xxhash
-
         cutter = Cutter(rules)
         seen: set[int] = set()  # copies of a text give its rest once
         for batch in slices(batches):
@@ -132,10 +126,9 @@ def summed(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], rules: str) ->
             pieces = [cutter.pre_tokens(u) for u in distinct]
             of = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
             flat = list(chain.from_iterable(pieces))
-            asked = np.array([xxhash.xxh64_intdigest(p, 42) for p in flat], np.uint64).view(np.int64)
-            at = np.minimum(np.searchsorted(hashes, asked), max(0, len(hashes) - 1))
-            there = hashes[at] == asked if len(hashes) else np.zeros(len(asked), bool)
-            worth = np.bincount(of[there], numbers[at[there]], len(distinct)) if len(distinct) else np.zeros(0)
+            numbers = np.array([table.get(p, 0) for p in flat], np.int64)  # a pre-token has one token at least
+            there = numbers > 0
+            worth = np.bincount(of, numbers, len(distinct)) if len(distinct) else np.zeros(0)
             total = np.r_[0, np.cumsum(worth[codes])][np.r_[0, ends]]
             known = np.diff(total).astype(np.int64) + np.array(special)
             lacking: dict[int, list[str]] = {}
@@ -167,8 +160,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_colu
     whole, each in a slice of its own; repeated rows are counted each; texts
     with ``limit`` tokens are not over it; other columns are not read, so their
     names can't clash. The tokenizer's file is read by the driver only. Of the
-    distinct pre-tokens ``sent`` at most, told by 64-bit hashes, are sent to the
-    documents; the rest are joined by themselves.
+    distinct pre-tokens the ``sent`` most frequent at most are sent to the
+    documents; the rest are joined, at every size of the corpus.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         rules = file.read()
