@@ -869,4 +869,4 @@ def worst_retrieval(spark, sf_dir):
     return E.worst_retrieval(retrieval_statuses(spark, sf_dir).withColumn("statement_id", F.expr("claim_id div 3")))
 
 
-from factloom import more_queries  # noqa: E402,F401  registers the rest
+from factloom import corpus_queries, more_queries  # noqa: E402,F401  they register the rest
