@@ -2,10 +2,10 @@
 
 Pre-tokens are counted over all texts first, and each distinct one is encoded
 once. Its number of pieces is then joined to its frequency in every document
-and summed. A small table of the most frequent ones, the same number at every
-size, is sent to the documents, so that no pre-token left is a hot key: of all
-that is counted, each has one part in that number at most. Rows of the others
-are shuffled to their counts. Both ways compare the strings themselves.
+and summed. A table of the most frequent ones, of a fixed size at most, is sent
+to the documents, so that no pre-token left is a hot key; rows of all others are
+shuffled to their counts, at every size of the corpus. Both ways compare the
+strings themselves.
 
 Texts are cut into units first, runs of characters after a run of spaces and
 line feeds. No pre-token reaches over such a cut, and units repeat, so the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from itertools import chain
 
@@ -28,8 +29,8 @@ from factloom.llm.common import cut, slices
 
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens at most in the table that is sent to the documents.
-SENT = 1 << 16
+#: Of the distinct pre-tokens, the most frequent one in SHARE is in the table that is sent to the documents, SENT at most.
+SENT, SHARE = 1 << 17, 16
 UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Where a cut would part a run of white space.
 ODD = re.compile(r"[^\S \n][ \n]")
@@ -99,10 +100,11 @@ def encoded(pieces: DataFrame, rules: str) -> DataFrame:
 
 
 def most_frequent(pieces: DataFrame, most: int) -> dict[str, int]:
-    """The most frequent pieces, ``most`` at most, with their numbers of tokens: all with a frequency above some bound."""
+    """The most frequent pieces, one in SHARE and ``most`` at most, with their numbers of tokens: all with a frequency above some bound."""
     bucket = F.floor(F.log2("times") * 8)  # a few hundred, whatever the data
     sizes = sorted(pieces.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
     held, least = 0, None
+    most = min(most, sum(n for _, n in sizes) // SHARE)
     for b, n in sizes:
         held += n
         if held > most:
@@ -112,7 +114,7 @@ def most_frequent(pieces: DataFrame, most: int) -> dict[str, int]:
 
 
 def summed(rows: DataFrame, table: dict[str, int], rules: str) -> DataFrame:
-    """A row for each of ``rows`` (id, key, text): id, key, n_bytes, known (tokens of special strings and of pre-tokens in ``table``), and rest, the pre-tokens that aren't there with how often the text has them; of a task's copies the first has the rest."""
+    """A row for each of ``rows`` (id, key, text): id, key, n_bytes, known (tokens of special strings and of pre-tokens in ``table``), and rest, the pre-tokens that aren't there with how often the text has them, packed; of a task's copies the first has the rest."""
 
     def run(batches):
         cutter = Cutter(rules)
@@ -134,7 +136,7 @@ def summed(rows: DataFrame, table: dict[str, int], rules: str) -> DataFrame:
             lacking: dict[int, list[str]] = {}
             for i in np.flatnonzero(~there).tolist():
                 lacking.setdefault(int(of[i]), []).append(flat[i])
-            rest: list[list | None] = [None] * len(texts)
+            rest: list[bytes | None] = [None] * len(texts)
             if lacking:
                 keys = batch.column("key").to_pylist()
                 places = np.flatnonzero(np.isin(codes, list(lacking)))
@@ -144,13 +146,27 @@ def summed(rows: DataFrame, table: dict[str, int], rules: str) -> DataFrame:
                 for row, counts in by_text.items():
                     if keys[row] not in seen:
                         seen.add(keys[row])
-                        rest[row] = [{"piece": p, "of": n} for p, n in counts.items()]
+                        rest[row] = zlib.compress(json.dumps(counts).encode(), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(known), pa.array(rest, pa.list_(pa.struct([("piece", pa.string()), ("of", pa.int64())])))],
+                [batch.column("id"), batch.column("key"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(known), pa.array(rest, pa.binary())],
                 names=["id", "key", "n_bytes", "known", "rest"],
             )
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key long, n_bytes long, known long, rest array<struct<piece:string,of:long>>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key long, n_bytes long, known long, rest binary")
+
+
+def unpacked(rest: DataFrame) -> DataFrame:
+    """(key, piece, of) of rows (key, rest)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                counts = [json.loads(zlib.decompress(x)) for x in part.column("rest").to_pylist()]
+                keys = np.repeat(part.column("key").to_numpy(), [len(c) for c in counts])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(chain.from_iterable(counts), pa.string()), pa.array(chain.from_iterable(c.values() for c in counts), pa.int64())], names=["key", "piece", "of"])
+
+    return rest.mapInArrow(run, "key long, piece string, of long")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text", sent: int = SENT) -> DataFrame:
@@ -168,7 +184,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_colu
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("key", F.xxhash64("text"))
     pieces = cut(encoded(frequencies(rows, rules), rules))
     found = cut(summed(rows, most_frequent(pieces, sent), rules))
-    every, rest = found.select("id", "key", "n_bytes", "known"), found.filter("rest is not null").select("key", F.explode("rest").alias("one")).select("key", "one.*").distinct()
+    every, rest = found.select("id", "key", "n_bytes", "known"), unpacked(found.filter("rest is not null").select("key", "rest").dropDuplicates(["key"]))
     more = rest.join(pieces.select("piece", "n"), "piece").groupBy("key").agg(F.sum(F.col("of") * F.col("n")).alias("more"))
     n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
     return every.join(more, "key", "left").select(F.col("id").alias(id_column), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
