@@ -30,7 +30,7 @@ from factloom.llm.common import cut, slices
 #: Fixed value: the published pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Of the distinct pre-tokens, the most frequent one in SHARE is in the table that is sent to the documents, SENT at most.
-SENT, SHARE = 1 << 17, 16
+SENT, SHARE = 1 << 18, 8
 UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Where a cut would part a run of white space.
 ODD = re.compile(r"[^\S \n][ \n]")
