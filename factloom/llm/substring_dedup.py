@@ -2,14 +2,18 @@
 
 Two equal windows pick the same anchor, the run of ANCHOR words with the least
 hash in them, so what can match meets at an anchor. Around each anchor that
-occurs twice or more lies a segment of the windows that picked it. A segment
-that occurs twice as a whole is repeated as a whole. Where an anchor has other
-segments besides, all its distinct segments are dealt by anchor into shards; a
-shard is indexed once (suffix array, Burrows-Wheeler transform, wavelet matrix
-of packed digits with sampled ranks and popcounts), and the segments that
-occur once are streamed against the index: backward search gives matching
-statistics, and every stretch of at least WINDOW words with two occurrences or
-more is reported as an interval.
+occurs twice or more lies a segment of the windows that picked it. Segments of
+one anchor and hash, 128 bits together, are a class; one occurrence of each class, and a second one where there
+is one, are dealt by anchor into shards. A shard is indexed once (suffix array,
+Burrows-Wheeler transform, wavelet matrix of packed digits with sampled ranks and
+popcounts), and a segment of each class is streamed against the index: backward
+search gives matching statistics, and every stretch of at least WINDOW words with
+two occurrences or more is reported as an interval, for all members of the class.
+So hashes only rule out; that a stretch repeats is told by its words.
+
+An anchor with very many classes is dealt by the words beside it as well: a
+window has so many words before or after its anchor, so two equal ones meet with
+those of one side.
 
 An anchor's first word is a symbol of its own in the index, so an occurrence is
 found in the segment of its own anchor only and none is counted twice.
@@ -203,8 +207,8 @@ def repeated(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
     return out[:, 0], out[:, 1], out[:, 2]
 
 
-def search_shard(segments: pa.Array, places: np.ndarray, weight: np.ndarray, anchor_ids: np.ndarray, window: int, anchor: int):
-    """(segment, first, end) for those of one shard's segments that occur once, given each anchor's place and number from 0."""
+def search_shard(segments: pa.Array, places: np.ndarray, weight: np.ndarray, anchor_ids: np.ndarray, ask: np.ndarray, window: int, anchor: int):
+    """(segment, first, end) for those of one shard's segments that are asked for, given each anchor's place and number from 0."""
     offsets, codes, distinct = words_of(segments)
     lengths = np.diff(offsets)
     owner = np.repeat(np.arange(len(lengths)), lengths + 1)
@@ -216,7 +220,7 @@ def search_shard(segments: pa.Array, places: np.ndarray, weight: np.ndarray, anc
     text[start + places] = len(distinct) + 1 + anchor_ids
     size = int(len(distinct) + 2 + anchor_ids.max())
     index = FMIndex(text, owner, weight, size, max(PROBE, int(lengths.max()) + 1))
-    return repeated(index, text, start, lengths, places, weight < 2, anchor, window)
+    return repeated(index, text, start, lengths, places, ask, anchor, window)
 
 
 def row_key():
@@ -242,90 +246,95 @@ def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """The rows of anchors that occur twice or more, with: whole (the segment is known to occur twice) and open (the anchor's segments have to be searched).
+    """The rows of anchors that occur twice or more.
 
-    Reads each partition, sorted by anchor and segment, as a stream. Of an
-    anchor with very many rows all are open, and none is known to be whole.
+    Reads each partition, sorted by anchor, as a stream; an anchor with very
+    many rows is passed on as it comes.
     """
 
     def run(batches):
         names = ["anchor", "segment", "key", "spot"]
         for piece, columns in whole_groups(batches, names, GATHERED):
-            a, s = columns[:2]
-            if piece:
-                whole, open_, kept = np.zeros(len(a), bool), np.ones(len(a), bool), np.ones(len(a), bool)
-            else:
-                new_anchor = np.r_[True, a[1:] != a[:-1]]
-                new_segment = new_anchor | np.r_[True, s[1:] != s[:-1]]
-                segment, number = np.cumsum(new_segment) - 1, np.cumsum(new_anchor) - 1
-                weight = np.bincount(segment)
-                of_segment = number[new_segment]  # the anchor of each segment
-                kinds, lightest = np.bincount(of_segment), np.minimum.reduceat(weight, np.flatnonzero(np.r_[True, of_segment[1:] != of_segment[:-1]]))
-                whole = (weight > 1)[segment]
-                open_ = ((kinds > 1) & (lightest == 1))[number]
-                kept = whole | open_
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in columns), pa.array(whole[kept]), pa.array(open_[kept])], names=[*names, "whole", "open"])
-
-    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    return dealt.mapInArrow(run, "anchor long, segment long, key long, spot long, whole boolean, open boolean")
-
-
-def segment_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, segment, weight, key, at, place, words) of the ``wanted`` segments (key, spots: array of spot, anchor, segment, weight)."""
+            a = columns[0]
+            same = a[1:] == a[:-1]
+            kept = np.ones(len(a), bool) if piece else np.r_[False, same] | np.r_[same, False]
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in columns], names=names)
+
+    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, segment long, key long, spot long")
+
+
+def segment_texts(rows: DataFrame, wanted: DataFrame, anchor: int, beside: int) -> DataFrame:
+    """(deal, anchor, segment, copy, weight, place, words) of the ``wanted`` segments (key, spots: array of spot, anchor, segment, copy, weight, hot).
+
+    ``deal`` is the anchor; with ``hot`` there is a row for the ``beside`` words
+    after the anchor and one for those before it, as far as the segment has them.
+    """
 
     def run(batches):
         mask = (1 << SPOT_BITS) - 1
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], [], []]
-            for key, text, spots in zip(*(batch.column(k).to_pylist() for k in ("key", "text", "spots")), strict=True):
+            for text, spots in zip(*(batch.column(k).to_pylist() for k in ("text", "spots")), strict=True):
                 words = (text or "").encode().split()
                 for x in spots:
                     at, place, length = x["spot"] >> 2 * SPOT_BITS, x["spot"] >> SPOT_BITS & mask, x["spot"] & mask
-                    for column, value in zip(out, (x["anchor"], x["segment"], x["weight"], key, at, place, b" ".join(words[at - place : at - place + length])), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["anchor", "segment", "weight", "key", "at", "place", "words"])
+                    own = words[at - place : at - place + length]
+                    sides = [own[place + anchor : place + anchor + beside], own[max(0, place - beside) : place]] if x["hot"] else []
+                    deals = [hash_words(pa.array([b" ".join(side)]), x["anchor"] & 0xFFFFFFFF)[0].view(np.int64) for side in sides if len(side) == beside] if x["hot"] else [x["anchor"]]
+                    for deal in deals:
+                        for column, value in zip(out, (deal, x["anchor"], x["segment"], x["copy"], x["weight"], place, b" ".join(own)), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["deal", "anchor", "segment", "copy", "weight", "place", "words"])
 
-    found = asked_for(rows.select("key", "text"), wanted).join(wanted, "key").select("key", "spots", "text")
-    return found.mapInArrow(run, "anchor long, segment long, weight int, key long, at long, place int, words binary")
+    found = asked_for(rows.select("key", "text"), wanted).join(wanted, "key").select("spots", "text")
+    return found.mapInArrow(run, "deal long, anchor long, segment long, copy int, weight int, place int, words binary")
 
 
 def shard_spans(segments: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, first, end): stretches of words that occur twice or more, in segments that occur once."""
+    """(anchor, segment, first, end): stretches of a class's words that occur twice or more, from the begin of the segment."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         shard = pa.Table.from_batches(parts)
-        # A row that stands twice in the table gives its segments twice.
-        shard = shard.take(pa.array(np.unique(shard["segment"].to_numpy(), return_index=True)[1])).combine_chunks()
-        places, at, key = (shard[k].to_numpy().astype(np.int64) for k in ("place", "at", "key"))
-        ids = np.unique(shard["anchor"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        # A row that stands twice in the table gives its segments twice, and a hot anchor's come from both sides.
+        names = [shard[c].to_numpy() for c in ("copy", "segment", "anchor")]
+        order = np.lexsort(names)
+        new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in names], axis=0)]
+        shard = shard.take(pa.array(order[new])).combine_chunks()
+        places, segment, anchors_of = shard["place"].to_numpy().astype(np.int64), shard["segment"].to_numpy(), shard["anchor"].to_numpy()
+        ids = np.unique(anchors_of, return_inverse=True)[1].astype(np.int64)
         words = shard["words"].combine_chunks().cast(pa.string())
-        which, first, end = search_shard(words, places, shard["weight"].to_numpy(), ids, window, anchor)
-        begin = (at - places)[which]
-        yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(begin + first), pa.array(begin + end)], names=["key", "first", "end"])
+        which, first, end = search_shard(words, places, shard["weight"].to_numpy(), ids, shard["copy"].to_numpy() == 0, window, anchor)
+        yield pa.RecordBatch.from_arrays([pa.array(anchors_of[which]), pa.array(segment[which]), pa.array(first), pa.array(end)], names=["anchor", "segment", "first", "end"])
         del parts, shard, words, which, first, end
         release()
 
-    return segments.mapInArrow(run, "key long, first long, end long")
+    return segments.mapInArrow(run, "anchor long, segment long, first long, end long")
 
 
 def repeats(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(key, spans: array of first and end word) for rows (key, text) with repeated stretches."""
     found = cut(repeated_anchors(anchor_rows(rows, window, anchor)))
-    weighed = found.filter("open").groupBy("segment").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "spot", "anchor")).alias("one"))
-    one = F.struct(F.col("one.spot").alias("spot"), F.col("one.anchor").alias("anchor"), "segment", F.least("weight", F.lit(2)).cast("int").alias("weight"))
-    wanted = cut(weighed.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(one).alias("spots")))
-    total = wanted.agg(F.sum(F.size("spots"))).first()[0] or 0
+    one = F.struct("key", "spot")
+    classes = found.groupBy("anchor", "segment").agg(F.min(one).alias("one"), F.max(one).alias("two"), F.count(F.lit(1)).alias("n"))
+    # Of a class's two occurrences both are read; one row that stands twice is one text that weighs two.
+    alone = F.col("one") == F.col("two")
+    both = F.when(alone, F.array(F.struct(F.lit(0).alias("copy"), F.col("one").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), F.col("one").alias("at")), F.struct(F.lit(1).alias("copy"), F.col("two").alias("at"))))
+    weight = F.when(alone & (F.col("n") > 1), 2).otherwise(1)
+    spots = cut(classes.select("anchor", "segment", weight.alias("weight"), F.explode(both).alias("x")).select("anchor", "segment", "weight", "x.copy", "x.at.*"))
+    total = spots.count()
+    hot = spots.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
+    marked = spots.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = cut(marked.groupBy("key").agg(F.collect_list(F.struct("spot", "anchor", "segment", "copy", "weight", "hot")).alias("spots")))
     shards = max(1, -(-total // SHARD_SEGMENTS))
-    searched = shard_spans(segment_texts(rows, wanted).repartition(shards, "anchor"), window, anchor)
-    first = F.shiftright("spot", 2 * SPOT_BITS) - F.shiftright("spot", SPOT_BITS).bitwiseAND((1 << SPOT_BITS) - 1)
-    span = lambda r: r.select("key", first.alias("first"), (first + F.col("spot").bitwiseAND((1 << SPOT_BITS) - 1)).alias("end"))
-    # Of anchors with very many rows, those that are repeated as a whole are known by now.
-    late = found.filter("open and not whole").join(weighed.filter("weight > 1").select("segment"), "segment")
-    return span(found.filter("whole")).unionByName(span(late)).unionByName(searched).groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    texts = segment_texts(rows, wanted, anchor, (window - anchor + 1) // 2)
+    judged = shard_spans(texts.repartition(shards, "deal"), window, anchor).groupBy("anchor", "segment").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    begin = F.shiftright("spot", 2 * SPOT_BITS) - F.shiftright("spot", SPOT_BITS).bitwiseAND((1 << SPOT_BITS) - 1)
+    members = found.join(cut(judged), ["anchor", "segment"]).select("key", begin.alias("begin"), F.explode("spans").alias("x"))
+    return members.groupBy("key").agg(F.collect_list(F.struct((F.col("begin") + F.col("x.first")).alias("first"), (F.col("begin") + F.col("x.end")).alias("end"))).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

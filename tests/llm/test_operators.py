@@ -384,6 +384,38 @@ def test_substring_dedup_long_windows_and_hot_anchors(spark, monkeypatch, gather
         substring_dedup.substring_dedup(table, 40_000)
 
 
+def test_substring_dedup_hot_anchors_by_the_words_beside(spark, monkeypatch):
+    """Anchors with more classes than a shard takes are dealt by their neighbours, and lose nothing by it."""
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", 3)
+    passage, left, right = prose(8, 60), [prose(27, 61 + i) for i in range(4)], [prose(27, 71 + i) for i in range(4)]
+    r = random.Random(9)
+    texts = []
+    for _ in range(80):
+        a, b, k = r.choice(left).split(), r.choice(right).split(), r.randrange(28)
+        texts.append(" ".join([*prose(9, r.randrange(10**6)).split(), *a[27 - k :], *passage.split(), *b[: 27 - k], *prose(9, r.randrange(10**6)).split()]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for window in (35, 20, 9):
+        got = sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in substring_dedup.substring_dedup(table, window).collect())
+        assert got == [(i, *x) for i, x in enumerate(removed_by_force(texts, window))]
+
+
+def test_substring_dedup_is_judged_by_the_index(spark, docs, monkeypatch):
+    """Without the index's reports nothing is removed, and hashes that say too much don't remove a word."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = sorted(x[1] for x in removed_by_force([t for _, t in rows], 35))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nothing = np.empty(0, np.int64)
+    monkeypatch.setattr(substring_dedup, "repeated", lambda *_: (nothing, nothing, nothing))
+    assert substring_dedup.substring_dedup(table).agg(F.sum("n_removed")).first()[0] == 0 < sum(want)
+    monkeypatch.undo()
+    # Two different segments under one anchor and hash: read as two occurrences, found to differ.
+    a, b, passage = prose(30, 1), prose(30, 2), prose(8, 3)
+    monkeypatch.setattr(substring_dedup, "segment_hashes", lambda hashes, start, end, at: np.ones(len(start), np.uint64))
+    monkeypatch.setattr(substring_dedup, "anchors", lambda offsets, hashes, window, anchor: (np.array([0, 38]), np.ones(2, np.uint64), np.array([0, 38]), np.array([38, 76])))
+    two = spark.createDataFrame([(1, f"{passage} {a}"), (2, f"{passage} {b}")], "doc_id long, text string").coalesce(1)
+    assert [r.n_removed for r in substring_dedup.substring_dedup(two).collect()] == [0, 0]
+
+
 def test_wavelet_matrix_ranks():
     r = np.random.default_rng(0)
     symbols = r.integers(0, 37, 1000)
