@@ -261,9 +261,11 @@ def opposites(event_list: Column) -> Column:
 
 def surface_forms(text: Column) -> Column:
     """Surface forms by their first place, without a form that is part of an earlier one."""
-    forms = dict.fromkeys(f for fs in L.EVENT_SURFACES.values() for f in fs)
-    place = lambda low, f: F.when(low.contains(f), F.regexp_instr(low, F.lit(whole(f)))).otherwise(0)
-    found = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_sort(F.filter(F.array(*(F.struct(place(low, f).alias("at"), F.lit(f).alias("form")) for f in forms)), lambda s: s["at"] > 0)))
+    forms = list(dict.fromkeys(f for fs in L.EVENT_SURFACES.values() for f in fs))
+    place = lambda low, f: F.regexp_instr(low, F.concat(F.lit(r"(?<![a-z])\Q"), f, F.lit(r"\E(?![a-z])")))
+    # Few forms occur at all: only those are looked for with their bounds.
+    there = lambda low: F.filter(words(forms), lambda f: low.contains(f))
+    found = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_sort(F.filter(F.transform(there(low), lambda f: F.struct(place(low, f).alias("at"), f.alias("form"))), lambda s: s["at"] > 0)))
     return F.aggregate(F.transform(found, lambda s: s["form"]), F.array().cast("array<string>"), lambda kept, f: F.when(F.exists(kept, lambda k: k.contains(f) & (k != f)), kept).otherwise(F.concat(kept, F.array(f))))
 
 
