@@ -50,8 +50,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.reshard(table(spark, sf_dir, "documents"), carry=("text", "lang", "source", "n_chars"))
-    written = sharding.rewritten(placed, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    placed, touched = sharding.resharded(table(spark, sf_dir, "documents"), carry=("text", "lang", "source", "n_chars"))
+    written = sharding.rewritten(placed, touched, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
     return written.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

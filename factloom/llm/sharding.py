@@ -161,6 +161,11 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, ca
     any name that does not begin with two underscores. ``docs`` is read anew for
     them, so it has to give the same rows each time.
     """
+    return resharded(docs, shards, old, carry)[0]
+
+
+def resharded(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[int]]:
+    """What ``reshard`` gives, and the numbers of the shards, old and new, that rows leave or come to, as the flow's blocks name them."""
     text = F.coalesce("text", F.lit(""))
     results = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "moved", "old_shard")
     carry = tuple(c for c in carry if c not in results)
@@ -192,30 +197,29 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, ca
     going = first.join(F.broadcast(p), F.expr("__old = __from and __rank >= __low and __rank < __high"), "left").withColumn("__shard", F.coalesce("__to", "__old"))
     kept = ["__id", "__size", "__crc", "__old", "__held"]
     placed = marked.filter("__edge is null or __size > __edge").select(*kept, F.col("__old").alias("__shard")).unionByName(going.select(*kept, "__shard"))
-    return ranked(placed, ["__shard"], order, "__slot", max(1, -(-total // (shards * FILE_ROWS)))).select(
+    touched = sorted({x for s, _, _, j in blocks if s != j for x in (s, j)})
+    out = ranked(placed, ["__shard"], order, "__slot", max(1, -(-total // (shards * FILE_ROWS)))).select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), (F.col("__shard") != F.col("__old")).alias("moved"), F.col("__old").alias("old_shard"), *(F.col("__held")[c].alias(c) for c in carry),
     )
+    return out, touched
 
 
-def rewrite(sharded: DataFrame, path: str) -> list[int]:
-    """Writes the shards that lost or got rows, as ``path``/shard=N, and returns their numbers; files of others stay.
+def rewrite(sharded: DataFrame, touched: list[int], path: str) -> None:
+    """Writes the shards that lost or got rows, as ``path``/shard=N; files of others stay.
 
     Rows are written as ``reshard`` has dealt them, a file for FILE_ROWS rows of
-    a shard or so, without another shuffle.
+    a shard or so, without another shuffle, and their plan runs once.
     """
-    touched = sharded.filter("moved").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    numbers = sorted(r[0] for r in touched.collect())  # shard numbers
-    rows = sharded.filter(F.col("shard").isin(numbers)).drop("moved", "old_shard")
+    rows = sharded.filter(F.col("shard").isin(touched)).drop("moved", "old_shard")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return numbers
 
 
-def rewritten(sharded: DataFrame, path: str) -> DataFrame:
+def rewritten(sharded: DataFrame, touched: list[int], path: str, shards: int = SHARDS) -> DataFrame:
     """``sharded`` with the rows of rewritten shards read back from their new files; ``moved`` and ``old_shard`` are left out."""
-    numbers = rewrite(sharded, path)
-    stayed = sharded.filter(~F.col("shard").isin(numbers)).drop("moved", "old_shard")
-    if not numbers:
+    stayed = sharded.filter(~F.col("shard").isin(touched)).drop("moved", "old_shard")
+    if not touched:
         return stayed
-    files = sharded.sparkSession.read.schema(stayed.schema).parquet(path).filter(F.col("shard").isin(numbers))
-    return stayed.unionByName(files.select(stayed.columns))
+    rewrite(sharded, touched, path)
+    files = sharded.sparkSession.read.schema(stayed.schema).parquet(path).filter(F.col("shard").isin(touched)).select(stayed.columns)
+    return files if set(touched) >= set(range(shards)) else stayed.unionByName(files)

@@ -496,11 +496,12 @@ def test_transfers_move_the_fewest_bytes():
 
 def test_rewrite_only_touched_shards(spark, tmp_path):
     table = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
-    sharded = sharding.reshard(table, shards=4, old=F.lit(0))
-    numbers = sharding.rewrite(sharded, str(tmp_path / "out"))
-    assert numbers == [0, 1, 2, 3] and spark.read.parquet(str(tmp_path / "out")).count() == 200
-    uneven = sharding.reshard(table, shards=3, old=F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 167, 1).otherwise(2), carry=("text",))
-    back = sharding.rewritten(uneven, str(tmp_path / "two")).collect()
+    sharded, numbers = sharding.resharded(table, shards=4, old=F.lit(0))
+    sharding.rewrite(sharded, numbers, str(tmp_path / "out"))
+    assert numbers == [0, 1, 2, 3] and sorted({x for r in sharded.filter("moved").collect() for x in (r.shard, r.old_shard)}) == numbers and spark.read.parquet(str(tmp_path / "out")).count() == 200
+    uneven, moved = sharding.resharded(table, shards=3, old=F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 167, 1).otherwise(2), carry=("text",))
+    assert moved == [0, 2]
+    back = sharding.rewritten(uneven, moved, str(tmp_path / "two"), 3).collect()
     assert sorted((r.doc_id, r.text) for r in back) == [(i, f"t{i}") for i in range(200)]
     assert sorted(p.name for p in (tmp_path / "two").iterdir() if p.is_dir()) == ["shard=0", "shard=2"]
     for s in range(3):
