@@ -535,14 +535,14 @@ REQUESTS = ("o_orderkey as k", "case o_orderkey % 6 when 0 then 'gnews' when 1 t
 
 @register(f"""
 with r as (select {", ".join(REQUESTS)} from orders)
-select k, case when provider = 'google_news' and days is not null then query || ' when:' || days || 'd' else query end asked, case when provider in ('gnews', 'guardian', 'newsapi') and days is not null then strftime(date '2024-06-01' - days, '%Y-%m-%d') end since,
-  case when provider = 'newsapi' then case when days is null then 'relevancy' else 'publishedAt' end end sort, 'rates rise ' || k as plain from r
+select k, case when provider = 'google_news' and days is not null then query || ' when:' || days || 'd' else query end asked, case when provider = 'gnews' and days is not null then strftime(date '2024-06-01' - days, '%Y-%m-%dT00:00:00Z') when provider in ('guardian', 'newsapi') and days is not null then strftime(date '2024-06-01' - days, '%Y-%m-%d') end since,
+  case when provider = 'newsapi' then case when days is null then 'relevancy' else 'publishedAt' end when provider = 'gnews' and days is not null then 'publishedAt' end sort, 'rates rise ' || k as plain from r
 """)
 def provider_requests(spark, sf_dir):
     from factloom.sources import payloads
 
     rows = table(spark, sf_dir, "orders").selectExpr(*REQUESTS).withColumn("r", S.request(F.col("provider"), F.col("query"), F.col("days"), F.lit("2024-06-01").cast("date")))
-    return rows.select("k", F.col("r.query").alias("asked"), F.col("r.since").cast("string").alias("since"), "r.sort", payloads.plain_query(F.col("query")).alias("plain"))
+    return rows.select("k", F.col("r.query").alias("asked"), "r.since", "r.sort", payloads.plain_query(F.col("query")).alias("plain"))
 
 
 def sentences(text: str) -> str:

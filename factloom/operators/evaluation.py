@@ -82,41 +82,46 @@ def calibration_error(scores: DataFrame, bins: int = 10) -> DataFrame:
     return rows.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
 
-def resampled(cells: DataFrame, values: dict[str, Column], repeats: int, seed: int) -> DataFrame:
-    """rep and, by name, the mean of each of ``values`` (sums of a cell's rows, n of them) over resamples.
+def resampled(values: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """rep, n and mean of ``value`` over resamples of the rows of ``values`` (value, few distinct ones), as many rows in each as there are.
 
-    A cell, with all of its rows, stands in a resample a Poisson number of
-    times, drawn from a hash of cell and repeat: one draw for a cell.
+    A resample draws every row anew, each with the same chance, so its counts
+    of the distinct values are multinomial; they are split off one after the
+    other by binomial draws, which add up to the number of rows. A repeat's
+    draws hang on its number and the seed, not on partitions.
     """
-    draws = cells.crossJoin(F.broadcast(cells.sparkSession.range(repeats).withColumnRenamed("id", "rep")))
-    u = (F.pmod(F.xxhash64("cell", "rep", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    times, total, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(8):
-        total += term
-        times = times + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    rows = draws.withColumn("times", times).groupBy("rep")
-    return rows.agg(*(F.try_divide(F.sum(v * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias(name) for name, v in values.items()))
+    import pandas as pd
 
+    counts = sorted((r["value"], r["n"]) for r in values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("value is not null").collect())  # two or three rows
+    size = sum(n for _, n in counts)
 
-def cell() -> Column:
-    """Rows are pooled by a hash of doc_id into 256 cells before they are resampled."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("cell")
+    def run(batches):
+        for batch in batches:
+            means = []
+            for rep in batch["rep"]:
+                draw, left, rows, total = np.random.default_rng([seed, int(rep)]), size, size, 0
+                for value, n in counts:
+                    times = int(draw.binomial(left, n / rows)) if n < rows else left
+                    left, rows, total = left - times, rows - n, total + value * times
+                means.append(total / size if size else None)
+            yield pd.DataFrame({"rep": batch["rep"], "n": size, "mean": pd.array(means, dtype="Float64")})
+
+    reps = values.sparkSession.range(repeats).withColumnRenamed("id", "rep")
+    return reps.mapInPandas(run, "rep long, n long, mean double")
 
 
 def bootstrap(scores: DataFrame, threshold: float = 0.5, repeats: int = 2000, seed: int = 7) -> DataFrame:
-    """Low and high ends of a 95 % interval of accuracy, by resampling."""
+    """Low and high ends of a 95 % interval of accuracy, by resampling rows."""
     right = ((F.col("p") >= threshold) == (F.col("y") == 1)).cast("long")
-    cells = scores.groupBy(cell()).agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"))
-    return resampled(cells, {"accuracy": F.col("right")}, repeats, seed).agg(F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
+    return resampled(scores.select(right.alias("value")), repeats, seed).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 
 def paired_bootstrap(both: DataFrame, threshold: float = 0.5, repeats: int = 2000, seed: int = 7) -> DataFrame:
-    """The gain in accuracy of the scores q, cut at ``threshold``, over the scores p, cut at 0.5 (doc_id, y, p, q), and its interval: both are resampled alike."""
+    """The gain in accuracy of the scores q, cut at ``threshold``, over the scores p, cut at 0.5 (doc_id, y, p, q), and its interval: a row is drawn with both."""
     ok = lambda c, cutoff: ((F.col(c) >= cutoff) == (F.col("y") == 1)).cast("long")
-    cells = both.groupBy(cell()).agg(F.count(F.lit(1)).alias("n"), F.sum(ok("q", threshold) - ok("p", 0.5)).alias("gain"))
-    ends = resampled(cells, {"gain": F.col("gain")}, repeats, seed).agg(F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"))
-    return cells.agg(F.try_divide(F.sum("gain"), F.sum("n")).alias("gain")).crossJoin(ends)
+    gains = both.select((ok("q", threshold) - ok("p", 0.5)).alias("value"))
+    ends = resampled(gains, repeats, seed).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    return gains.agg(F.try_divide(F.sum("value"), F.count("value")).alias("gain")).crossJoin(ends)
 
 
 def folds(rows: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
