@@ -20,8 +20,10 @@ from factloom.operators.search import opposite_meanings, title_key
 from factloom.sources.checkpoints import cut
 
 LEAST_TOKENS, PERCENT = 6, 85
-#: Width of the table of token counts that orders tokens; rounds by the earliest title of each bucket.
-WIDTH, ROUNDS = 1 << 16, 3
+#: Width of the table of token counts that orders tokens.
+WIDTH = 1 << 16
+#: Rounds by the earliest title of each bucket at most; they end before when one settles less than one in SETTLED of what is open.
+ROUNDS, SETTLED = 16, 8
 
 
 def bucket_of(token: Column) -> Column:
@@ -98,12 +100,15 @@ def distinct_titles(rows: DataFrame, group: str | None = None, order: tuple[str,
     items = cut(one.select("group", "one.*").withColumn("id", F.monotonically_increasing_id()).withColumn("tokens", F.array_distinct(F.split("key", " "))))
     long = items.filter(F.size("tokens") >= least_tokens).select("id", "group", "place", "tokens")
     entries = cut(exploded(rare_tokens(long, percent), ["id", "group", "place", "tokens"], F.col("prefix"), "token"))
-    kept = []
+    kept, left = [], entries.count()
     for _ in range(ROUNDS):
-        if entries.isEmpty():
+        if not left:
             break
         stays, entries = settled_by_earliest(entries, percent)
         kept.append(stays)
+        before, left = left, entries.count()
+        if (before - left) * SETTLED < before:
+            break
     kept.append(settled_by_rivals(entries, percent))
     ids = kept[0]
     for more in kept[1:]:

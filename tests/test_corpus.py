@@ -61,7 +61,7 @@ def results(seed, n, groups, base_titles):
 SCHEMA = "claim_id long, job_order int, ord int, url string, title string"
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
+@pytest.mark.parametrize("rounds", [0, 16])
 def test_distinct_titles_against_the_fold(spark, monkeypatch, rounds):
     """A hot group, chains in which a near-copy of a dropped title stays, opposite titles; by pairs alone and with rounds."""
     monkeypatch.setattr(titles, "ROUNDS", rounds)
