@@ -136,7 +136,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, owner: np.ndarray, weight: np.ndarray, size: int, depth: int):
         n = len(text)
         last = np.searchsorted(owner, owner, "right") - 1  # the place of each segment's 0
-        rank, width = text.astype(np.int64), 1
+        rank, width, classes = text.astype(np.int64), 1, 0
         order = np.argsort(rank, kind="stable")
         while width < depth:
             ahead = np.arange(n) + width
@@ -148,6 +148,10 @@ class FMIndex:
             width *= 2
             if width == PROBE:  # the suffixes' classes by their first PROBE words
                 self.probe = (np.bincount(rank, weight[owner])[rank] >= 2) | (np.arange(n) + PROBE > last)
+            before, classes = classes, int(rank[order[-1]])
+            if width >= PROBE and classes == before:  # what is equal so far is equal to the end
+                order = np.argsort(rank, kind="stable")
+                break
         self.first = np.searchsorted(text[order], np.arange(size + 2))  # of each symbol among the suffixes
         previous = np.where((order > 0) & (owner[order - 1] == owner[order]), text[order - 1], 0)
         self.matrix = WaveletMatrix(previous, size)
