@@ -7,6 +7,7 @@ import re
 import pytest
 
 from factloom.functions import lexicon as L
+from factloom.functions import quantities as Q
 from factloom.operators import retrieval, titles
 from factloom.operators import search as S
 
@@ -129,3 +130,20 @@ def test_corpus_top_skips_common_words(spark, monkeypatch):
     assert {x.word for x in asked[1].collect()} == {f"w{i}" for i in range(5)}
 
 
+
+
+def test_agreeing_documents_against_all_pairs(spark):
+    """Values at the ends of bands, zero, signs, kinds and words, against a comparison of all pairs."""
+    r = random.Random(7)
+    number = lambda: r.choice(["0", "1", "98", "100", "102", "102.05", "5,000", "4,900", "4,899", "2 million", "1,960,000", f"{r.uniform(1, 9):.3f}", str(r.randrange(1, 200))])
+    say = lambda: " and ".join(f"{r.choice(['rates', 'prices', 'exports', 'growth'])} reached {r.choice(['', '$'])}{number()}{r.choice([' percent', '', ' tonnes'])} {r.choice(['output', 'margin'])}" for _ in range(r.randint(1, 3)))
+    claims, docs = [(i, say()) for i in range(40)] + [(90, None), (None, say())], [(i, say()) for i in range(80)] + [(90, ""), (None, say())]
+    got = Q.agreeing_documents(spark.createDataFrame(claims, "claim_id long, claim string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {}
+    for c, text in claims:
+        for value, kind, words, said in Q.find_quantities(text) if c is not None else []:
+            for d, other in docs:
+                for v, k, w, s in Q.find_quantities(other) if d is not None else []:
+                    if kind == k and set(words) & set(w) and abs(value - v) <= Q.TOLERANCE * max(abs(value), abs(v)):
+                        want[c, said, d] = min(s, want.get((c, said, d), s))
+    assert sorted(tuple(x) for x in got.collect()) == sorted((*k, v) for k, v in want.items()) and len(want) > 60
