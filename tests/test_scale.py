@@ -1,10 +1,23 @@
 """Edges of bins, work done once, and where rows are dealt, as larger tables showed them."""
 
-from pyspark.sql import functions as F
-
 from factloom.operators import evaluation as V
+from factloom.operators import features as T
 
 
 def test_scores_on_an_edge_open_the_next_bin(spark):
     scores = spark.createDataFrame([(0.35 + 0.25, 1), (0.5 * 0.7 + 0.25, 0), (0.1 + 0.2, 1), (0.0, 0), (1.0, 1), (0.59, 0)], "p double, y int")
     assert {r.bin: r.n for r in V.calibration(scores).collect()} == {0: 1, 3: 1, 5: 1, 6: 2, 9: 1}
+
+
+def test_tokens_are_counted_without_a_shuffle_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "The bank, the BANK raised"), (2, None), (3, " "), (4, "a b"), (4, "b a b")], "doc_id long, text string")
+    counted = T.term_counts(docs)
+    got = {(r.doc_id, r.token): (r["count"], r.total) for r in counted.collect()}
+    assert got == {
+        (1, "the"): (2, 9), (1, "bank"): (2, 9), (1, "raised"): (1, 9), (1, "the bank"): (2, 9), (1, "bank the"): (1, 9), (1, "bank raised"): (1, 9),
+        (4, "a"): (2, 8), (4, "b"): (3, 8), (4, "a b"): (2, 8), (4, "b a"): (1, 8),
+    }
+    assert {r.token[1:]: r["count"] for r in T.term_counts(docs.filter("doc_id = 4"), None, (3, 4)).collect()} == {" a ": 2, " b ": 3}
+    # One exchange, of texts; it was one of every token of every document.
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Generate" not in plan
