@@ -1,7 +1,11 @@
 """Edges of bins, work done once, and where rows are dealt, as larger tables showed them."""
 
+from pyspark.sql import functions as F
+
+from factloom.functions.patterns import held, once
 from factloom.operators import evaluation as V
 from factloom.operators import features as T
+from factloom.plans import verdict
 
 
 def test_scores_on_an_edge_open_the_next_bin(spark):
@@ -21,3 +25,26 @@ def test_tokens_are_counted_without_a_shuffle_of_tokens(spark):
     # One exchange, of texts; it was one of every token of every document.
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "Generate" not in plan
+
+
+def test_equal_texts_are_worked_on_once_and_dealt_evenly(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 4 else f"text {i % 5}") for i in range(40)], "id int, text string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def length(text):
+        seen.add(1)
+        return -1 if text is None else len(text)
+
+    got = once(rows, {"text": F.col("text")}, lambda t: held(t, "n", length("text")))
+    assert got.rdd.map(lambda r: (r.id, r.text, r.n)).collect() and seen.value == 5
+    assert {(r.id, r.text, r.n) for r in got.collect()} == {(i, None if i % 5 == 4 else f"text {i % 5}", -1 if i % 5 == 4 else 6) for i in range(40)}
+
+
+def test_claims_are_not_written_out_for_each_use(spark):
+    claims = spark.createDataFrame([(1, "Breaking: The mayor resigned today", None)], "claim_id int, statement string, mode string")
+    prepared = verdict.prepare(claims)
+    # One of the patterns of normalising: each use of a claim had them all in it.
+    assert prepared._jdf.queryExecution().optimizedPlan().toString().count(r"\bvia\s+@") == 1
+    r = prepared.first()
+    assert (r.claim, r.time.marker, r.time.anchor, r.route) == ("The mayor resigned today", "today", "recent", "search")
