@@ -91,3 +91,23 @@ def test_near_duplicates_keep_opposites(spark):
     rows = [(1, 1, i, f"http://x/{i}", t) for i, t in enumerate([title, title.upper(), title + " again", title.replace("approves", "rejects"), "Other story", "", ""])] + [(1, 2, 0, "http://x/0", "dup url")]
     got = S.deduplicate(spark.createDataFrame(rows, "claim_id int, job_order int, ord int, url string, title string")).collect()
     assert sorted(r.url[-1] for r in got) == ["0", "3", "4", "5", "6"]
+
+
+def test_patterns_from_the_full_stop_protect_the_same(spark):
+    """What looks back from a full stop changes what the words before it did, and stock phrases are found as one pattern."""
+    import re
+
+    from factloom.functions import lexicon as L
+    from factloom.functions.patterns import one_of, swap
+
+    texts = ["Dr. No met Mr. X. vs. etc. U.S. E.U.S. u.k.U.N. D.C. and U.S.S. Madr. édr. co.corp.no. 5.St. x_dr. \u017ft. U.\u017f.", "", ".U.S.", "Mr.. Mrs. .dr.", "d.c.d.c. e.u.n. u.n.u.s."]
+    old = F.col("t")
+    old = swap(old, rf"\b({'|'.join(L.ABBREVIATIONS)})\.", "$1" + C._DOT)
+    for first, second in (p.split(".") for p in L.DOTTED):
+        old = swap(old, rf"\b({first})\.({second})\.", f"$1{C._DOT}$2{C._DOT}")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.protect(F.col("t")).alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old for r in rows) and C._DOT in rows[0].new
+    stock = one_of(L.BOILERPLATE)
+    for text in (*L.BOILERPLATE, "x" + L.BOILERPLATE[3] + "y", "a week before", "copyright", "sign up for the", "no"):
+        assert bool(re.search(stock, text)) == any(p in text for p in L.BOILERPLATE)
+    assert stock.startswith("(?:") and stock.count("|") >= 15 and re.fullmatch(one_of(["ab", "a", "b."]), "b.") and not re.fullmatch(one_of(["ab", "b."]), "bx")
