@@ -121,3 +121,16 @@ def test_recent_days_and_jobs_of_a_table(spark, base):
     assert sorted((r.claim_id, r.provider, r.status, r["count"]) for r in found) == sorted([(i, "gnews", "disabled", 1) for i in range(4)] + [(i, "wikipedia", "success", 3) for i in range(4)])
     with pytest.raises(Exception, match="no such provider"):
         scan(spark, base, ["q"], providers="other").collect()
+
+
+def test_pages_are_read_a_piece_at_a_time():
+    """A batch of many pages comes in runs of bounded bytes, every row once; a longer page is a run of its own."""
+    import pyarrow as pa
+
+    from factloom.sources import payloads
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(9)), "html": ["x" * 40, None, "", "y" * 500, "z" * 30, None, "é" * 60, "q" * 90, ""]})
+    found = list(payloads.pieces(batch, "html", 100))
+    assert [i for p in found for i in p.column("page_id").to_pylist()] == list(range(9)) and len(found) > 3
+    assert all(p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column("html").to_pylist()[1:]) <= 100 for p in found)
+    assert list(payloads.pieces(batch.slice(0, 0), "html")) == []
