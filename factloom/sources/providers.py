@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull
 
 from factloom.operators.search import PROVIDERS
-from factloom.sources.payloads import _Links, unwrap
+from factloom.sources.payloads import page_links, unwrap
 
 SCHEMA = (
     "provider string, query string, enabled boolean, status string, attempts int, error string, raw_result_count int, "
@@ -97,9 +97,8 @@ def feed(payload: str) -> list[dict]:
 
 
 def search_page(payload: str) -> list[dict]:
-    parser, seen = _Links(), {}
-    parser.feed(payload)
-    for url, title, snippet in parser.rows:
+    seen = {}
+    for url, title, snippet in page_links(payload):
         if url and title.strip():
             seen.setdefault(unwrap(url), {"url": unwrap(url), "title": " ".join(title.split()), "snippet": " ".join(snippet.split()), "source": ""})
     return list(seen.values())

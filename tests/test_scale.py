@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from factloom import more_queries
 from factloom.functions.patterns import held, once
 from factloom.operators import evaluation as V
 from factloom.operators import features as T
 from factloom.plans import verdict
+from factloom.sources import payloads
 
 
 def test_scores_on_an_edge_open_the_next_bin(spark):
@@ -48,3 +50,48 @@ def test_claims_are_not_written_out_for_each_use(spark):
     assert prepared._jdf.queryExecution().optimizedPlan().toString().count(r"\bvia\s+@") == 1
     r = prepared.first()
     assert (r.claim, r.time.marker, r.time.anchor, r.route) == ("The mayor resigned today", "today", "recent", "search")
+
+
+def test_search_pages_are_parsed_by_all_parts(spark):
+    """Few bytes of equal texts were shuffled, so that one task parsed all the pages."""
+    got = more_queries.search_page_payloads(spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "<div>" not in shuffled
+
+
+def parsed(page):
+    parser = payloads._Links()
+    parser.feed(page)
+    return parser.rows
+
+
+def test_plain_search_pages_need_no_parser(monkeypatch):
+    link, about = '<a class="x result__a" href="//d.com/l/?uddg=https%3A%2F%2Fa.com%2F%C3%A9&amp;rut=1">', '<td CLASS="result__snippet" title="a>b<c">'
+    plain = [
+        f"<!DOCTYPE html><!-- x -->A{link}A &amp; <b>b</b></a> c{about}d<br>e</td>f", f"{about}no link yet</td>{link}t<div>u</div>v", f"{link}t<script>var a = 1</script>u</A\n>v",
+        '<a class="result__a">no target</a><a class="y" class="result__a" href="u" href="v">last</a>', '<a class="&#114;esult__a" href="q?a=1">named by a reference', f"{link}one{link}two", "<aA class=\"result__a\" href=\"n\">no link</aA>",
+    ]
+    odd = [
+        f"{link}cut off &am", f"{link}a<br/>b</a>", f"{link}a<script>if (a<b) c</script>d</a>", "<a class=result__a href=u>t</a>", '<a class="result__a"href="u">t', f"{link}a </a x='>'> b", f"{link}<?x?>b<!--->c--></a>", f"{link}5 < 6",
+        f"{link}<style>a&amp;b</style>", "no tag", "", "<", '<a class="result__a" href="u', '<a class="a\xa0result__a" href="//d.com/?x=1&uddg=a+b#uddg=c">t</a>',
+    ]
+    want = [parsed(page) for page in plain]
+    assert [payloads.page_links(page) for page in plain + odd] == want + [parsed(page) for page in odd]
+    assert want[0] == [["https://a.com/é", "A & b", "de"]]
+    monkeypatch.setattr(payloads._Links, "feed", None)
+    assert [payloads.page_links(page) for page in plain] == want
+
+
+def test_short_redirects_are_read_as_urls():
+    from urllib.parse import parse_qs, urlsplit
+
+    for link in ("//d.com/l/?uddg=%C3%A9%FF%zz", "https://d.com/l/?uddg=a&uddg=b", "//d.com/?uddg=&uddg=b", "//d.com/?uddg=a+b", "//d.com/?uddg=a#&uddg=b", "/l/?uddg=a", "//d.com/?x=1", "//d.com:80/?uddg=é", "HTTP://D.com/L?uddg=A%20b"):
+        assert payloads.unwrap(link) == parse_qs(urlsplit("https:" + link if link.startswith("//") else link).query).get("uddg", [link])[0]
+
+
+def test_search_page_rows_keep_order_and_limit(spark):
+    links = lambda places: "".join(f'<a class="result__a" href="u{i}"> t  {i} </a><a class="result__snippet">s {i}</a>' for i in places)
+    pages = spark.createDataFrame([(1, links([3, 1, 3, *range(20)])), (2, None), (3, "<p>none</p>"), (4, '<a class="result__a" href="u"> </a>' + links([7]))], "page int, payload string")
+    got = [(r.page, r.ord, r.url, r.title, r.snippet) for r in payloads.search_page_items(pages).orderBy("page", "ord").collect()]
+    assert got == [(1, n, f"u{i}", f"t {i}", f"s {i}") for n, i in enumerate([3, 1, 0, 2, 4, 5, 6, 7, 8, 9])] + [(4, 0, "u7", "t 7", "s 7")]
