@@ -95,3 +95,24 @@ def test_search_page_rows_keep_order_and_limit(spark):
     pages = spark.createDataFrame([(1, links([3, 1, 3, *range(20)])), (2, None), (3, "<p>none</p>"), (4, '<a class="result__a" href="u"> </a>' + links([7]))], "page int, payload string")
     got = [(r.page, r.ord, r.url, r.title, r.snippet) for r in payloads.search_page_items(pages).orderBy("page", "ord").collect()]
     assert got == [(1, n, f"u{i}", f"t {i}", f"s {i}") for n, i in enumerate([3, 1, 0, 2, 4, 5, 6, 7, 8, 9])] + [(4, 0, "u7", "t 7", "s 7")]
+
+
+def test_vectors_shuffle_no_tokens_of_documents(spark, tmp_path, monkeypatch):
+    """TF-IDF over chunks equals that by joins, with a document of several rows, and what is written for it is less than a row for each token of a document."""
+    from factloom import queries
+    from factloom.operators import features as T
+
+    rows = [(i % 57 if i % 9 else None, " ".join(f"w{(i * k * k) % (40 + i)}" for k in range(i % 50))) for i in range(120)] + [(900, None), (901, "!?"), (902, "lonelyword")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(T, "CHUNK", 2000)
+    terms = T.term_counts(docs)
+    for smooth, sublinear, normalise, least in ((True, True, True, 2), (False, False, False, 1)):
+        want = {(r.doc_id, r.token): r.value for r in T.tfidf(terms, T.vocabulary(terms, 123, least, smooth), sublinear, normalise).collect()}
+        got = {(r.doc_id, t): v for r in T.vectors(docs, 123, min_df=least, smooth=smooth, sublinear=sublinear, normalise=normalise).collect() for t, v in zip(r.tokens, r["values"], strict=True)}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    assert T.vectors(docs.limit(0), 0).count() == 0
+    monkeypatch.undo()
+    spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(200))) for i in range(200)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.QUERIES["document_tfidf_vectors"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    assert queries.QUERIES["document_sparse_product"](spark, str(tmp_path)).count() == 200
