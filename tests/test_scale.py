@@ -116,3 +116,23 @@ def test_vectors_shuffle_no_tokens_of_documents(spark, tmp_path, monkeypatch):
     plan = queries.QUERIES["document_tfidf_vectors"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
     assert queries.QUERIES["document_sparse_product"](spark, str(tmp_path)).count() == 200
+
+
+def test_character_grams_are_counted_as_arrays(spark, monkeypatch):
+    """Runs of characters, with and without runs of words, equal those counted word by word, which aren't used for them; longer ones are."""
+    from factloom.operators import features as T
+
+    rows = [(i % 70, " ".join(f"x{(i * k) % 13}y{'ab' * (k % 4)}" for k in range(i % 21))) for i in range(150)] + [(900, None), (901, "?"), (902, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {}
+    for doc, text in rows:
+        for grams, chars in ((None, (3, 5)), ((1, 2), (1, 3)), (None, (9, 10))):
+            counts = want.setdefault((grams, chars), {})
+            for token, n in T.grams_of((text or "").replace("?", "").split(), grams, chars).items():
+                counts[doc, token] = counts.get((doc, token), 0) + n
+    for (grams, chars), counts in want.items():
+        total = {d: sum(n for (e, _), n in counts.items() if e == d) for d, _ in counts}
+        got = {(r.doc_id, r.token): (r["count"], r.total) for r in T.term_counts(docs, grams, chars).collect()}
+        assert got == {k: (n, total[k[0]]) for k, n in counts.items()}
+    d, t, n = T.char_counts([[["ab"], ["ab", "c"]], []], 3, 5)
+    assert dict(zip(zip(d.tolist(), t.to_pylist(), strict=True), n.tolist(), strict=True)) == {(0, "\x01 ab"): 2, (0, "\x01ab "): 2, (0, "\x01 ab "): 2, (0, "\x01 c "): 1}
